@@ -23,11 +23,11 @@ from .common import new_path, slices, written
 
 _CACHE: dict[str, tuple] = {}
 #: Words a worker remembers between batches.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 
 
 class WordEncoder:
-    """Encodes words (runs without ASCII white space) with a tokenizers file whose pre-tokeniser never joins across white space."""
+    """Encodes words (runs without ASCII white space) with a tokenizers file whose pre-tokeniser never joins across white space, takes letters apart from stops, and lower-cases."""
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
@@ -36,17 +36,24 @@ class WordEncoder:
         self.tokenizer, self.known = Tokenizer.from_file(file), {}
 
     def __call__(self, words: list[str]) -> list[bytes]:
-        """The uint32 ids of each word."""
+        """The uint32 ids of each word. Letters and a final stop or comma are apart for the pre-tokeniser, and ASCII case is dropped: such words share an entry."""
+        cores, tails = [], []
+        for w in words:
+            tail = w[-1:] if w[-1:] in (".", ",") and w[:-1].isalpha() else ""
+            core = w[:-1] if tail else w
+            cores.append(core.lower() if core.isascii() and core.isalpha() else core)
+            tails.append(tail)
         known = self.known
-        new = [w for w in words if w not in known]
+        new = list({w: None for w in cores if w not in known})
         if len(known) + len(new) > REMEMBERED:
             known = self.known = {}
-            new = words
+            new = list(dict.fromkeys(cores))
+        new += [w for w in ("", ".", ",") if w not in known and w not in new]
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 known[w] = np.array(e.ids, np.uint32).tobytes()
-        return [known[w] for w in words]
+        return [known[c] + known[t] if t else known[c] for c, t in zip(cores, tails, strict=True)]
 
 
 def encoder(file: str) -> WordEncoder:
@@ -119,7 +126,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(tokenizer)
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, most=16 << 20):
                 ids, counts = encode(batch.column("text"), words, end)
                 ends = np.cumsum(counts)
                 raw = [ids[e - c : e].astype(kind).tobytes() for e, c in zip(ends, counts, strict=True)]
