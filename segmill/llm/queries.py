@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm_lm, packing, projection_dedup, reshard, simhash, token_files, toxicity
+import corpus_pipeline
+
+from . import hmm_lm, license_scan, packing, projection_dedup, reshard, simhash, suffix_dedup, templates, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +35,19 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), _remainder() == 0)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = reshard.rewrite(reshard.reshard(docs))
@@ -47,13 +58,22 @@ def op8_projection_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = templates.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return rows.where("consistent").select("doc_id", "item_id", "windows", "matched")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hmm_lm, op2_token_files, op3_toxicity, op5_packing, op7_reshard, op8_projection_dedup, op10_simhash)}
+    return {f.__name__: f for f in (op1_hmm_lm, op2_token_files, op3_toxicity, op4_license_scan, op5_packing, op6_suffix_dedup, op7_reshard, op8_projection_dedup, op9_templates, op10_simhash, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_license_scan": license_scan.scan_sql()}

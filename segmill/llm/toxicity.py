@@ -282,10 +282,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, held_out: Column, sample
     return [r["text"] for r in rows], np.array([r["mark"] for r in rows], float), share
 
 
-def score(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = 1500, sample_chars: int = 12_000, rounds: int = 10, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = 1500, sample_chars: int = 12_000, rounds: int = 10, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", carry: str | None = None) -> DataFrame:
     """docs' (id_col, held_out, score, predicted): score is the probability of label 1, predicted is 1 from 0.5 on.
 
-    Only texts are inputs; labels of rows that held_out marks are never read. Null, empty and blank texts get the share of label
+    carry names a column to hand through. Only texts are inputs; labels of rows that held_out marks are never read. Null, empty and blank texts get the share of label
     1 among the training rows. Null ids, repeated rows and unlabelled rows are scored like any other; conflicting labels of an id
     count as 1. Without training rows of both labels every score is the smoothed share. Other columns are ignored; an empty
     table gives no rows.
@@ -297,7 +297,15 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = 15
         for whole in batches:
             for batch in slices(whole):
                 x = text_scores(fitted.value, batch.column("text"))
-                yield pa.record_batch([batch.column("id"), batch.column("held"), pa.array(x), pa.array((x >= 0.5).astype(np.int32))], ["id", "held_out", "score", "predicted"])
+                yield pa.record_batch([batch.column("id"), batch.column("held"), pa.array(x), pa.array((x >= 0.5).astype(np.int32)), *(batch.column(c) for c in extra)], ["id", "held_out", "score", "predicted", *extra])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    extra = [carry] if carry else []
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).alias("text"), *extra)
+    kinds = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in extra)
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, held_out boolean, score double, predicted int{kinds}").withColumnRenamed("id", id_col)
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without the rows that score() predicts as 1; all its columns."""
+    mark = score(docs.withColumn("_row", F.struct(*(F.col(c) for c in docs.columns))), labels, held_out, id_col=id_col, text_col=text_col, carry="_row", **options)
+    return mark.where("predicted = 0").select("_row.*")
