@@ -1,0 +1,143 @@
+"""Layout operators whose result depends on what was placed before: one pass over a page's rows, pages in parallel.
+
+Each takes a DataFrame with a page column and gives every page to one call; a page is bounded by what a page can show. Rows are
+sorted by an explicit ordinal inside the call, so results don't depend on how Spark deals them.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+
+def _overlap(a, b) -> float:
+    w = max(0.0, min(a.right, b.right) - max(a.left, b.left))
+    h = max(0.0, min(a.bottom, b.bottom) - max(a.top, b.top))
+    least = min((a.right - a.left) * (a.bottom - a.top), (b.right - b.left) * (b.bottom - b.top))
+    return w * h / least if least > 0 else 0.0
+
+
+def _beside(a, b) -> float:
+    w = max(0.0, min(a.right, b.right) - max(a.left, b.left))
+    least = min(a.right - a.left, b.right - b.left)
+    return w / least if least > 0 else 0.0
+
+
+def _gap(a, b) -> float:
+    return max(b.top - a.bottom, a.top - b.bottom, 0.0)
+
+
+def _text(x: str | None) -> str:
+    return " ".join((x or "").split()).lower()
+
+
+def line_clusters(runs: DataFrame, page: str = "page") -> DataFrame:
+    """runs with the number of their line: the first line so far whose top is within max(2, 0.75 of the lesser height); a line's box grows."""
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["top", "left", "ord"])
+        tops, bottoms, out = [], [], []
+        for r in rows.itertuples():
+            height = max(1.0, r.bottom - r.top)
+            for k, (t, b) in enumerate(zip(tops, bottoms)):
+                if abs(r.top - t) <= max(2.0, min(height, max(1.0, b - t)) * 0.75):
+                    tops[k], bottoms[k] = min(t, r.top), max(b, r.bottom)
+                    out.append(k)
+                    break
+            else:
+                out.append(len(tops))
+                tops.append(r.top)
+                bottoms.append(r.bottom)
+        return rows.assign(line=out)
+
+    return runs.groupBy(page).applyInPandas(one, runs.schema.simpleString()[7:-1].replace(":", " ") + ", line long")
+
+
+def without_duplicates(runs: DataFrame, page: str = "page") -> DataFrame:
+    """Runs that aren't a double of one kept before them: the same text on overlapping boxes, the same or contained text on a line nearby, or boxes that nearly coincide."""
+
+    def double(a, b) -> bool:
+        s, t, shared = _text(a.text), _text(b.text), _overlap(a, b)
+        if s and s == t and shared >= 0.25 or shared >= 0.88:
+            return True
+        near = _gap(a, b) <= max(42.0, 2.5 * (a.bottom - a.top), 2.5 * (b.bottom - b.top)) and _beside(a, b) >= 0.25
+        return bool(near and s and t and (s == t and len(s) >= 8 or len(s) >= 12 and s in t or len(t) >= 12 and t in s))
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        kept = []
+        for r in rows.sort_values("ord").itertuples():
+            if not any(double(r, k) for k in kept):
+                kept.append(r)
+        return rows.loc[[k.Index for k in kept]]
+
+    return runs.groupBy(page).applyInPandas(one, runs.schema)
+
+
+def without_overlaps(items: DataFrame, page_height: float = 792.0, page: str = "page") -> DataFrame:
+    """Items pushed down below earlier ones that they overlap (by a fifth of the lesser width); cells stay; nothing leaves the page."""
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["top", "left", "ord"])
+        placed, tops = [], []
+        for r in rows.itertuples():
+            y, height, gap = r.top, r.bottom - r.top, max(1.0, r.font * 0.18)
+            if not r.cell:
+                for p, (py, pb) in placed:
+                    if min(r.right, p.right) - max(r.left, p.left) >= 0.2 * min(r.right - r.left, p.right - p.left) and y < pb + gap and y + height > py + gap:
+                        y = pb + gap
+                if y != r.top:
+                    y = min(y, max(0.0, page_height - height))
+                placed.append((r, (y, y + height)))
+            tops.append(y)
+        return rows.assign(shift=[y - t for y, t in zip(tops, rows.top)], bottom=[y + b - t for y, b, t in zip(tops, rows.bottom, rows.top)], top=tops)
+
+    return items.groupBy(page).applyInPandas(one, items.schema.simpleString()[7:-1].replace(":", " ") + ", shift double")
+
+
+def new_ocr_lines(texts: DataFrame, lines: DataFrame, page: str = "page") -> DataFrame:
+    """OCR lines of a page that its texts and the lines accepted before don't hold: no equal or contained text, no overlap of 0.35, no centre inside."""
+
+    def one(own: pd.DataFrame, ocr: pd.DataFrame) -> pd.DataFrame:
+        known, boxes, kept = [t for t in map(_text, own.text) if t], list(own.itertuples()), []
+        for r in ocr.sort_values("ord").itertuples():
+            t = _text(r.text)
+            x, y = (r.left + r.right) / 2, (r.top + r.bottom) / 2
+            if not t or any(t in k or k in t for k in known) or any(_overlap(r, b) >= 0.35 or b.left <= x <= b.right and b.top <= y <= b.bottom for b in boxes):
+                continue
+            known.append(t)
+            boxes.append(r)
+            kept.append(r.Index)
+        return ocr.loc[kept]
+
+    return texts.groupBy(page).cogroup(lines.groupBy(page)).applyInPandas(one, lines.schema)
+
+
+def reading_order(blocks: DataFrame, page: str = "page") -> DataFrame:
+    """blocks with their rank: by reading_order (null last), then y if more than 8 apart, else x; a comparison, not a key."""
+    from functools import cmp_to_key
+
+    def compare(a, b) -> float:
+        p, q = (999_999 if pd.isna(x.reading_order) else x.reading_order for x in (a, b))
+        return p - q or (a.top - b.top if abs(a.top - b.top) > 8 else a.left - b.left)
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        ordered = sorted(rows.sort_values("ord").itertuples(), key=cmp_to_key(compare))
+        return rows.loc[[r.Index for r in ordered]].assign(rank=range(1, len(ordered) + 1))
+
+    return blocks.groupBy(page).applyInPandas(one, blocks.schema.simpleString()[7:-1].replace(":", " ") + ", rank long")
+
+
+def budget_chunks(rows: DataFrame, keys: list[str], order: str = "ord", size: str = "chars", most_items: int = 250, most_size: int = 10_000) -> DataFrame:
+    """rows with the number of their chunk: a new one when the items or the size would go over; an item that is too large stands alone."""
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order)
+        chunk, n, total, out = 0, 0, 0, []
+        for s in part[size]:
+            if n and (n >= most_items or total + s > most_size):
+                chunk, n, total = chunk + 1, 0, 0
+            n, total = n + 1, total + s
+            out.append(chunk)
+        return part.assign(chunk=out)
+
+    return rows.groupBy(*keys).applyInPandas(one, rows.schema.simpleString()[7:-1].replace(":", " ") + ", chunk long")

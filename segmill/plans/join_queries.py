@@ -112,13 +112,13 @@ def union_cached_fresh(spark, sf_dir):
     return cached.unionByName(M.misses(s, t).select("id", F.concat(F.lit("fresh "), "id").alias("target"), F.lit("fresh").alias("origin")))
 
 
-@query("""WITH a AS (SELECT doc_id AS k, substr(text, 1, 20) AS v FROM documents WHERE doc_id % 7 <> 0), b AS (SELECT doc_id AS k, CASE WHEN doc_id % 5 = 0 THEN upper(substr(text, 1, 20)) ELSE substr(text, 1, 20) END AS v FROM documents WHERE doc_id % 6 <> 0)
+@query("""WITH a AS (SELECT doc_id AS k, substr(text, 1, 20) AS v FROM documents WHERE doc_id % 7 <> 0), b AS (SELECT doc_id AS k, CASE WHEN doc_id % 5 = 0 THEN 'x' || substr(text, 1, 20) ELSE substr(text, 1, 20) END AS v FROM documents WHERE doc_id % 6 <> 0)
 SELECT k, coalesce(a.v, '') AS before, coalesce(b.v, '') AS after FROM a FULL JOIN b USING (k) WHERE coalesce(a.v, '') <> coalesce(b.v, '')""")
 def keyed_diff(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     s = F.substring("text", 1, 20)
     k = F.col("doc_id").alias("k")
-    return V.keyed_diff(d.where("doc_id % 7 <> 0").select(k, s.alias("v")), d.where("doc_id % 6 <> 0").select(k, F.when(F.col("doc_id") % 5 == 0, F.upper(s)).otherwise(s).alias("v")), "k", "v")
+    return V.keyed_diff(d.where("doc_id % 7 <> 0").select(k, s.alias("v")), d.where("doc_id % 6 <> 0").select(k, F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("x"), s)).otherwise(s).alias("v")), "k", "v")
 
 
 TERMS = ["the", "with", "ung", "ción", "eaux"]
