@@ -66,8 +66,8 @@ def mask_tokens(segments: DataFrame, terms: list[str] | None = None, rules: list
 
 
 def restored(masked: Column, tokens: Column) -> Column:
-    """The text with each token's value put back, in their order."""
-    return F.aggregate(tokens, masked, lambda acc, t: F.replace(acc, t["id"], t["value"]))
+    """The text with each token's value put back, the last first: a later token's value may hold an earlier token."""
+    return F.aggregate(F.reverse(tokens), masked, lambda acc, t: F.replace(acc, t["id"], t["value"]))
 
 
 def masked_event(events: DataFrame, person: str = "patient") -> DataFrame:
