@@ -2,7 +2,7 @@
 
 The flow runs on the driver over shards only (its size is the number of shards, never the data's). Rows of an old shard lie on
 an axis, largest size class first; the flow's arcs cut that axis into intervals, the part that stays first. A row goes where
-its first byte lies, so a shard misses its capacity by less than one row of middling size per arc that ends in it.
+its middle byte lies, so a shard misses its capacity by at most half a row of middling size at either end of an arc.
 """
 
 from __future__ import annotations
@@ -101,8 +101,9 @@ def reshard(docs: DataFrame, old_shards: int = 16, shards: int = 24, id_col: str
     based = blocks.select(*block, F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy(*block).orderBy(F.desc("size"), "id", F.xxhash64("text"))
     placed = rows.join(based, block).withColumns({"start": F.col("base") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"), "rank": F.row_number().over(inside)})
+    middle = F.col("p.start") + F.floor(F.col("p.size") / 2)
     p, a = placed.alias("p"), F.broadcast(arcs).alias("a")  # one row per arc: fewer than old plus new shards
-    return p.join(a, (F.col("p.old_shard") == F.col("a.old_shard")) & (F.col("p.start") >= F.col("a.lo")) & (F.col("p.start") < F.col("a.hi"))).select("p.*", "a.shard")
+    return p.join(a, (F.col("p.old_shard") == F.col("a.old_shard")) & (middle >= F.col("a.lo")) & (middle < F.col("a.hi"))).select("p.*", "a.shard")
 
 
 def rewrite(placed: DataFrame, folder: str | None = None) -> DataFrame:
