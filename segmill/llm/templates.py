@@ -69,8 +69,10 @@ def template_windows(typed: DataFrame, *keep: str) -> DataFrame:
 
 
 def slots(typed: DataFrame, *keep: str) -> DataFrame:
-    """(keep, slots array<string>): the value of each word that is a placeholder in the template, '' for others."""
-    return typed.select(*keep, F.zip_with("kinds", "bare", lambda k, w: F.when(k.startswith("#") & (F.length(k) > 1) & (k != F.lower(w)), F.lower(w)).otherwise("")).alias("slots"))
+    """(keep, at, value): the place and the value of each word that is a placeholder in the template."""
+    value = F.zip_with("kinds", "bare", lambda k, w: F.when(k.startswith("#") & (F.length(k) > 1) & (k != F.lower(w)), F.lower(w)))
+    rows = typed.select(*keep, _once(value, "v"))
+    return rows.select(*keep, F.posexplode("v").alias("at", "value")).where("value is not null")
 
 
 #: Windows of benchmark items up to this number are broadcast; more are joined by shuffling.
@@ -97,16 +99,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     same = lambda a, b, names: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in names]
     on = lambda a, b, names: reduce(lambda x, y: x & y, same(a, b, names))
     of = hits.alias("a").join(found.alias("b"), on("a", "b", [*doc, *item])).select("a.*", "b.matched")
-    # values of placeholders: of the matched documents and items alone
+    # values of placeholders: of the matched documents and items alone, and a row per placeholder
     held = found.select(*doc).distinct().alias("b")
     texts = rows.alias("a").join(held, on("a", "b", doc), "left_semi").dropDuplicates(doc)
-    ours = written(slots(template(texts, *doc), *doc), "document-slots").withColumnRenamed("slots", "ours").alias("d")
-    theirs = written(slots(items, *item), "item-slots").withColumnRenamed("slots", "theirs").alias("i")
-    of = of.alias("a").join(theirs, on("a", "i", item)).select("a.*", "i.theirs").alias("a")
-    of = of.select("a.*", F.slice("theirs", F.col("item_pos") + 1, F.lit(WORDS)).alias("their_window")).drop("theirs").alias("a")
-    of = of.where(F.exists("their_window", lambda x: x != "")).alias("a").join(ours, on("a", "d", doc)).select("a.*", F.slice("d.ours", F.col("a.pos") + 1, F.lit(WORDS)).alias("our_window"))
-    values = of.select(*doc, *item, F.explode(F.arrays_zip("their_window", "our_window")).alias("v")).where("v.their_window <> ''")
-    each = values.groupBy(*doc, *item, F.col("v.their_window").alias("value"), F.col("v.our_window").alias("ours")).agg(F.count("*").alias("n"))
+    ours = written(slots(template(texts, *doc), *doc), "document-slots").withColumnsRenamed({"at": "our_at", "value": "ours"}).alias("d")
+    theirs = written(slots(items, *item), "item-slots").withColumnRenamed("value", "theirs").alias("i")
+    inside = F.col("i.at").between(F.col("a.item_pos"), F.col("a.item_pos") + WORDS - 1)
+    values = of.alias("a").join(theirs, on("a", "i", item) & inside).select("a.*", "i.theirs", (F.col("a.pos") + F.col("i.at") - F.col("a.item_pos")).alias("place")).alias("a")
+    values = values.join(ours, on("a", "d", doc) & (F.col("a.place") == F.col("d.our_at")), "left").select("a.*", F.coalesce("d.ours", F.lit("")).alias("ours"))
+    each = values.groupBy(*doc, *item, F.col("theirs").alias("value"), "ours").agg(F.count("*").alias("n"))
     value = each.groupBy(*doc, *item, "value").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
     agree = value.groupBy(*doc, *item).agg(F.bool_and(F.col("most") >= similarity * F.col("n")).alias("agree")).alias("b")
     out = found.alias("a").join(agree, on("a", "b", [*doc, *item]), "left")
