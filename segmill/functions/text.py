@@ -81,7 +81,8 @@ def needs_retry(source: Column, target: Column, korean: bool = True) -> Column:
     s, t = normalized(source), normalized(target)
     latin, hangul = count(t, "[A-Za-z]"), count(t, HANGUL)
     first = F.slice(F.regexp_extract_all(F.lower(s), F.lit("([a-z]{4,})"), 1), 1, 80)
-    repeated = F.size(F.filter(first, lambda w: F.contains(F.lower(t), w)))
+    # the array of one makes the lower-cased text once, not once a word
+    repeated = F.element_at(F.transform(F.array(F.lower(t)), lambda whole: F.size(F.filter(first, lambda w: F.contains(whole, w)))), 1)
     left = ((latin >= 40) & (latin > F.greatest(F.lit(20.0), hangul * 0.8))) | ((latin >= 25) & (repeated >= 6))
     return is_translatable(source) & ((t == "") | (s == t) | (left if korean else F.lit(False)))
 

@@ -136,10 +136,10 @@ def low_confidence(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 50).alias("page")).agg(F.count("*").alias("blocks"), C(confidence < 0.6).alias("warnings"))
 
 
-@query("SELECT p_brand, string_agg(p_name || ' => ' || p_type, chr(10) ORDER BY p_partkey) AS prompt FROM part WHERE p_partkey % 20 = 0 GROUP BY p_brand")
+@query("SELECT p_brand, string_agg(p_name || ' => ' || p_type, chr(10) ORDER BY p_partkey) AS prompt FROM part GROUP BY p_brand")
 def glossary_prompt(spark, sf_dir):
     line = F.struct("p_partkey", F.concat("p_name", F.lit(" => "), "p_type").alias("line"))
-    return table(spark, sf_dir, "part").where("p_partkey % 20 = 0").groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("prompt"))
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("prompt"))
 
 
 STEP_SQL = "steps AS (SELECT user_id AS job, event_type AS step, event_id AS seq, CASE WHEN value > 20 THEN 'failed' ELSE 'done' END AS status FROM events)"

@@ -65,8 +65,8 @@ def mask_restore_roundtrip(spark, sf_dir):
 
 @query()
 def wrap_text(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 400).alias("t"))
-    return d.select("doc_id", B.wrapped("t", F.lit(200.0), F.lit(10.0)).alias("lines"), B.fitted_size("t", F.lit(200.0), F.lit(80.0), F.lit(12.0)).alias("size"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"))
+    return d.select("doc_id", B.wrapped("t", F.lit(200.0), F.lit(10.0)).alias("lines"), B.fitted_size("t", F.lit(400.0), F.lit(4000.0), F.lit(7.0)).alias("size"))
 
 
 @query("SELECT doc_id, trim(regexp_replace(lang || ' ' || doc_id, '\\s+', ' ', 'g')) AS text FROM documents")
@@ -151,9 +151,9 @@ def provider_retry(spark, sf_dir):
     return P.translated(segments(spark, sf_dir).select("id", "source"), _stub).select("id", "translated", "status")
 
 
-@query("SELECT doc_id, substr(text, 1, 10) AS name, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE '***' END AS masked_name, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE '***@***' END AS email, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'PT-***-****-****' END AS patient_id FROM documents")
+@query("SELECT doc_id, source AS name, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE '***' END AS masked_name, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE '***@***' END AS email, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'PT-***-****-****' END AS patient_id FROM documents")
 def mask_nested(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    person = F.struct(F.substring("text", 1, 10).alias("name"), F.concat("lang", F.lit("@example.org")).alias("email"), F.format_string("PT-2026-%04d", F.col("doc_id") % 10000).alias("patient_id"))
-    e = d.select("doc_id", F.substring("text", 1, 10).alias("name"), F.when(F.col("doc_id") % 4 != 0, person).alias("patient"))
+    person = F.struct(F.col("source").alias("name"), F.concat("lang", F.lit("@example.org")).alias("email"), F.format_string("PT-2026-%04d", F.col("doc_id") % 10000).alias("patient_id"))
+    e = d.select("doc_id", F.col("source").alias("name"), F.when(F.col("doc_id") % 4 != 0, person).alias("patient"))
     return K2.masked_event(e).select("doc_id", "name", F.col("patient.name").alias("masked_name"), "patient.email", "patient.patient_id")

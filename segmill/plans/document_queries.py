@@ -26,11 +26,11 @@ def apply_table_cells(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 4).alias("line")).agg(F.concat(F.lit("| "), row, F.lit(" |")).alias("row_text"))
 
 
-@query(f"""WITH l AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '  - ' WHEN 1 THEN '## ' WHEN 2 THEN '> ' WHEN 3 THEN '12. ' ELSE '   ' END || substr(text, 1, 12) || '  ' AS line FROM documents)
+@query(f"""WITH l AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '  - ' WHEN 1 THEN '## ' WHEN 2 THEN '> ' WHEN 3 THEN '12. ' ELSE '   ' END || replace(text, chr(10), ' ') || '  ' AS line FROM documents)
 SELECT doc_id, regexp_extract(line, '{PREFIX}', 1) || 'NEW' || regexp_extract(line, '(\\s*)$', 1) AS line FROM l""")
 def reassemble_line(spark, sf_dir):
     m = F.col("doc_id") % 5
-    line = F.concat(F.when(m == 0, "  - ").when(m == 1, "## ").when(m == 2, "> ").when(m == 3, "12. ").otherwise("   "), F.substring("text", 1, 12), F.lit("  "))
+    line = F.concat(F.when(m == 0, "  - ").when(m == 1, "## ").when(m == 2, "> ").when(m == 3, "12. ").otherwise("   "), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("  "))
     return table(spark, sf_dir, "documents").select("doc_id", X.reassembled(line, F.lit("NEW"), PREFIX).alias("line"))
 
 

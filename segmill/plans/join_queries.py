@@ -13,7 +13,7 @@ from .catalog import query, table
 from .text_queries import RUNS_SQL, runs, translatable
 
 SEG_SQL = """seg AS (SELECT doc_id AS id, lang, text AS source, sha256('en' || chr(10) || 'kr' || chr(10) || text) AS key FROM documents),
-tm AS (SELECT key, max(target) AS target FROM (SELECT key, upper(lang) || ':' || substr(source, 1, 40) AS target FROM seg WHERE id % 3 = 0) GROUP BY key)"""
+tm AS (SELECT key, max(target) AS target FROM (SELECT key, upper(lang) || ':' || source AS target FROM seg WHERE id % 3 = 0) GROUP BY key)"""
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tm(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = segments(spark, sf_dir).where("id % 3 = 0")
-    return s.select("key", F.concat(F.upper("lang"), F.lit(":"), F.substring("source", 1, 40)).alias("target")).groupBy("key").agg(F.max("target").alias("target"))
+    return s.select("key", F.concat(F.upper("lang"), F.lit(":"), "source").alias("target")).groupBy("key").agg(F.max("target").alias("target"))
 
 
 @query(f"WITH {SEG_SQL} SELECT id, target FROM seg LEFT JOIN tm USING (key)")
@@ -112,11 +112,11 @@ def union_cached_fresh(spark, sf_dir):
     return cached.unionByName(M.misses(s, t).select("id", F.concat(F.lit("fresh "), "id").alias("target"), F.lit("fresh").alias("origin")))
 
 
-@query("""WITH a AS (SELECT doc_id AS k, substr(text, 1, 20) AS v FROM documents WHERE doc_id % 7 <> 0), b AS (SELECT doc_id AS k, CASE WHEN doc_id % 5 = 0 THEN 'x' || substr(text, 1, 20) ELSE substr(text, 1, 20) END AS v FROM documents WHERE doc_id % 6 <> 0)
+@query("""WITH a AS (SELECT doc_id AS k, text AS v FROM documents WHERE doc_id % 7 <> 0), b AS (SELECT doc_id AS k, CASE WHEN doc_id % 5 = 0 THEN 'x' || text ELSE text END AS v FROM documents WHERE doc_id % 6 <> 0)
 SELECT k, coalesce(a.v, '') AS before, coalesce(b.v, '') AS after FROM a FULL JOIN b USING (k) WHERE coalesce(a.v, '') <> coalesce(b.v, '')""")
 def keyed_diff(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    s = F.substring("text", 1, 20)
+    s = F.col("text")
     k = F.col("doc_id").alias("k")
     return V.keyed_diff(d.where("doc_id % 7 <> 0").select(k, s.alias("v")), d.where("doc_id % 6 <> 0").select(k, F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("x"), s)).otherwise(s).alias("v")), "k", "v")
 
@@ -124,12 +124,12 @@ def keyed_diff(spark, sf_dir):
 TERMS = ["the", "with", "ung", "ción", "eaux"]
 
 
-@query("WITH terms AS (SELECT unnest(['the', 'with', 'ung', 'ción', 'eaux']) AS term) SELECT doc_id AS id, term FROM documents JOIN terms ON contains(text, term) WHERE NOT contains(upper(substr(text, 1, 200)), upper(term))")
+@query("WITH terms AS (SELECT unnest(['the', 'with', 'ung', 'ción', 'eaux']) AS term) SELECT doc_id AS id, term FROM documents JOIN terms ON contains(text, term) WHERE NOT contains(lang || ' ' || reverse(text), term)")
 def term_violations(spark, sf_dir):
     """Terms that a source has and its result lacks; the glossary is a list of fixed size, so the nested loop is over it alone."""
     terms = F.broadcast(spark.createDataFrame([(t,) for t in TERMS], "term string"))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return d.join(terms, F.contains("text", "term")).where(~F.contains(F.upper(F.substring("text", 1, 200)), F.upper("term"))).select("id", "term")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "text")
+    return d.join(terms, F.contains("text", "term")).where(~F.contains(F.concat_ws(" ", "lang", F.reverse("text")), "term")).select("id", "term")
 
 
 TABLES_SQL = 'tables AS (SELECT page, ord, "left" - 60 AS tl, top - 60 AS tt, "right" + 60 AS tr, bottom + 90 AS tb FROM runs WHERE ord % 10 = 3)'

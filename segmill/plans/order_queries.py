@@ -106,10 +106,10 @@ def sort_path_lexical(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.row_number().over(w).alias("rank"))
 
 
-@query("SELECT p_brand, string_agg(p_name, '|' ORDER BY length(p_name) DESC, p_partkey) AS terms FROM part WHERE p_partkey % 10 = 0 GROUP BY p_brand")
+@query("SELECT p_brand, string_agg(p_name, '|' ORDER BY length(p_name) DESC, p_partkey) AS terms FROM part GROUP BY p_brand")
 def terms_by_length(spark, sf_dir):
     t = F.struct((-F.length("p_name")).alias("n"), "p_partkey", "p_name")
-    return table(spark, sf_dir, "part").where("p_partkey % 10 = 0").groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(t)), lambda x: x["p_name"]), "|").alias("terms"))
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(t)), lambda x: x["p_name"]), "|").alias("terms"))
 
 
 @query("SELECT doc_id, n_chars FROM documents WHERE lang = 'en' ORDER BY n_chars DESC, doc_id LIMIT 20")

@@ -31,18 +31,17 @@ def translatable(x: str) -> str:
     return f"(length({n(x)}) >= 3 AND {cnt(n(x), '[A-Za-z]')} >= 2 AND NOT (regexp_full_match({n(x)}, '[A-Z0-9_#./:,() -]+') AND {wcount(x)} <= 3))"
 
 
-#: Short pieces of text of many kinds: first words, codes, addresses and blanks, cut from the tables.
+#: Texts of many kinds: whole documents, codes, addresses, blanks and short phrases.
 PIECES_SQL = """pieces AS (
   SELECT doc_id * 8 + k AS id, CASE k
-    WHEN 0 THEN substr(text, 1, 60) WHEN 1 THEN upper(substr(lang, 1, 2)) || '-' || doc_id WHEN 2 THEN '' WHEN 3 THEN CAST(doc_id AS VARCHAR)
-    WHEN 4 THEN 'https://example.org/' || doc_id WHEN 5 THEN lang || CAST(doc_id AS VARCHAR) || '@example.org' WHEN 6 THEN substr(text, 20, 12) ELSE '  ' || substr(text, 5, 25) || chr(160) END AS t
+    WHEN 0 THEN text WHEN 1 THEN upper(substr(lang, 1, 2)) || '-' || doc_id WHEN 2 THEN '' WHEN 3 THEN CAST(doc_id AS VARCHAR)
+    WHEN 4 THEN 'https://example.org/' || doc_id WHEN 5 THEN lang || CAST(doc_id AS VARCHAR) || '@example.org' WHEN 6 THEN lang || ' ' || source ELSE '  ' || text || chr(160) END AS t
   FROM documents, (SELECT unnest(range(8)) AS k))"""
 
 
 def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    s = lambda a, b: F.substring("text", a, b)
-    kinds = [s(1, 60), F.concat(F.upper(F.substring("lang", 1, 2)), F.lit("-"), "doc_id"), F.lit(""), F.col("doc_id").cast("string"), F.concat(F.lit("https://example.org/"), "doc_id"), F.concat("lang", F.col("doc_id").cast("string"), F.lit("@example.org")), s(20, 12), F.concat(F.lit("  "), s(5, 25), F.lit("\u00a0"))]
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    kinds = [F.col("text"), F.concat(F.upper(F.substring("lang", 1, 2)), F.lit("-"), "doc_id"), F.lit(""), F.col("doc_id").cast("string"), F.concat(F.lit("https://example.org/"), "doc_id"), F.concat("lang", F.col("doc_id").cast("string"), F.lit("@example.org")), F.concat_ws(" ", "lang", "source"), F.concat(F.lit("  "), "text", F.lit("\u00a0"))]
     return d.select("doc_id", F.posexplode(F.array(*kinds)).alias("k", "t")).select((F.col("doc_id") * 8 + F.col("k")).alias("id"), "t")
 
 
@@ -84,7 +83,7 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.normalized(F.col("text")).alias("normalized"))
 
 
-DOUBLED = """doubled AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN substr(text, 1, 40) || chr(10) || substr(text, 1, 40) WHEN 1 THEN trim(substr(text, 1, 30)) || ' ' || trim(substr(text, 1, 30)) WHEN 2 THEN substr(lang || doc_id || 'abcd', 1, 6) || substr(lang || doc_id || 'abcd', 1, 6) ELSE substr(text, 1, 50) END AS t FROM documents)"""
+DOUBLED = """doubled AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text || chr(10) || text WHEN 1 THEN trim(text) || ' ' || trim(text) WHEN 2 THEN substr(lang || doc_id || 'abcd', 1, 6) || substr(lang || doc_id || 'abcd', 1, 6) ELSE text END AS t FROM documents)"""
 
 
 @query(f"""WITH {DOUBLED}, parts AS (SELECT doc_id, t, list_filter(list_transform(regexp_split_to_array(t, '\\r\\n|\\n|\\r'), lambda x: regexp_replace(x, '{T.WS}+$', '')), lambda x: x <> '') AS lines, {n('t')} AS c,
@@ -93,29 +92,29 @@ SELECT doc_id, CASE WHEN len(lines) >= 2 AND len(lines) % 2 = 0 AND lines[1:len(
  WHEN len(w) >= 4 AND len(w) % 2 = 0 AND w[1:len(w)//2] = w[len(w)//2+1:] THEN array_to_string(w[1:len(w)//2], ' ')
  WHEN length(c) >= 8 AND length(c) % 2 = 0 AND left(c, length(c)//2) = substr(c, length(c)//2 + 1) THEN left(c, length(c)//2) ELSE t END AS collapsed FROM parts""")
 def collapse_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = lambda k: F.substring("text", 1, k)
+    whole = F.col("text")
     code = F.substring(F.concat("lang", F.col("doc_id").cast("string"), F.lit("abcd")), 1, 6)
     m = F.col("doc_id") % 4
-    t = F.when(m == 0, F.concat(s(40), F.lit("\n"), s(40))).when(m == 1, F.concat_ws(" ", F.btrim(s(30)), F.btrim(s(30)))).when(m == 2, F.concat(code, code)).otherwise(s(50))
+    t = F.when(m == 0, F.concat(whole, F.lit("\n"), whole)).when(m == 1, F.concat_ws(" ", F.btrim(whole), F.btrim(whole))).when(m == 2, F.concat(code, code)).otherwise(whole)
     rows = table(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
     return rows.select("doc_id", T.collapse_repeated(F.col("t")).alias("collapsed"))
 
 
-@query(f"""WITH p AS (SELECT doc_id, (CASE doc_id % 3 WHEN 0 THEN '• ' WHEN 1 THEN '(' || (doc_id % 9) || ') ' ELSE '' END) || substr(text, 1, 20) AS s, (CASE doc_id % 2 WHEN 0 THEN '- ' ELSE '' END) || substr(text, 30, 20) AS g FROM documents),
+@query(f"""WITH p AS (SELECT doc_id, (CASE doc_id % 3 WHEN 0 THEN '• ' WHEN 1 THEN '(' || (doc_id % 9) || ') ' ELSE '' END) || text AS s, (CASE doc_id % 2 WHEN 0 THEN '- ' ELSE '' END) || text AS g FROM documents),
 x AS (SELECT doc_id, s, g, regexp_extract(s, '{T.MARKER}', 0) AS sp, regexp_extract(g, '{T.MARKER}', 0) AS gp, ltrim(regexp_replace(g, '{T.MARKER}', ''), ' ') AS body FROM p)
 SELECT doc_id, CASE WHEN sp <> '' THEN sp || body WHEN gp <> '' THEN body ELSE g END AS aligned FROM x""")
 def align_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
-    source = F.concat(F.when(i % 3 == 0, "• ").when(i % 3 == 1, F.concat(F.lit("("), i % 9, F.lit(") "))).otherwise(""), F.substring("text", 1, 20))
-    target = F.concat(F.when(i % 2 == 0, "- ").otherwise(""), F.substring("text", 30, 20))
+    source = F.concat(F.when(i % 3 == 0, "• ").when(i % 3 == 1, F.concat(F.lit("("), i % 9, F.lit(") "))).otherwise(""), "text")
+    target = F.concat(F.when(i % 2 == 0, "- ").otherwise(""), "text")
     return table(spark, sf_dir, "documents").select("doc_id", T.align_marker(source, target).alias("aligned"))
 
 
-@query("""WITH p AS (SELECT doc_id, substr(text, 1, 1 + doc_id % 30) AS a, substr(text, 2 + doc_id % 30, doc_id % 25) AS b FROM documents)
+@query("""WITH p AS (SELECT doc_id, substr(text, 1, 1 + doc_id % 30) AS a, substr(text, 2 + doc_id % 30) AS b FROM documents)
 SELECT doc_id, CASE WHEN a = '' THEN b WHEN b = '' THEN a WHEN contains(',.;:%)]}', left(b, 1)) OR contains('([{/#$', right(a, 1)) OR regexp_matches(right(a, 1), '""" + T.WS + """') OR regexp_matches(left(b, 1), '""" + T.WS + """') THEN a || b ELSE a || ' ' || b END AS joined FROM p""")
 def join_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
-    a, b = F.col("text").substr(F.lit(1), (1 + i % 30).cast("int")), F.col("text").substr((2 + i % 30).cast("int"), (i % 25).cast("int"))
+    a, b = F.col("text").substr(F.lit(1), (1 + i % 30).cast("int")), F.col("text").substr((2 + i % 30).cast("int"), F.length("text"))
     return table(spark, sf_dir, "documents").select("doc_id", T.join_fragments(a, b).alias("joined"))
 
 
