@@ -27,8 +27,11 @@ _EDGES = string.punctuation + "«»“”„’‘¿¡…–—"
 Model = dict[str, np.ndarray]
 
 
-def word_inputs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For distinct words: row of the word table; rows of the trigram table, all words' in one array; where each word's begin."""
+#: Words hashed at once: bounds the memory of word inputs.
+BLOCK = 20_000
+
+
+def _inputs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = [b"\x02" + (w.strip(_EDGES) or w).encode() + b"\x03" for w in words]
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
     flat = np.frombuffer(b"".join([*raw, b"\0\0"]), np.uint8).astype(np.uint64)
@@ -36,16 +39,28 @@ def word_inputs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts = np.cumsum(sizes) - sizes
     powers = np.uint64(0x9E3779B97F4A7C15)
     place = np.arange(len(flat) - 2, dtype=np.uint64) - np.repeat(starts, sizes).astype(np.uint64)
-    whole = np.add.reduceat(mixed(flat[:-2] * powers + place), starts) if len(raw) else np.zeros(0, np.uint64)
+    whole = np.add.reduceat(mixed(flat[:-2] * powers + place), starts)
     inner = place < np.repeat(np.maximum(1, sizes - 2), sizes).astype(np.uint64)  # a trigram ends with its word
-    counts = np.maximum(1, sizes - 2)
-    return (mixed(whole) >> np.uint64(64 - WORD_BITS)).astype(np.int64), (grams[inner] >> np.uint64(64 - GRAM_BITS)).astype(np.int64), np.cumsum(counts) - counts
+    return (mixed(whole) >> np.uint64(64 - WORD_BITS)).astype(np.int32), (grams[inner] >> np.uint64(64 - GRAM_BITS)).astype(np.int32), np.maximum(1, sizes - 2)
 
 
-def word_vectors(m: Model, words: list[str]) -> np.ndarray:
-    row, grams, starts = word_inputs(words)
-    counts = np.diff(np.append(starts, len(grams)))
-    return np.concatenate([m["words"][row], np.add.reduceat(m["grams"][grams], starts) / counts[:, None]], 1).astype(m["words"].dtype) if len(words) else np.zeros((0, 2 * DIMS), m["words"].dtype)
+def word_inputs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For distinct words: row of the word table; rows of the trigram table, all words' in one array; where each word's begin."""
+    parts = [_inputs(words[i : i + BLOCK]) for i in range(0, len(words), BLOCK)]
+    row, grams, counts = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64))
+    return row, grams, np.cumsum(counts) - counts
+
+
+def word_vectors(m: Model, words: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """The input vectors of word_inputs()."""
+    row, grams, starts = words
+    ends = np.append(starts[1:], len(grams))
+    out = np.empty((len(row), 2 * DIMS), m["words"].dtype)
+    out[:, :DIMS] = m["words"][row]
+    for i in range(0, len(row), BLOCK):
+        a, b = starts[i], ends[min(i + BLOCK, len(row)) - 1]
+        out[i : i + BLOCK, DIMS:] = np.add.reduceat(m["grams"][grams[a:b]], starts[i : i + BLOCK] - a) / (ends - starts)[i : i + BLOCK, None]
+    return out
 
 
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,10 +124,12 @@ def _gru_back(grad: np.ndarray, u: np.ndarray, mask: np.ndarray, kept: list) ->
 
 def logits(m: Model, vectors: np.ndarray, ids: np.ndarray, lengths: np.ndarray, most: int = 2048) -> np.ndarray:
     """One logit a window; ids (B, WINDOW) are rows of vectors, those past the length don't matter."""
-    ahead, behind = vectors @ m["in_f"] + m["bias_f"], vectors @ m["in_b"] + m["bias_b"]
     out = np.zeros(len(ids))
     for i in range(0, len(ids), most):
-        at, n = ids[i : i + most].T, lengths[i : i + most]
+        # only the words of these windows are projected, so memory doesn't follow the vocabulary
+        used, at = np.unique(ids[i : i + most], return_inverse=True)
+        at, n = at.reshape(-1, WINDOW).T, lengths[i : i + most]
+        ahead, behind = vectors[used] @ m["in_f"] + m["bias_f"], vectors[used] @ m["in_b"] + m["bias_b"]
         mask = None if (n == WINDOW).all() else (np.arange(WINDOW)[:, None] < n[None]).astype(vectors.dtype)
         states = np.concatenate([_gru(ahead, at, m["rec_f"], mask, None), _gru(behind, at[::-1], m["rec_b"], None if mask is None else mask[::-1], None)[::-1]], 2)
         a = states @ m["attend"]
@@ -184,7 +201,7 @@ def _tokens(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 
 def _window_ids(which: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    return which[np.minimum(first[:, None] + np.arange(WINDOW), (first + lengths - 1)[:, None])]
+    return which[np.minimum(first[:, None] + np.arange(WINDOW), (first + lengths - 1)[:, None])].astype(np.int32)
 
 
 def fit(texts: list[str], labels: np.ndarray, share: float | None = None, rounds: int = 10, batch: int | None = None, seed: int = 3) -> dict:
@@ -218,7 +235,7 @@ def fit(texts: list[str], labels: np.ndarray, share: float | None = None, rounds
     order_of = np.cumsum(np.bincount(owner, minlength=len(counts))) - np.bincount(owner, minlength=len(counts))
     for k in range(rounds):
         # at first the window with the likeliest word
-        x = m["words"][row, 0][ids].max(1) if k == 0 else logits(m, word_vectors(m, names), ids, lengths)
+        x = m["words"][row, 0][ids].max(1) if k == 0 else logits(m, word_vectors(m, words), ids, lengths)
         best = np.lexsort((-x, owner))
         rank = np.arange(len(best)) - order_of[owner[best]]
         chosen = best[(rank == 0) | ((rank <= 2) & (labels[owner[best]] == 0))]
@@ -231,7 +248,7 @@ def fit(texts: list[str], labels: np.ndarray, share: float | None = None, rounds
                 a += 0.1 * (g[name] - a)
                 b += 0.01 * (g[name] ** 2 - b)
                 m[name] -= (0.01 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-7)).astype(m[name].dtype)
-    x = logits(m, word_vectors(m, names), ids, lengths)
+    x = logits(m, word_vectors(m, words), ids, lengths)
     top = np.full(len(counts), -np.inf)
     np.maximum.at(top, owner, x)
     has = np.isfinite(top)
@@ -255,7 +272,7 @@ def text_scores(fitted: dict, texts: pa.Array) -> np.ndarray:
     m = fitted["model"]
     names, which, counts = _tokens(texts)
     owner, first, lengths = windows(counts)
-    vectors, top = word_vectors(m, names), np.full(len(texts), -np.inf)
+    vectors, top = word_vectors(m, word_inputs(names)), np.full(len(texts), -np.inf)
     full = lengths == WINDOW
     for at in (np.flatnonzero(full), np.flatnonzero(~full)):
         for i in range(0, len(at), 16_384):
@@ -278,8 +295,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, held_out: Column, sample
     if not chosen:
         return [], np.zeros(0), share
     few = docs.sparkSession.createDataFrame(chosen, ids.schema)  # 2 * sample rows at most
-    rows = fitting.where(F.length("text") <= sample_chars).join(F.broadcast(few), "id").groupBy("id", "mark").agg(F.min("text").alias("text")).orderBy("id").collect()
-    return [r["text"] for r in rows], np.array([r["mark"] for r in rows], float), share
+    rows = fitting.where(F.length("text") <= sample_chars).join(F.broadcast(few), "id").groupBy("id", "mark").agg(F.min("text").alias("text")).orderBy("id").select("text", "mark").toArrow()
+    return rows["text"].to_pylist(), rows["mark"].to_numpy().astype(float), share
 
 
 def score(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = 1500, sample_chars: int = 12_000, rounds: int = 10, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", carry: str | None = None) -> DataFrame:
@@ -295,7 +312,7 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = 15
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, most=4 << 20):
                 x = text_scores(fitted.value, batch.column("text"))
                 yield pa.record_batch([batch.column("id"), batch.column("held"), pa.array(x), pa.array((x >= 0.5).astype(np.int32)), *(batch.column(c) for c in extra)], ["id", "held_out", "score", "predicted", *extra])
 

@@ -25,7 +25,7 @@ def test_gradients_equal_differences():
     words = toxicity.word_inputs(names)
     ids, lengths, labels = rng.integers(0, 20, (5, toxicity.WINDOW)), np.array([32, 3, 1, 32, 20]), np.array([1.0, 0, 1, 0, 1])
     loss, g = toxicity.gradients(m, words, ids, lengths, labels)
-    x = toxicity.logits(m, toxicity.word_vectors(m, names), ids, lengths)
+    x = toxicity.logits(m, toxicity.word_vectors(m, words), ids, lengths)
     assert np.isclose(loss, np.mean(np.logaddexp(0, x) - labels * x))
     for name, v in m.items():
         flat = np.flatnonzero(np.abs(g[name]).ravel() > 1e-6)
