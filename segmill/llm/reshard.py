@@ -71,7 +71,7 @@ def plan(sizes: list[int], caps: list[int]) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def reshard(docs: DataFrame, old_shards: int = 16, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", old_col: str | None = None, block_rows: int = 65_536) -> DataFrame:
+def reshard(docs: DataFrame, old_shards: int = 16, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", old_col: str | None = None, block_rows: int = 16_384) -> DataFrame:
     """(id, text, size, old_shard, shard and its block and rank): the new shard of every row, from 0 to shards-1; rewrite() gives slots.
 
     size: UTF-8 bytes of the text (null: none) plus 8. old_col names the column with the present shard; without it a row's
