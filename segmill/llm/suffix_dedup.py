@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import bloom, in_bloom, mixed, slices, written
 
 SPAN, GRAM = 200, 100
-PIECE = 1 << 21
+#: Bytes hashed at once: bounds a task's memory, whatever the length of a text. Places in a buffer have to fit 24 bits.
+PIECE = 1 << 19
 _rng = np.random.default_rng(6)
 _BYTES = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _R = 0x9E3779B97F4A7C15
@@ -67,14 +68,22 @@ class Rolling:
 def anchors(texts: list[bytes], span: int = SPAN, gram: int = GRAM) -> dict[str, np.ndarray] | None:
     """The contexts of texts: g (gram hash), c (hash of all its bytes, the byte before and its shape), text (index), lo (first
     window), n (windows), left (byte before the first window; -1: none). Long texts are taken in pieces; a piece's first window counts as having none."""
-    raw, owner, base = [], [], []
+    found, held, size = [], [], 0
     for i, t in enumerate(texts):
         for p in range(0, max(0, len(t) - span + 1), PIECE):
-            raw.append(t[p : min(len(t), p + PIECE + span - 1)])
-            owner.append(i)
-            base.append(p)
-    if not raw:
-        return None
+            held.append((t[p : min(len(t), p + PIECE + span - 1)], i, p))
+            size += len(held[-1][0])
+            if size >= PIECE:
+                found.append(_anchors(held, span, gram))
+                held, size = [], 0
+    if held:
+        found.append(_anchors(held, span, gram))
+    return {c: np.concatenate([x[c] for x in found]) for c in found[0]} if found else None
+
+
+def _anchors(pieces: list[tuple[bytes, int, int]], span: int, gram: int) -> dict[str, np.ndarray]:
+    """The contexts of pieces: bytes (a window at least), index of the text and place in it."""
+    raw, owner, base = zip(*pieces, strict=True)
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
     buf = np.frombuffer(b"".join(raw), np.uint8)
     starts, w = np.cumsum(sizes) - sizes, span - gram + 1
@@ -208,7 +217,7 @@ def sort_suffixes(suffixes: DataFrame, ranges: int) -> DataFrame:
             for x in zip(batch.column("suffix").to_pylist(), batch.column("weight").to_pylist(), strict=True):
                 held.append(x)
                 size += len(x[0])
-                if size > 64 << 20:
+                if size > 16 << 20:
                     yield flush()
                     size = 0
         if held:

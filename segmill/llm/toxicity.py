@@ -312,7 +312,7 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = 15
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, most=4 << 20):
+            for batch in slices(whole, most=1 << 20):
                 x = text_scores(fitted.value, batch.column("text"))
                 yield pa.record_batch([batch.column("id"), batch.column("held"), pa.array(x), pa.array((x >= 0.5).astype(np.int32)), *(batch.column(c) for c in extra)], ["id", "held_out", "score", "predicted", *extra])
 
