@@ -74,18 +74,20 @@ def plan(sizes: list[int], caps: list[int]) -> list[tuple[int, int, int, int]]:
 def reshard(docs: DataFrame, old_shards: int = 16, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", old_col: str | None = None, block_rows: int = 16_384) -> DataFrame:
     """(id, text, size, old_shard, shard and its block and rank): the new shard of every row, from 0 to shards-1; rewrite() gives slots.
 
-    size: UTF-8 bytes of the text (null: none) plus 8. old_col names the column with the present shard; without it a row's
-    present shard is a hash of its id. Rows with a null id or text are placed like any other. Repeated rows are each placed;
+    size: UTF-8 bytes of the text (null: none) plus 8. old_col names the column with the present shard; without it, or where it is
+    null or no shard from 0 to old_shards-1, a row's present shard is a hash of its id. Rows with a null id or text are placed like any other. Repeated rows are each placed;
     which of two equal rows gets which slot doesn't matter. Other columns are ignored; an empty table gives no rows. A shard
     can't be smaller than its largest row, so very long texts in small tables make shards uneven.
     """
     spark = docs.sparkSession
     text = F.col(text_col)
+    hashed = F.pmod(F.xxhash64(F.col(id_col)), F.lit(old_shards))
+    present = hashed if old_col is None else F.when(F.col(old_col).between(0, old_shards - 1), F.col(old_col)).otherwise(hashed)
     rows = docs.select(
         F.col(id_col).alias("id"),
         text.alias("text"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
-        (F.pmod(F.xxhash64(F.col(id_col)), F.lit(old_shards)) if old_col is None else F.col(old_col)).cast("int").alias("old_shard"),
+        present.cast("int").alias("old_shard"),
     )
     n = rows.count()
     buckets = max(8, -(-n // (old_shards * block_rows)))
@@ -115,7 +117,7 @@ def rewrite(placed: DataFrame, folder: str | None = None) -> DataFrame:
     spark = placed.sparkSession
     folder = folder or new_path(spark, "shards")
     placed.select("id", "text", "size", "old_shard", "class", "bucket", "rank", "shard").write.option("compression", "zstd").partitionBy("shard").parquet(folder)
-    files = spark.read.schema("id long, text string, size long, old_shard int, class int, bucket int, rank int, shard int").parquet(folder)
+    files = spark.read.schema(f"id {placed.schema['id'].dataType.simpleString()}, text string, size long, old_shard int, class int, bucket int, rank int, shard int").parquet(folder)
     block = ["shard", "old_shard", "class", "bucket"]
     counts = files.groupBy(*block).agg(F.count("*").alias("n"), F.min("rank").alias("first"))
     before = Window.partitionBy("shard").orderBy("old_shard", "class", "bucket").rowsBetween(Window.unboundedPreceding, -1)

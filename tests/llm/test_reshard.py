@@ -53,3 +53,12 @@ def test_documents(spark):
 def test_edges(edge):
     check(edge, 600_000)
     assert reshard.rewrite(reshard.reshard(edge.limit(0))).count() == 0
+
+
+def test_present_shards(spark):
+    rows = [(f"d{i}", "x" * i, [0, 1, 2, None, 7, -1][i % 6]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "name string, text string, at int")
+    got = reshard.rewrite(reshard.reshard(docs, 3, 4, id_col="name", old_col="at")).collect()
+    assert sorted(r["id"] for r in got) == sorted(r[0] for r in rows)
+    known = {n: at for n, _, at in rows if at in (0, 1, 2)}
+    assert all(r["old_shard"] == known.get(r["id"], r["old_shard"]) and 0 <= r["old_shard"] < 3 and 0 <= r["shard"] < 4 for r in got)
