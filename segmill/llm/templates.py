@@ -3,7 +3,7 @@
 Numbers, quantities, units and names of a text become typed placeholders, so that a question with other values has the same
 template. Windows of five template words are hashed and joined with those of the benchmark items; a document that holds at
 least 0.8 of an item's windows is matched, if the values in the placeholders agree: an item's value must always stand
-for the same value of the document. DataFrame functions only.
+for the same value of the document, at one place where the document holds the item, or over all places. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, written
 
 WORDS = 5
+#: Words that may be put in or left out before places count as another alignment.
+DRIFT = 4
 #: Spelled-out numbers and units that count as such wherever they stand.
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 UNITS = "mm cm km kg mg ml metre metres meter meters kilometre kilometres kilometer kilometers mile miles inch inches foot feet yard yards gram grams kilogram kilograms tonne tonnes litre litres liter liters hour hours minute minutes second seconds day days week weeks month months year years dollar dollars euro euros pound pounds cent cents percent degree degrees volt volts watt watts joule joules newton newtons".split()
@@ -83,13 +85,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     """(id_col, text_hash, item_col, windows, matched, consistent): pairs of a document and an item of which it holds at least `similarity` of the distinct windows.
 
     consistent: each value in the item's placeholders stands for one value of the document, in at least `similarity` of the
-    matched windows that hold it. Null, empty and blank texts match nothing, on either side. Repeated items match each; repeated
+    matched windows that hold it. That is asked of each alignment (places of the document less places in the item, equal or
+    within DRIFT) that holds `similarity` of the distinct windows, and of all places together; one that agrees is enough.
+    A window that the item holds several times has all its places. Null, empty and blank texts match nothing, on either side. Repeated items match each; repeated
     rows of docs give one row per distinct id and text. Null ids are kept as such. Other columns are ignored.
     """
     items = template(benchmark.select(F.col(item_col).alias("item"), F.xxhash64(text_col).alias("item_hash"), F.col(text_col).alias("text")).distinct(), "item", "item_hash")
     item = ["item", "item_hash"]
-    own = written(template_windows(items, *item).groupBy(*item, "h").agg(F.min("pos").alias("item_pos")), "item-windows")
-    side = own.join(own.groupBy(*item).agg(F.count("*").alias("windows")).withColumnsRenamed({"item": "i", "item_hash": "ih"}), F.col("item").eqNullSafe(F.col("i")) & F.col("item_hash").eqNullSafe(F.col("ih"))).drop("i", "ih")
+    own = written(template_windows(items, *item).groupBy(*item, "h").agg(F.array_sort(F.collect_list("pos")).alias("places")), "item-windows")
+    side = own.drop("places").join(own.groupBy(*item).agg(F.count("*").alias("windows")).withColumnsRenamed({"item": "i", "item_hash": "ih"}), F.col("item").eqNullSafe(F.col("i")) & F.col("item_hash").eqNullSafe(F.col("ih"))).drop("i", "ih")
     if own.count() <= BROADCAST_WINDOWS:
         side = F.broadcast(side)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
@@ -98,7 +102,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     found = written(hits.groupBy(*doc, *item, "windows").agg(F.countDistinct("h").alias("matched")).where(F.col("matched") >= similarity * F.col("windows")), "matches")
     same = lambda a, b, names: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in names]
     on = lambda a, b, names: reduce(lambda x, y: x & y, same(a, b, names))
-    of = hits.alias("a").join(found.alias("b"), on("a", "b", [*doc, *item])).select("a.*", "b.matched")
+    of = hits.alias("a").join(found.alias("b"), on("a", "b", [*doc, *item])).select("a.*").alias("a")
+    of = of.join(own.alias("o"), on("a", "o", [*item, "h"])).select("a.*", F.posexplode("o.places").alias("nth", "item_pos"))
+    # alignments: (0, shift) has the hits of that shift, (1, shift) those within DRIFT, the nearest of a place; (2, 0) all, by an item's first place
+    shift = F.col("pos") - F.col("item_pos")
+    near = F.transform(F.sequence(F.lit(-DRIFT), F.lit(DRIFT)), lambda d: F.struct(F.lit(1).alias("kind"), (shift + d).alias("shift"), F.abs(d).alias("off")))
+    alone = lambda kind, at: F.array(F.struct(F.lit(kind).alias("kind"), at.alias("shift"), F.lit(0).alias("off")))
+    ways = F.concat(alone(0, shift), near, F.when(F.col("nth") == 0, alone(2, F.lit(0))).otherwise(F.slice(alone(2, F.lit(0)), 1, 0)))
+    group = [*doc, *item, "kind", "shift"]
+    of = of.withColumn("way", F.explode(ways)).select(*doc, *item, "windows", "h", "pos", "item_pos", "way.*")
+    of = written(of.groupBy(*group, "windows", "h", "pos").agg(F.min(F.struct("off", "item_pos"))["item_pos"].alias("item_pos")), "alignments")
+    whole = of.groupBy(*group, "windows").agg(F.countDistinct("h").alias("held")).where(F.col("held") >= similarity * F.col("windows")).select(*group)
+    of = of.alias("a").join(whole.alias("b"), on("a", "b", group), "left_semi")
     # values of placeholders: of the matched documents and items alone, and a row per placeholder
     held = found.select(*doc).distinct().alias("b")
     texts = rows.alias("a").join(held, on("a", "b", doc), "left_semi").dropDuplicates(doc)
@@ -107,9 +122,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     inside = F.col("i.at").between(F.col("a.item_pos"), F.col("a.item_pos") + WORDS - 1)
     values = of.alias("a").join(theirs, on("a", "i", item) & inside).select("a.*", "i.theirs", (F.col("a.pos") + F.col("i.at") - F.col("a.item_pos")).alias("place")).alias("a")
     values = values.join(ours, on("a", "d", doc) & (F.col("a.place") == F.col("d.our_at")), "left").select("a.*", F.coalesce("d.ours", F.lit("")).alias("ours"))
-    each = values.groupBy(*doc, *item, F.col("theirs").alias("value"), "ours").agg(F.count("*").alias("n"))
-    value = each.groupBy(*doc, *item, "value").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
-    agree = value.groupBy(*doc, *item).agg(F.bool_and(F.col("most") >= similarity * F.col("n")).alias("agree")).alias("b")
+    each = values.groupBy(*group, F.col("theirs").alias("value"), "ours").agg(F.count("*").alias("n"))
+    value = each.groupBy(*group, "value").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+    agree = value.groupBy(*group).agg(F.bool_and(F.col("most") >= similarity * F.col("n")).alias("agree"))
+    # an alignment without values agrees
+    agree = whole.alias("a").join(agree.alias("b"), on("a", "b", group), "left").select("a.*", F.coalesce("b.agree", F.lit(True)).alias("agree"))
+    agree = agree.groupBy(*doc, *item).agg(F.bool_or("agree").alias("agree")).alias("b")
     out = found.alias("a").join(agree, on("a", "b", [*doc, *item]), "left")
     return out.select(F.col("a.id").alias(id_col), "a.text_hash", F.col("a.item").alias(item_col), "a.windows", "a.matched", F.coalesce("agree", F.lit(True)).alias("consistent"))
 

@@ -43,6 +43,26 @@ def test_slots(spark):
     assert sorted(r["doc_id"] for r in templates.decontaminate(docs, items, similarity=0.85).collect()) == [2, 4]
 
 
+TWICE = "Today Anna has 3 red apples in a bag, and Boris has 4 red apples in a bag. How many apples do they have in all?"
+
+
+def test_item_with_a_repeated_window(spark):
+    other = TWICE.replace("3", "7").replace("4", "9").replace("Anna", "Clara")
+    docs = spark.createDataFrame([(1, TWICE), (2, f"Before it. {other} And after it."), (3, MIXED)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, TWICE), (8, ITEM)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["consistent"] for r in templates.contaminated(docs, items, similarity=0.85).collect()}
+    assert got == {(1, 7): True, (2, 7): True, (3, 8): False}
+
+
+def test_copy_and_variant(spark):
+    longer = ITEM.replace("to see", "over the hills to see")
+    rows = [(1, f"{ITEM} {SAME}"), (2, f"{SAME} {ITEM} {MIXED}"), (3, f"{longer} {SAME}"), (4, f"{MIXED} Then. {MIXED}"), (5, f"{TWICE} {TWICE.replace('3', '8').replace('4', '6')}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(7, ITEM), (8, TWICE)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["consistent"] for r in templates.contaminated(docs, items, similarity=0.85).collect()}
+    assert got == {(1, 7): True, (2, 7): True, (3, 7): True, (4, 7): False, (5, 8): True}
+
+
 def test_edges(spark, edge):
     items = spark.createDataFrame([(1, "repeated row"), (2, None), (3, ""), (4, "one"), (None, "a row without an id"), (5, "one")], "item_id long, text string").withColumn("h", F.lit(1))
     got = {(r["doc_id"], r["item_id"]) for r in templates.contaminated(edge, items).collect()}
