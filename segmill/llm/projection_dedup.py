@@ -2,13 +2,14 @@
 
 In each pass every vector gets a key of concatenated random-hyperplane bits; vectors are put in the lexicographic order of
 (label, key) and compared with the `window` to `2 * window` vectors that follow and precede them; pairs with a cosine of
-at least the threshold link, and links of all passes are united. Equal vectors are one node beforehand, so a vector that holds
-a third of all rows costs no comparison.
+at least the threshold link, and links of all passes are united to components. Equal vectors are one node beforehand, so a
+vector that holds a third of all rows costs no comparison. Links are then counted by comparing all vectors of a component with
+each other, so that a group wider than the windows, whose members the passes have only chained, has all its links.
 
 Order is by exact rank (sorted partitions plus prefix sums of their sizes). Ranks are cut into blocks of `window`; a vector is
-compared with its own block and the two beside it. Each pair is counted once: a block leaves out what an earlier pass has
-compared, which the earlier passes' blocks of both vectors tell. A task holds `span` + 1 blocks, however many share a key.
-What leaves a block is a count per vector and a spanning edge, never the pairs.
+compared with its own block and the two beside it, and a task holds `span` + 1 blocks, however many share a key. For the count
+components are laid end to end and cut into blocks of `span * window` vectors, and a task holds two of them. What leaves a
+task is a spanning edge or a count per vector, never the pairs.
 """
 
 from __future__ import annotations
@@ -59,44 +60,51 @@ def _keys(nodes: DataFrame, passes: int, bits: int) -> DataFrame:
     return nodes.mapInArrow(run, f"node long, label long, dims int, {', '.join(f'{n} long' for n in names)}")
 
 
-def _blocks(keys: DataFrame, passes: int, window: int) -> DataFrame:
-    """(node, blocks array<long>): the block of each pass; a block never holds two passes and its number grows with (label, key)."""
-    each = keys.select("node", "label", "dims", F.posexplode(F.array(*(F.col(f"key_{p}") for p in range(passes)))).alias("pass", "key"))
-    parts = keys.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ordered = each.repartitionByRange(int(parts), "pass", "label", "dims", "key", "node").sortWithinPartitions("pass", "label", "dims", "key", "node")
+def _ranks(rows: DataFrame, order: list[str], keep: list[str]) -> DataFrame:
+    """(keep, rank): the place of each row in the order, from 0."""
+    parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    ordered = rows.repartitionByRange(int(parts), *order).sortWithinPartitions(*order).select(*keep)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            yield pa.record_batch([pa.array(np.full(len(batch), part, np.int32)), pa.array(np.arange(at, at + len(batch))), batch.column("pass"), batch.column("node")], ["part", "at", "pass", "node"])
+            yield pa.record_batch([pa.array(np.full(len(batch), part, np.int32)), pa.array(np.arange(at, at + len(batch))), *batch.columns], ["part", "at", *keep])
             at += len(batch)
 
-    ranked = written(ordered.select("pass", "node").mapInArrow(number, "part int, at long, pass int, node long"), "ranks")
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ordered.schema)
+    ranked = written(ordered.mapInArrow(number, f"part int, at long, {types}"), "ranks")
     sizes = ranked.groupBy("part").agg(F.count("*").alias("n"))  # one row per partition
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    block = F.floor((F.col("base") + F.col("at")) / window)
-    return ranked.join(F.broadcast(bases), "part").groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", block.alias("b")))), lambda x: x["b"]).alias("blocks"))
+    return ranked.join(F.broadcast(bases), "part").select(*keep, (F.col("base") + F.col("at")).alias("rank"))
 
 
-def _compare(placed: DataFrame, passes: int, window: int, span: int, threshold: float) -> DataFrame:
-    """(node, linked long, other): links first seen in this block, in vectors, and the smallest node of the block's own component."""
-    each = placed.select("node", "label", "copies", "vector", "blocks", F.posexplode("blocks").alias("pass", "block"))
+def _blocks(keys: DataFrame, passes: int, window: int) -> DataFrame:
+    """(node, blocks array<long>): the block of each pass; its number grows with (pass, label, key). Equal keys lie in another order in each pass."""
+    each = keys.select("node", "label", "dims", F.posexplode(F.array(*(F.col(f"key_{p}") for p in range(passes)))).alias("pass", "key"))
+    each = each.withColumn("tie", F.xxhash64("node", "pass"))
+    ranked = _ranks(each, ["pass", "label", "dims", "key", "tie", "node"], ["pass", "node"])
+    block = F.floor(F.col("rank") / window)
+    return ranked.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", block.alias("b")))), lambda x: x["b"]).alias("blocks"))
+
+
+def _compare(placed: DataFrame, window: int, span: int, threshold: float) -> DataFrame:
+    """(node, other): the smallest node of the component that a task's own blocks give."""
+    each = placed.select("node", "label", "vector", F.posexplode("blocks").alias("pass", "block"))
     group = F.floor(F.col("block") / span)
     first = (F.col("block") % span == 0) & (group > 0)
     # the first block of a group is also compared with the last of the group before
     spread = each.withColumn("group", F.explode(F.when(first, F.array(group, group - 1)).otherwise(F.array(group))))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        at, group = key[0].as_py(), key[1].as_py()
+        group = key[1].as_py()
         table = table.combine_chunks()
-        node, label, copies, block = (table[c].to_numpy() for c in ("node", "label", "copies", "block"))
-        blocks = np.stack(table["blocks"].to_pylist()) if len(node) else np.zeros((0, passes), np.int64)
+        node, label, block = (table[c].to_numpy() for c in ("node", "label", "block"))
         vectors = table["vector"].combine_chunks()
         sizes = vectors.value_lengths().to_numpy()
-        linked, root = np.zeros(len(node), np.int64), node.copy()
+        root = node.copy()
         edges: list[tuple[np.ndarray, np.ndarray]] = []
         for d in np.unique(sizes):
             own = np.flatnonzero(sizes == d)
@@ -111,11 +119,7 @@ def _compare(placed: DataFrame, passes: int, window: int, span: int, threshold:
                 close = (unit[x] @ unit[y].T >= threshold) & (label[here][:, None] == label[both][None, :])
                 close[:, : len(x)] &= np.arange(len(x))[:, None] < np.arange(len(x))[None, :]
                 i, j = np.nonzero(close)
-                i, j = here[i], both[j]
-                edges.append((i, j))
-                new = ~(np.abs(blocks[i, :at] - blocks[j, :at]) <= 1).any(1)
-                np.add.at(linked, i[new], copies[j[new]])
-                np.add.at(linked, j[new], copies[i[new]])
+                edges.append((here[i], both[j]))
         if edges:
             i, j = (np.concatenate(x) for x in zip(*edges, strict=True))
             while len(i):
@@ -124,10 +128,42 @@ def _compare(placed: DataFrame, passes: int, window: int, span: int, threshold:
                 np.minimum.at(root, j, root[i])
                 if (before == root).all():
                     break
-        keep = (linked > 0) | (root != node)
-        return pa.table({"node": node[keep], "linked": linked[keep], "other": root[keep]})
+        keep = root != node
+        return pa.table({"node": node[keep], "other": root[keep]})
+
+    return spread.groupBy("pass", "group").applyInArrow(run, "node long, other long")
+
+
+def _counts(nodes: DataFrame, comps: DataFrame, size: int, threshold: float) -> DataFrame:
+    """(node, linked long): vectors of the component that link with the node; every two of a component are compared, blocks of `size` at a time."""
+    many = comps.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    ranked = _ranks(comps.join(many, "component").select("component", "node"), ["component", "node"], ["component", "node"])
+    placed = written(ranked.select("component", "node", F.floor(F.col("rank") / size).alias("block")), "members")
+    ends = placed.groupBy("component").agg(F.min("block").alias("first"), F.max("block").alias("last"))
+    rows = placed.join(ends, "component").join(nodes.select("node", "copies", "vector"), "node")
+    rows = rows.select("component", "node", "copies", "vector", "block", F.explode(F.sequence("first", "last")).alias("with"))
+    rows = rows.select("component", "node", "copies", "vector", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        low, high = key[0].as_py(), key[1].as_py()
+        table = table.combine_chunks()
+        component, node, copies, block = (table[c].to_numpy() for c in ("component", "node", "copies", "block"))
+        vectors, linked = table["vector"].combine_chunks(), np.zeros(len(node), np.int64)
+        order = np.argsort(component, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(component[order])) + 1):
+            unit = _unit(_matrix(vectors.take(pa.array(own))))
+            x, y = np.flatnonzero(block[own] == low), np.flatnonzero(block[own] == high)
+            for start in range(0, len(x), 256):
+                part = x[start : start + 256]
+                close = unit[part] @ unit[y].T >= threshold
+                if low == high:
+                    close &= part[:, None] < y[None, :]
+                linked[own[part]] += close @ copies[own[y]]
+                linked[own[y]] += copies[own[part]] @ close
+        keep = linked > 0
+        return pa.table({"node": node[keep], "linked": linked[keep]})
 
-    return spread.groupBy("pass", "group").applyInArrow(run, "node long, linked long, other long")
+    return rows.groupBy("low", "high").applyInArrow(run, "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, passes: int = 12, bits: int = 32, window: int = 256, span: int = 8, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -135,7 +171,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, passes: int = 1
 
     Null, empty and zero vectors, vectors with null, infinite or NaN components and rows with a null label link with nothing;
     vectors of different length don't link. Repeated ids each give a row. A row with a null id links with nothing. Ties in the
-    order are settled by the id. Other columns are ignored; an empty table gives an empty result.
+    order are settled by a hash of id and pass. Other columns are ignored; an empty table gives an empty result.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), F.col(label_col).cast("long").alias("label"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -145,9 +181,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, passes: int = 1
     fine = rows.where("vector is not null")
     nodes = written(fine.groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "vectors")
     blocks = _blocks(_keys(nodes, passes, bits), passes, window)
-    found = written(_compare(nodes.join(blocks, "node"), passes, window, span, threshold), "links")
-    counts = found.groupBy("node").agg(F.sum("linked").alias("linked"))
-    comps = components(nodes.select("node"), found.select(F.col("node").alias("a"), F.col("other").alias("b")), "node")
+    found = written(_compare(nodes.join(blocks, "node"), window, span, threshold), "links")
+    comps = written(components(nodes.select("node"), found.select(F.col("node").alias("a"), F.col("other").alias("b")), "node"), "components")
+    counts = _counts(nodes, comps, span * window, threshold)
     known = nodes.join(comps, "node").join(counts, "node", "left").select("label", "vector", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component")
     known = written(known, "labelled")
     out = rows.join(known, ["label", "vector"], "left")

@@ -53,6 +53,23 @@ def test_embeddings_recall(spark, small):
     assert got == brute([tuple(r) for r in df.select("vec_id", "embedding", "label").collect()])
 
 
+def test_dense_groups(spark):
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for label, (n, spread) in enumerate([(2000, 0.0125), (4000, 0.0004), (2500, 0.0185)]):
+        # unit centre plus noise: mean cosines of about 0.99, 0.99999 and 0.979
+        base = rng.standard_normal(64)
+        x = (base / np.sqrt(base @ base) + rng.standard_normal((n, 64)) * spread).astype(np.float32)
+        ids = np.arange(n) + len(rows)
+        rows += [(int(i), v.tolist(), label) for i, v in zip(ids, x, strict=True)]
+        u = x.astype(np.float64)
+        u /= np.sqrt((u * u).sum(1))[:, None]
+        want |= dict(zip(ids.tolist(), ((u @ u.T >= 0.98).sum(1) - 1).tolist(), strict=True))
+    got = {r["vec_id"]: r["n_links"] for r in projection_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    share = [sum(got[i] for i, _, x in rows if x == label) / max(1, sum(want[i] for i, _, x in rows if x == label)) for label in (0, 1, 2)]
+    assert all(got[i] <= want[i] for i in want) and share == [1.0, 1.0, 1.0]
+
+
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 2), (4, None, 1), (5, [0.0, 0.0], 1), (6, [nan, 1.0], 1), (7, [inf, 0.0], 1), (8, [1.0, None], 1), (9, [1.0, 0.0], None), (10, [], 1), (11, [1.0], 1), (12, [1.0, 0.0, 0.0], 1), (0, [-1.0, 0.0], 1)]
