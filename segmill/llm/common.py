@@ -1,4 +1,4 @@
-"""What several of the operators share: the work folder, tables that cut lineage, components, bounded Bloom filters."""
+"""What several of the operators share: the work folder, tables that cut lineage, components, bounded Bloom filters, hashes of substrings."""
 
 from __future__ import annotations
 
@@ -116,3 +116,35 @@ def in_bloom(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     for p in _probes(keys.view(np.uint64), bits):
         out &= (words[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
     return out
+
+
+_rng = np.random.default_rng(6)
+_BYTES = _rng.integers(0, 2**64, 256, dtype=np.uint64)
+_R = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd base modulo 2**64 and of its inverse."""
+    if len(_POWERS[0]) < n:
+        for k, r in enumerate((_R, pow(_R, -1, 2**64))):
+            x = np.full(n, r, np.uint64)
+            x[0] = 1
+            _POWERS[k] = np.cumprod(x)
+    return _POWERS
+
+
+class Rolling:
+    """64-bit hashes of any substrings of one buffer, by prefix sums."""
+
+    def __init__(self, buf: np.ndarray):
+        up, self.down = _powers(len(buf) + 1)
+        self.sums = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(_BYTES[buf] * up[: len(buf)], out=self.sums[1:])
+
+    def __call__(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[j] - self.sums[i]) * self.down[i])
+
+    def all(self, k: int) -> np.ndarray:
+        n = len(self.sums) - k
+        return mixed((self.sums[k:] - self.sums[:n]) * self.down[:n])

@@ -27,42 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import bloom, in_bloom, mixed, slices, written
+from .common import Rolling, bloom, in_bloom, mixed, slices, written
 
 SPAN, GRAM = 200, 100
 #: Bytes hashed at once: bounds a task's memory, whatever the length of a text. Places in a buffer have to fit 24 bits.
 PIECE = 1 << 19
-_rng = np.random.default_rng(6)
-_BYTES = _rng.integers(0, 2**64, 256, dtype=np.uint64)
-_R = 0x9E3779B97F4A7C15
-_POWERS: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of an odd base modulo 2**64 and of its inverse."""
-    if len(_POWERS[0]) < n:
-        for k, r in enumerate((_R, pow(_R, -1, 2**64))):
-            x = np.full(n, r, np.uint64)
-            x[0] = 1
-            _POWERS[k] = np.cumprod(x)
-    return _POWERS
-
-
-class Rolling:
-    """64-bit hashes of any substrings of one buffer, by prefix sums."""
-
-    def __init__(self, buf: np.ndarray):
-        up, self.down = _powers(len(buf) + 1)
-        self.sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(_BYTES[buf] * up[: len(buf)], out=self.sums[1:])
-
-    def __call__(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[j] - self.sums[i]) * self.down[i])
-
-    def all(self, k: int) -> np.ndarray:
-        n = len(self.sums) - k
-        return mixed((self.sums[k:] - self.sums[:n]) * self.down[:n])
 
 
 def anchors(texts: list[bytes], span: int = SPAN, gram: int = GRAM) -> dict[str, np.ndarray] | None:
@@ -362,10 +333,14 @@ def repeated(texts: DataFrame, span: int = SPAN, gram: int = GRAM, range_rows: i
     return written(cuts.groupBy("k1", "k2").agg(F.collect_set("cut").alias("cuts")), "cuts")
 
 
-def without(raw: bytes, cuts: list[tuple[int, int]]) -> tuple[bytes, int]:
-    """What is left of raw without the union of cuts, and how many runs that takes out."""
+def without(raw: bytes, cuts: list[tuple[int, int]], whole_characters: bool = False) -> tuple[bytes, int]:
+    """What is left of raw without the union of cuts, and how many runs that takes out. whole_characters: UTF-8 characters that a cut splits go whole."""
     kept, at, spans, open_end = [], 0, 0, -1
     for start, end in sorted(cuts):
+        while whole_characters and start > 0 and raw[start] & 0xC0 == 0x80:
+            start -= 1
+        while whole_characters and end < len(raw) and raw[end] & 0xC0 == 0x80:
+            end += 1
         if start > open_end:
             kept.append(raw[at:start])
             spans += 1
@@ -374,26 +349,29 @@ def without(raw: bytes, cuts: list[tuple[int, int]]) -> tuple[bytes, int]:
     return b"".join(kept), spans
 
 
-def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, text_col: str = "text", carry: list[str] | None = None, whole_characters: bool = False) -> DataFrame:
     """docs' columns in carry and (kept binary, n_bytes, n_removed, n_spans): each text without the bytes that a string of `span` bytes covers which starts elsewhere too.
 
     Strings are those of the input, of any document, this one included, and may overlap. Null texts count as empty. Texts of
     fewer than span bytes stay whole. Repeated rows are occurrences of their own, so rows with an equal text of at least span bytes
-    lose all of it. Null ids change nothing; columns not in carry are ignored; an empty table gives no rows. kept may begin or end inside a character.
+    lose all of it. Null ids change nothing; columns not in carry are ignored, columns in carry may have any names but those of
+    the four results; an empty table gives no rows. kept may begin or end inside a character, unless whole_characters also
+    removes the rest of characters that lose a byte.
     """
     carry = ["doc_id"] if carry is None else carry
-    rows = docs.select(*(F.col(c) for c in carry), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_raw"))
-    cuts = repeated(rows.select(F.col("_raw").alias("raw")), span, gram)
-    keyed = rows.select("*", F.xxhash64("_raw").alias("_k1"), F.xxhash64(F.lit(1), "_raw").alias("_k2"))
-    both = keyed.join(cuts.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("cuts").alias("_cuts")), ["_k1", "_k2"], "left").select(*carry, "_raw", "_cuts")
+    if clash := set(carry) & {"kept", "n_bytes", "n_removed", "n_spans"}:
+        raise ValueError(f"columns named like results can't be carried: {sorted(clash)}")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
+    cuts = repeated(rows.select("raw"), span, gram)
+    both = rows.select("*", *_digests("raw")).join(cuts, ["k1", "k2"], "left").select("row", "raw", "cuts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "_raw"):
-                raw = b.column("_raw").to_pylist()
-                out = [without(r, [(c["start"], c["end"]) for c in x or []]) for r, x in zip(raw, b.column("_cuts").to_pylist(), strict=True)]
+            for b in slices(whole, "raw"):
+                raw = b.column("raw").to_pylist()
+                out = [without(r, [(c["start"], c["end"]) for c in x or []], whole_characters) for r, x in zip(raw, b.column("cuts").to_pylist(), strict=True)]
                 sizes, kept = [len(r) for r in raw], [k for k, _ in out]
-                yield pa.record_batch([*(b.column(c) for c in carry), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array([n - len(k) for n, k in zip(sizes, kept, strict=True)], pa.int64()), pa.array([s for _, s in out], pa.int64())], [*carry, "kept", "n_bytes", "n_removed", "n_spans"])
+                yield pa.record_batch([b.column("row"), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array([n - len(k) for n, k in zip(sizes, kept, strict=True)], pa.int64()), pa.array([s for _, s in out], pa.int64())], ["row", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
-    return both.mapInArrow(cut, f"{kinds}, kept binary, n_bytes long, n_removed long, n_spans long")
+    schema = StructType([rows.schema["row"], StructField("kept", BinaryType()), *(StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans"))])
+    return both.mapInArrow(cut, schema).select("row.*", "kept", "n_bytes", "n_removed", "n_spans")

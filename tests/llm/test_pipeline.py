@@ -5,7 +5,9 @@ import corpus_pipeline as P
 import pytest
 from pyspark.sql import functions as F
 
-from segmill.llm import simhash, suffix_dedup, templates
+from segmill.llm import suffix_dedup, templates
+
+from .test_simhash import ids, kept_by_brute_force
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,22 +35,24 @@ def test_toxic_documents_go(spark, docs):
 def test_one_of_each_group_stays(spark, docs):
     got = P.drop_near_duplicates(spark, docs, SF)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    fps = [(i, simhash.fingerprint((t or "").encode(), 3)) for i, t in rows]
-    root = list(range(len(fps)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a in range(len(fps)):
-        for b in range(a):
-            if (fps[a][1] ^ fps[b][1]).bit_count() <= P.RADIUS:
-                root[max(find(a), find(b))] = min(find(a), find(b))
-    least = {}
-    for k, (i, _) in enumerate(fps):
-        least[find(k)] = min(least.get(find(k), i), i)
-    assert {r["doc_id"] for r in got.collect()} == set(least.values()) and got.columns == P.COLUMNS
+    assert got.columns == P.COLUMNS and ids(got) == kept_by_brute_force(rows)
+
+
+def test_rows_with_one_id_stay(spark):
+    """Rows of one id whose texts have nothing in common all stay, through every stage that filters; genuine replacement characters stay too."""
+    rows = [(1, f"{w} text of row {i} that is \ufffd like no other {w * 3}", "en", "s", 1) for i, w in enumerate(("alpha", "beta", "gamma"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for stage in (P.drop_near_duplicates, P.drop_repeated_bytes, P.drop_benchmark):
+        assert pairs(stage(spark, docs, SF)) == sorted((r[0], r[1]) for r in rows)
+
+
+def test_characters_at_an_edge_go_whole(spark):
+    """The last byte of the first character of row 2 belongs to a string that starts inside each é too; what is left is whole characters, and a genuine U+FFFD."""
+    shared = "é" * 110
+    rows = [(1, f"à\ufffd{shared}\u0169 one", "en", "s", 1), (2, f"\u0129{shared}\u0129 two", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = dict(pairs(P.drop_repeated_bytes(spark, docs, SF)))
+    assert got == {1: "à\ufffd\u0169 one", 2: "\u0129 two"}
 
 
 def test_repeated_bytes_go(spark, docs):
