@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, written
@@ -56,18 +56,52 @@ def template(rows: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*keep, "bare", _once(F.transform("named", kind), "kinds"))
 
 
-def template_windows(typed: DataFrame, *keep: str) -> DataFrame:
-    """(keep, pos, h): hash of each window of template(); a text of fewer than five words, but of one, is one window."""
-    rest = lambda a, k: F.slice(a, F.lit(k + 1), F.greatest(F.size(a) - k, F.lit(0)))
-    most = lambda a, k: F.slice(a, F.lit(1), F.greatest(F.size(a) - k, F.lit(0)))
-    both = lambda a, b: F.xxhash64(a, b)
+def _rest(a: str, k: int) -> Column:
+    return F.slice(a, F.lit(k + 1), F.greatest(F.size(a) - k, F.lit(0)))
+
+
+def _most(a: str, k: int) -> Column:
+    return F.slice(a, F.lit(1), F.greatest(F.size(a) - k, F.lit(0)))
+
+
+def _joined(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))
+
+
+def _template_windows(typed: DataFrame, *keep: str) -> DataFrame:
+    """(keep, windows array<long>): hash of each window of five template words, from those of two, of four, and the last word."""
     rows = typed.select(*keep, _once(F.transform("kinds", lambda k: F.xxhash64(k)), "t"))
-    # the hash of a window of five, from those of two, of four, and the last word
-    rows = rows.select(*keep, "t", _once(F.zip_with(most("t", 1), rest("t", 1), both), "two"))
-    rows = rows.select(*keep, "t", _once(F.zip_with(most("two", 2), rest("two", 2), both), "four"))
-    short = F.when(F.size("t") > 0, F.array(F.xxhash64("t"))).otherwise(F.array().cast("array<long>"))
-    rows = rows.select(*keep, _once(F.when(F.size("t") >= WORDS, F.zip_with(most("four", 1), rest("t", 4), both)).otherwise(short), "windows"))
-    return rows.select(*keep, F.posexplode("windows").alias("pos", "h"))
+    rows = rows.select(*keep, "t", _once(_joined(_most("t", 1), _rest("t", 1)), "two"))
+    rows = rows.select(*keep, "t", _once(_joined(_most("two", 2), _rest("two", 2)), "four"))
+    return rows.select(*keep, F.when(F.size("t") >= WORDS, _joined(_most("four", 1), _rest("t", 4))).otherwise(F.array().cast("array<long>")).alias("windows"))
+
+
+def _plain_windows(typed: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
+    """(keep, plain array<struct<length, pos, h>>): hash of each window of as many lower-case words as lengths (one to four) say."""
+    rows = typed.select(*keep, _once(F.transform("bare", lambda w: F.xxhash64(F.lower(w))), "t"))
+    rows = rows.select(*keep, "t", _once(_joined(_most("t", 1), _rest("t", 1)), "two"))
+    of = {1: F.col("t"), 2: F.col("two"), 3: _joined(_most("two", 1), _rest("t", 2)), 4: _joined(_most("two", 2), _rest("two", 2))}
+    sized = lambda n: F.when(F.size("t") >= n, of[n]).otherwise(F.array().cast("array<long>"))
+    each = lambda n: F.transform(sized(n), lambda h, i: F.struct(F.lit(n).alias("length"), i.alias("pos"), F.xxhash64(F.lit(n), h).alias("h")))
+    return rows.select(*keep, F.concat(*(each(n) for n in lengths)).alias("plain"))
+
+
+def item_windows(typed: DataFrame, *keep: str) -> DataFrame:
+    """(keep, length, pos, h): windows of template(); a text of fewer than five words, but of one, is one window of its plain words."""
+    rows = _template_windows(typed, *keep, "bare").select(*keep, "windows", F.least(F.size("bare"), F.lit(WORDS)).alias("length"), _once(F.transform("bare", lambda w: F.xxhash64(F.lower(w))), "t"))
+    a, b, c, d = (F.get("t", F.lit(k)) for k in range(4))
+    of = {1: a, 2: F.xxhash64(a, b), 3: F.xxhash64(F.xxhash64(a, b), c), 4: F.xxhash64(F.xxhash64(a, b), F.xxhash64(c, d))}
+    short = F.coalesce(*(F.when(F.col("length") == n, F.array(F.xxhash64(F.lit(n), h))) for n, h in of.items()))
+    return rows.where("length > 0").select(*keep, "length", F.posexplode(F.when(F.col("length") < WORDS, short).otherwise(F.col("windows"))).alias("pos", "h"))
+
+
+def text_windows(typed: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
+    """(keep, pos, h): windows of five template words, and those of plain words of each of lengths (below five)."""
+    if not lengths:
+        return _template_windows(typed, *keep).select(*keep, F.posexplode("windows").alias("pos", "h"))
+    rows = _plain_windows(_template_windows(typed, *keep, "bare"), lengths, *keep, "windows")
+    long = F.transform("windows", lambda h, i: F.struct(F.lit(WORDS).alias("length"), i.alias("pos"), h.alias("h")))
+    return rows.select(*keep, F.explode(F.concat(long, "plain")).alias("w")).select(*keep, "w.pos", "w.h")
 
 
 def slots(typed: DataFrame, *keep: str) -> DataFrame:
@@ -87,23 +121,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     consistent: each value in the item's placeholders stands for one value of the document, in at least `similarity` of the
     matched windows that hold it. That is asked of each alignment (places of the document less places in the item, equal or
     within DRIFT) that holds `similarity` of the distinct windows, and of all places together; one that agrees is enough.
-    A window that the item holds several times has all its places. Null, empty and blank texts match nothing, on either side. Repeated items match each; repeated
+    A window that the item holds several times has all its places. An item of fewer than five words has no template: it is one
+    window of its own length of plain words, wherever it stands. Null, empty and blank texts match nothing, on either side. Repeated items match each; repeated
     rows of docs give one row per distinct id and text. Null ids are kept as such. Other columns are ignored.
     """
     items = template(benchmark.select(F.col(item_col).alias("item"), F.xxhash64(text_col).alias("item_hash"), F.col(text_col).alias("text")).distinct(), "item", "item_hash")
-    item = ["item", "item_hash"]
-    own = written(template_windows(items, *item).groupBy(*item, "h").agg(F.array_sort(F.collect_list("pos")).alias("places")), "item-windows")
-    side = own.drop("places").join(own.groupBy(*item).agg(F.count("*").alias("windows")).withColumnsRenamed({"item": "i", "item_hash": "ih"}), F.col("item").eqNullSafe(F.col("i")) & F.col("item_hash").eqNullSafe(F.col("ih"))).drop("i", "ih")
-    if own.count() <= BROADCAST_WINDOWS:
-        side = F.broadcast(side)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    doc = ["id", "text_hash"]
-    hits = written(template_windows(template(rows, *doc), *doc).join(side, "h"), "hits")
-    found = written(hits.groupBy(*doc, *item, "windows").agg(F.countDistinct("h").alias("matched")).where(F.col("matched") >= similarity * F.col("windows")), "matches")
+    item, doc = ["item", "item_hash"], ["id", "text_hash"]
     same = lambda a, b, names: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in names]
     on = lambda a, b, names: reduce(lambda x, y: x & y, same(a, b, names))
-    of = hits.alias("a").join(found.alias("b"), on("a", "b", [*doc, *item])).select("a.*").alias("a")
-    of = of.join(own.alias("o"), on("a", "o", [*item, "h"])).select("a.*", F.posexplode("o.places").alias("nth", "item_pos"))
+    own = written(item_windows(items, *item).groupBy(*item, "length", "h").agg(F.array_sort(F.collect_list("pos")).alias("places")), "item-windows")
+    lengths = sorted(r["length"] for r in own.where(F.col("length") < WORDS).select("length").distinct().collect())  # at most four
+    totals = own.groupBy(*item).agg(F.count("*").alias("windows")).alias("b")
+    # a match holds at least one of any floor((1 - similarity) * windows) + 1 windows of an item: the rarest are its probes
+    rarity = own.groupBy("h").agg(F.count("*").alias("items")).alias("c")
+    ranked = own.alias("a").join(totals, on("a", "b", item)).join(rarity, F.col("a.h") == F.col("c.h")).select("a.item", "a.item_hash", "a.h", "b.windows", F.row_number().over(Window.partitionBy("a.item", "a.item_hash").orderBy("c.items", "a.h")).alias("nth"))
+    side = written(ranked.withColumn("probe", F.col("nth") <= F.floor((1 - similarity) * F.col("windows") + 1e-9) + 1).drop("nth"), "probes")
+    sized = (lambda x: F.broadcast(x)) if side.count() <= BROADCAST_WINDOWS else (lambda x: x)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    places = written(text_windows(template(rows, *doc), lengths, *doc).join(sized(side.select("h").distinct()), "h", "left_semi"), "places")
+    windows = written(places.select(*doc, "h").distinct(), "windows")
+    pairs = windows.join(sized(side.where("probe")), "h").select(*doc, *item).distinct()
+    held = pairs.alias("p").join(side.alias("s"), on("p", "s", item)).select("p.*", "s.h", "s.windows").alias("a").join(windows.alias("w"), on("a", "w", [*doc, "h"])).select("a.*")
+    found = written(held.groupBy(*doc, *item, "windows").agg(F.count("h").alias("matched")).where(F.col("matched") >= similarity * F.col("windows")), "matches")
+    of = found.drop("matched").alias("f").join(own.alias("o"), on("f", "o", item)).select("f.*", "o.h", "o.places", "o.length").alias("a")
+    of = of.join(places.alias("d"), on("a", "d", [*doc, "h"])).select("a.*", "d.pos", F.posexplode("a.places").alias("nth", "item_pos"))
     # alignments: (0, shift) has the hits of that shift, (1, shift) those within DRIFT, the nearest of a place; (2, 0) all, by an item's first place
     shift = F.col("pos") - F.col("item_pos")
     near = F.transform(F.sequence(F.lit(-DRIFT), F.lit(DRIFT)), lambda d: F.struct(F.lit(1).alias("kind"), (shift + d).alias("shift"), F.abs(d).alias("off")))
@@ -133,6 +174,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that hold an item consistently; all its columns."""
-    bad = written(contaminated(docs, benchmark, similarity, id_col, item_col, text_col).where("consistent").select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "contaminated")
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash")), "left_anti")
+    """docs without the rows that hold an item consistently; all its columns, whatever their names."""
+    bad = written(contaminated(docs, benchmark, similarity, id_col, item_col, text_col).where("consistent").select(F.col(id_col).alias("id"), F.col("text_hash").alias("hash")).distinct(), "contaminated")
+    on = F.col(f"d.{id_col}").eqNullSafe(F.col("b.id")) & (F.xxhash64(f"d.{text_col}") == F.col("b.hash"))
+    return docs.alias("d").join(bad.alias("b"), on, "left_anti")

@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -70,3 +71,27 @@ def test_edges(spark, edge):
     left = templates.decontaminate(edge, items)
     assert left.columns == edge.columns and left.count() == edge.count() - 4
     assert templates.contaminated(edge.limit(0), items).count() == 0 and templates.contaminated(edge, items.limit(0)).count() == 0
+
+
+def test_short_items_stand_anywhere(spark):
+    """Items of fewer than five words are found inside longer texts by their plain words, and nowhere else."""
+    items = spark.createDataFrame([(1, "Why so blue?"), (2, "seven"), (3, "of the sort here")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "At last they asked: why so blue? And went."), (2, "why so"), (3, "I saw 7 or 8 cats"), (4, "Seven of them"), (5, "nothing of the sort here, or there"), (6, "why so blue")], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["consistent"] for r in templates.contaminated(docs, items).collect()}
+    assert got == {(1, 1): True, (6, 1): True, (4, 2): True, (5, 3): True}
+
+
+def test_texts_of_numbers(spark):
+    """A text of numbers holds a window of placeholders at every place; what is written grows with the text, not with the items."""
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(1, " ".join(str(rng.randint(0, 999)) for _ in range(20_000))), (2, ITEM)], "doc_id long, text string")
+    items = [(i, f"{ITEM} 1 2 3 4 {i} and then some more of item number {'abcdefghij'[i % 10] * (i // 10 + 1)}") for i in range(50)]
+    got = templates.contaminated(docs, spark.createDataFrame([*items, (99, ITEM)], "item_id long, text string"))
+    assert [(r["doc_id"], r["item_id"], r["consistent"]) for r in got.collect()] == [(2, 99, True)]
+
+
+def test_clashing_names(spark):
+    names = ["id", "hash", "text_hash", "h", "pos", "item", "windows", "_id", "_hash", "b", "d"]
+    docs = spark.createDataFrame([(1, ITEM), (2, "clean")], "doc_id long, text string").withColumns({n: F.lit(1) for n in names})
+    left = templates.decontaminate(docs, spark.createDataFrame([(7, ITEM)], "item_id long, text string").withColumns({n: F.lit(1) for n in names}))
+    assert left.columns == docs.columns and [r["doc_id"] for r in left.collect()] == [2]
