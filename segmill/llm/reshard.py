@@ -1,5 +1,8 @@
 """Resharding by minimum-cost flow: from old shard sizes and new capacities, move the fewest bytes, then rewrite what changed.
 
+A sharded table is a folder with a folder `shard=N` of Parquet files for each shard. Only shards that rows enter or leave are
+written anew; the files of all others stay where they are and are read from there.
+
 The flow runs on the driver over shards only (its size is the number of shards, never the data's). Rows of an old shard lie on
 an axis, largest size class first; the flow's arcs cut that axis into intervals, the part that stays first. A row goes where
 its middle byte lies, so a shard misses its capacity by at most half a row of middling size at either end of an arc.
@@ -71,11 +74,12 @@ def plan(sizes: list[int], caps: list[int]) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def reshard(docs: DataFrame, old_shards: int = 16, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", old_col: str | None = None, block_rows: int = 16_384) -> DataFrame:
+def reshard(docs: DataFrame, old_shards: int = 16, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", old_col: str | None = None, block_rows: int = 16_384, caps: list[int] | None = None) -> DataFrame:
     """(id, text, size, old_shard, shard and its block and rank): the new shard of every row, from 0 to shards-1; rewrite() gives slots.
 
     size: UTF-8 bytes of the text (null: none) plus 8. old_col names the column with the present shard; without it, or where it is
-    null or no shard from 0 to old_shards-1, a row's present shard is a hash of its id. Rows with a null id or text are placed like any other. Repeated rows are each placed;
+    null or no shard from 0 to old_shards-1, a row's present shard is a hash of its id. caps: bytes that each shard may hold, equal
+    ones unless given. Rows with a null id or text are placed like any other. Repeated rows are each placed;
     which of two equal rows gets which slot doesn't matter. Other columns are ignored; an empty table gives no rows. A shard
     can't be smaller than its largest row, so very long texts in small tables make shards uneven.
     """
@@ -91,13 +95,14 @@ def reshard(docs: DataFrame, old_shards: int = 16, shards: int = 24, id_col: str
     )
     n = rows.count()
     buckets = max(8, -(-n // (old_shards * block_rows)))
-    rows = rows.withColumns({"class": -F.floor(F.log2("size")).cast("int"), "bucket": F.pmod(F.xxhash64("id", "size", F.lit(1)), F.lit(buckets)).cast("int")})
+    # written, as blocks go by position too (rows that agree in all would otherwise be one block) and are read twice
+    rows = written(rows.withColumns({"class": -F.floor(F.log2("size")).cast("int"), "bucket": F.pmod(F.xxhash64("id", "size", F.monotonically_increasing_id()), F.lit(buckets)).cast("int")}), "rows")
     block = ["old_shard", "class", "bucket"]
     blocks = written(rows.groupBy(*block).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "blocks")
     sizes = [0] * old_shards
     for r in blocks.groupBy("old_shard").agg(F.sum("bytes").alias("bytes")).collect():  # one row per old shard
         sizes[r["old_shard"]] = r["bytes"]
-    arcs = spark.createDataFrame(plan(sizes, capacities(sum(sizes), shards)) or [(-1, 0, 0, 0)], "old_shard int, lo long, hi long, shard int")
+    arcs = spark.createDataFrame(plan(sizes, caps or capacities(sum(sizes), shards)) or [(-1, 0, 0, 0)], "old_shard int, lo long, hi long, shard int")
     # prefix sums over blocks, of which there are about rows / block_rows
     before = Window.partitionBy("old_shard").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     based = blocks.select(*block, F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"))
@@ -108,18 +113,29 @@ def reshard(docs: DataFrame, old_shards: int = 16, shards: int = 24, id_col: str
     return p.join(a, (F.col("p.old_shard") == F.col("a.old_shard")) & (middle >= F.col("a.lo")) & (middle < F.col("a.hi"))).select("p.*", "a.shard")
 
 
-def rewrite(placed: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write the new shards, one folder `shard=N` each, and read them back with their slots.
+def affected(placed: DataFrame) -> list[int]:
+    """The shards that rows of reshard() enter or leave."""
+    moves = placed.where("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("shard"))
+    return sorted(r["shard"] for r in moves.distinct().collect())  # at most one row per shard
+
+
+def rewrite(placed: DataFrame, folder: str | None = None, present: str | None = None) -> DataFrame:
+    """Write the new shards, one folder `shard=N` each, and read the table back with its slots.
 
-    Only shards that rows enter or leave are written anew in a layout that keeps the others' files; a change of the number of
-    shards touches every shard.
+    present is the folder, of rewrite()'s own layout, that the rows of placed were read from: its files of shards that no row
+    enters or leaves are part of the new table as they are, and only the affected shards are written. Without it all are.
     """
     spark = placed.sparkSession
     folder = folder or new_path(spark, "shards")
-    placed.select("id", "text", "size", "old_shard", "class", "bucket", "rank", "shard").write.option("compression", "zstd").partitionBy("shard").parquet(folder)
-    files = spark.read.schema(f"id {placed.schema['id'].dataType.simpleString()}, text string, size long, old_shard int, class int, bucket int, rank int, shard int").parquet(folder)
+    rows = placed.select("id", "text", "size", "old_shard", "class", "bucket", "rank", "shard")
+    files = f"id {placed.schema['id'].dataType.simpleString()}, text string, size long, old_shard int, class int, bucket int, rank int, shard int"
+    changed = None if present is None else affected(placed)
+    (rows if changed is None else rows.where(F.col("shard").isin(changed))).write.option("compression", "zstd").partitionBy("shard").parquet(folder)
+    table = spark.read.schema(files).parquet(folder)
+    if changed is not None:
+        table = table.unionByName(spark.read.schema(files).parquet(present).where(~F.col("shard").isin(changed)))
     block = ["shard", "old_shard", "class", "bucket"]
-    counts = files.groupBy(*block).agg(F.count("*").alias("n"), F.min("rank").alias("first"))
+    counts = table.groupBy(*block).agg(F.count("*").alias("n"), F.min("rank").alias("first"))
     before = Window.partitionBy("shard").orderBy("old_shard", "class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(*block, "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return files.join(bases, block).withColumn("slot", F.col("base") + F.col("rank") - F.col("first")).drop("class", "bucket", "rank", "first", "base")
+    return table.join(bases, block).withColumn("slot", F.col("base") + F.col("rank") - F.col("first")).drop("class", "bucket", "rank", "first", "base")

@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from segmill.llm import reshard
 
@@ -62,3 +63,42 @@ def test_present_shards(spark):
     assert sorted(r["id"] for r in got) == sorted(r[0] for r in rows)
     known = {n: at for n, _, at in rows if at in (0, 1, 2)}
     assert all(r["old_shard"] == known.get(r["id"], r["old_shard"]) and 0 <= r["old_shard"] < 3 and 0 <= r["shard"] < 4 for r in got)
+
+
+def test_only_affected_shards_are_rewritten(spark, tmp_path):
+    """Shards 1 and 3 have what they should; rows go from 0 to 2 alone."""
+    old, new = str(tmp_path / "old"), str(tmp_path / "new")
+    size = {0: 60, 1: 40, 2: 20, 3: 40}
+    docs = spark.createDataFrame([(100 * s + i, "x" * 92, s) for s, n in size.items() for i in range(n)], "doc_id long, text string, at int")
+    first = reshard.rewrite(reshard.reshard(docs, 4, 4, old_col="at", caps=[100 * n for n in size.values()]), old)
+    assert first.where("shard <> old_shard").count() == 0
+    present = spark.read.parquet(old).select(F.col("id").alias("doc_id"), "text", "shard")
+    placed = reshard.reshard(present, 4, 4, old_col="shard")
+    assert reshard.affected(placed) == [0, 2]
+    got = reshard.rewrite(placed, new, old).collect()
+    assert sorted(p.name for p in (tmp_path / "new").iterdir() if p.is_dir()) == ["shard=0", "shard=2"]
+    assert sorted(r["id"] for r in got) == sorted(r["doc_id"] for r in docs.collect())
+    for s in range(4):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(40))
+    assert sum(r["shard"] != r["id"] // 100 for r in got) == 20
+
+
+def test_rows_that_agree_in_all_spread(spark):
+    docs = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(7).alias("doc_id"), F.lit("the same text").alias("text"))
+    placed = reshard.reshard(docs, 4, 6, block_rows=250)
+    assert placed.groupBy("old_shard", "class", "bucket").count().agg(F.max("count")).first()[0] < 1500
+    check(docs, 200)
+
+
+def test_against_a_plain_computation(spark):
+    """Shards, by cutting each old shard's rows in the order of their places by the flow's arcs."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [r.asDict() for r in reshard.reshard(docs).collect()]
+    sizes = [sum(r["size"] for r in rows if r["old_shard"] == i) for i in range(16)]
+    arcs = reshard.plan(sizes, reshard.capacities(sum(sizes), 24))
+    assert sum(hi - lo for i, lo, hi, j in arcs if i != j) == sum(sizes) - sum(min(n, c) for n, c in zip(sizes, reshard.capacities(sum(sizes), 24)))
+    for i in range(16):
+        at = 0
+        for r in sorted((r for r in rows if r["old_shard"] == i), key=lambda r: (r["class"], r["bucket"], r["rank"])):
+            assert next(j for k, lo, hi, j in arcs if k == i and lo <= at + r["size"] // 2 < hi) == r["shard"]
+            at += r["size"]
