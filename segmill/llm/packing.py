@@ -62,8 +62,8 @@ def pack(docs: DataFrame, capacity: int = 2048, per_source: int = 4, group_docs:
     )
     n = rows.count()
     groups = max(1, -(-n // group_docs))
-    # clusters are spread by the id; rows that agree in all are dealt by their position
-    rows = rows.withColumn("group", F.pmod(F.xxhash64("id", "cluster", F.when(F.col("id").isNull(), F.monotonically_increasing_id())), F.lit(groups)))
+    # dealt by id, text and position: neither copies nor rows that agree in all gather in a group
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("id", "cluster", F.monotonically_increasing_id()), F.lit(groups)))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         group = key[0].as_py()
