@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import mixed, slices
 
 WORD_BITS, GRAM_BITS, DIMS, HIDDEN = 15, 14, 8, 12
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 _EDGES = string.punctuation + "«»“”„’‘¿¡…–—"
 
 Model = dict[str, np.ndarray]
@@ -324,5 +324,5 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = 15
 
 def keep_clean(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the rows that score() predicts as 1; all its columns."""
-    mark = score(docs.withColumn("_row", F.struct(*(F.col(c) for c in docs.columns))), labels, held_out, id_col=id_col, text_col=text_col, carry="_row", **options)
+    mark = score(docs.withColumn("_row", F.struct("*")), labels, held_out, id_col=id_col, text_col=text_col, carry="_row", **options)
     return mark.where("predicted = 0").select("_row.*")
