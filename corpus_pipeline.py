@@ -10,11 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmill.llm import packing, simhash, suffix_dedup, templates, toxicity
-from segmill.llm.common import new_path, written
+from segmill.llm.common import new_path
 
-#: Of pairs with 0.8 or more of their five-word shingles in common, none lay within two bits on the test tables; this finds
-#: about half, by 31 covering masks. Unrelated texts lay 13 bits or more apart.
-RADIUS = 4
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -26,18 +23,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each component of fingerprints (three-word shingles) within RADIUS bits; rows without an id stay."""
-    groups = written(simhash.near_duplicates(docs, radius=RADIUS).where("doc_id = component_id").select("doc_id").distinct(), "representatives")
-    one = docs.where("doc_id is not null").join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    """Keep the document with the smallest id of each group of texts that links of at least 0.8 common five-word shingles reach."""
+    return simhash.keep_one(docs).select(*COLUMNS)
 
 
 def drop_repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without strings of 200 bytes that start elsewhere too; characters cut at an edge go, and documents of which nothing is left."""
-    kept = suffix_dedup.remove_repeats(docs, carry=["doc_id", "lang", "source", "n_chars"])
-    text = F.regexp_replace(F.expr("make_valid_utf8(cast(kept as string))"), "�", "")
-    out = kept.select("doc_id", F.when(F.col("n_removed") > 0, text).otherwise(F.col("kept").cast("string")).alias("text"), "lang", "source", "n_removed")
-    return out.where((F.col("n_removed") == 0) | (F.trim("text") != "")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    kept = suffix_dedup.remove_repeats(docs, carry=["doc_id", "lang", "source"], whole_characters=True)
+    out = kept.withColumn("text", F.col("kept").cast("string")).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
