@@ -63,6 +63,41 @@ def test_expectations_equal_posteriors_of_all_paths():
     assert np.allclose(counts, want_counts) and np.allclose(moves, want_moves) and np.allclose(starts, want_starts)
 
 
+def test_windows_lose_nothing():
+    """Counts and likelihoods of sequences cut into windows are those of whole sequences, in double precision."""
+    rng = np.random.default_rng(2)
+    start, move, emit = rng.dirichlet(np.ones(4)), rng.dirichlet(np.ones(4) * 0.3, 4), rng.dirichlet(np.ones(50) * 0.2, 4).T + 1e-9
+    seqs = [rng.integers(0, 50, n).astype(np.uint16) for n in (1, 7, 8, 9, 64, 65, 500, 1203)]
+
+    def expected(window):
+        out = np.zeros((50, 4)), np.zeros((4, 4)), np.zeros(4)
+        hmm_lm.expectations(seqs, start, move, emit, *out, window=window)
+        return out
+
+    for a, b in zip(expected(8), expected(10**6), strict=True):
+        assert np.allclose(a, b, rtol=1e-9, atol=1e-12)
+    assert np.allclose(hmm_lm.forward(seqs, start, move, emit, 8), hmm_lm.forward(seqs, start, move, emit, 10**6), rtol=1e-10)
+    single = np.zeros((50, 4)), np.zeros((4, 4)), np.zeros(4)
+    hmm_lm.expectations(seqs, start.astype(np.float32), move.astype(np.float32), emit.astype(np.float32), *single, window=8)
+    assert np.allclose(single[1], expected(10**6)[1], rtol=1e-3)
+
+
+def test_a_million_words():
+    rng = np.random.default_rng(3)
+    start, move, emit = hmm_lm.initial(np.full(1000, 1e-3), 8)
+    text = [rng.integers(0, 1000, 1_000_000).astype(np.uint16)]
+    counts, moves, starts = np.zeros((1000, 8)), np.zeros((8, 8)), np.zeros(8)
+    hmm_lm.expectations(text, start.astype(np.float32), move.astype(np.float32), emit.astype(np.float32), counts, moves, starts)
+    assert math.isclose(counts.sum(), 1e6, rel_tol=1e-3) and math.isclose(moves.sum(), 1e6 - 1, rel_tol=1e-3) and math.isclose(starts.sum(), 1, rel_tol=1e-3)
+    assert -7.5e6 < hmm_lm.forward(text, start, move, emit)[0] < -6.5e6
+
+
+def test_more_classes_than_16_bits(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b a", "a c d", "b a"] * 2)], "doc_id long, text string")
+    small, large = (sorted(tuple(r) for r in hmm_lm.score(docs, HELD(), states=2, own=50, buckets=n, rounds=1).collect()) for n in (20, 70_000))
+    assert [r[:5] for r in small] == [r[:5] for r in large] and all(np.isfinite(r[6]) for r in large)
+
+
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = hmm_lm.score(docs, HELD(), own=3000, buckets=500).collect()
