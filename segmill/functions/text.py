@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 HANGUL, KANA, HAN = r"[\x{ac00}-\x{d7a3}]", r"[\x{3040}-\x{30ff}]", r"[\x{4e00}-\x{9fff}]"
 #: Fixed value: words that mark a phrase as a sentence.
-SENTENCE_HINTS = "is are was were be been being am do does did don't doesn't didn't can could will would should shall may might must have has had haven't hasn't hadn't you your we our they their i'll we'll you'll why when where which who whose let's here's there's it's".split() + ["how to", "what is", "let us"]
+SENTENCE_HINTS = tuple("is,are,was,were,be,been,being,am,do,does,did,don't,doesn't,didn't,can,could,will,would,should,shall,may,might,must,have,has,had,haven't,hasn't,hadn't,you,your,we,our,they,their,i'll,we'll,you'll,how to,what is,why,when,where,which,who,whose,let's,let us,here's,there's,it's".split(","))
 HINT = "(?i)(^|[^0-9A-Za-z_])(" + "|".join(SENTENCE_HINTS) + ")($|[^0-9A-Za-z_])"
 EMAIL, PHONE, PATIENT = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", r"\+?[0-9][0-9\- ]{7,}[0-9]", r"PT-[0-9]{4}-[0-9]{4}"
 WORD = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"
@@ -26,77 +28,111 @@ def count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern))
 
 
+def once(x: Column, then: Callable[[Column], Column]) -> Column:
+    """then(x), with x computed once however often it is used: the optimiser writes plain expressions out at each use."""
+    return F.element_at(F.transform(F.array(x), then), 1)
+
+
+def _split(n: Column) -> Column:
+    return F.when(n == "", F.array().cast("array<string>")).otherwise(F.split(n, " "))
+
+
 def words(c: Column) -> Column:
     """Words of normalised text; none for ''."""
-    n = normalized(c)
-    return F.when(n == "", F.array().cast("array<string>")).otherwise(F.split(n, " "))
+    return once(normalized(c), _split)
 
 
 def is_translatable(c: Column) -> Column:
     """Three characters, two ASCII letters, and not a code of at most three words."""
-    n = normalized(c)
-    return (F.length(n) >= 3) & (count(n, "[A-Za-z]") >= 2) & ~(n.rlike(r"^[A-Z0-9_#./:,() -]+$") & (F.size(words(c)) <= 3))
+    return once(normalized(c), lambda n: (F.length(n) >= 3) & n.rlike("[A-Za-z][^A-Za-z]*[A-Za-z]") & ~(n.rlike(r"^[A-Z0-9_#./:,() -]+$") & (F.size(_split(n)) <= 3)))
 
 
 def is_translatable_strict(c: Column) -> Column:
     """Not blank, not marks and digits alone, no lone URL or address, a letter of any script."""
-    n = normalized(c)
-    return (n != "") & ~n.rlike(r"^[^\p{L}]+$") & ~n.rlike(r"^(https?://|www\.)[^ ]+$") & ~n.rlike(r"^[^ @]+@[^ @]+\.[^ @]+$") & n.rlike(r"\p{L}")
+    return once(normalized(c), lambda n: (n != "") & n.rlike(r"\p{L}") & ~n.rlike(r"^(https?://|www\.)[^ ]+$") & ~n.rlike(r"^[^ @]+@[^ @]+\.[^ @]+$"))
 
 
 def is_translatable_book(c: Column) -> Column:
     """A Latin, Greek, Cyrillic, Han, kana or Hangul letter, and no lone URL or address."""
-    n = normalized(c)
     letter = r"[A-Za-z\x{c0}-\x{24f}\x{370}-\x{3ff}\x{400}-\x{4ff}\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{ac00}-\x{d7af}]"
-    return n.rlike(letter) & ~n.rlike(r"(?i)^https?://[^ ]+$") & ~n.rlike(r"^[^ @]+@[^ @]+\.[^ @]+$")
+    return once(normalized(c), lambda n: n.rlike(letter) & ~n.rlike(r"(?i)^https?://[^ ]+$") & ~n.rlike(r"^[^ @]+@[^ @]+\.[^ @]+$"))
 
 
 def is_skippable(c: Column) -> Column:
     """Blank, digits alone, beginning with a URL, or an address."""
-    n = normalized(c)
-    return (n == "") | n.rlike("^[0-9]+$") | n.rlike("(?i)^https?://") | n.rlike(r"^[^ @]+@[^ @]+\.[^ @]+$")
+    return once(normalized(c), lambda n: (n == "") | n.rlike("^[0-9]+$") | n.rlike("(?i)^https?://") | n.rlike(r"^[^ @]+@[^ @]+\.[^ @]+$"))
 
 
 def is_unusable(c: Column) -> Column:
     """Nothing visible, or a share of replacement characters of 0.35 or more and no two-letter ASCII word."""
-    visible = F.regexp_replace(c, WS, "")
-    bad = count(visible, r"\x{fffd}")
-    return (F.length(visible) == 0) | ((bad / F.greatest(F.length(visible), F.lit(1)) >= 0.35) & ~c.rlike("[A-Za-z]{2}"))
+    return once(F.regexp_replace(c, WS, ""), lambda v: (F.length(v) == 0) | ((count(v, r"\x{fffd}") / F.greatest(F.length(v), F.lit(1)) >= 0.35) & ~c.rlike("[A-Za-z]{2}")))
+
+
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
 
 def looks_like_sentence(c: Column) -> Column:
-    t = F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
     n = F.size(words(c))
-    return (t != "") & (t.rlike("[.,;:!?。，；：！？]") | (n >= 6) | (F.length(t) >= 40) | ((n >= 4) & t.rlike(HINT)))
+    return once(stripped(c), lambda t: (t != "") & (t.rlike("[.,;:!?。，；：！？]") | (F.length(t) >= 40) | (n >= 6) | ((n >= 4) & t.rlike(HINT))))
 
 
 def is_mostly_english(c: Column) -> Column:
-    t = F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
-    latin, hangul = count(t, "[A-Za-z]"), count(t, HANGUL)
-    return (F.length(t) >= 3) & t.rlike("[A-Za-z]{3}") & (hangul < latin) & (latin / F.greatest(F.length(t), F.lit(1)) >= 0.3)
+    """Three characters, a three-letter Latin word, and more Latin letters than Hangul, which are 0.3 of the text."""
+
+    def latin(t: Column) -> Column:
+        return once(count(t, "[A-Za-z]"), lambda n: (count(t, HANGUL) < n) & (n / F.greatest(F.length(t), F.lit(1)) >= 0.3))
+
+    return once(stripped(c), lambda t: (F.length(t) >= 3) & t.rlike("[A-Za-z]{3}") & latin(t))
 
 
 def needs_retry(source: Column, target: Column, korean: bool = True) -> Column:
     """The translation is empty or unchanged or, into Korean, still mostly Latin or still has the source's words."""
-    s, t = normalized(source), normalized(target)
-    latin, hangul = count(t, "[A-Za-z]"), count(t, HANGUL)
-    first = F.slice(F.regexp_extract_all(F.lower(s), F.lit("([a-z]{4,})"), 1), 1, 80)
-    # the array of one makes the lower-cased text once, not once a word
-    repeated = F.element_at(F.transform(F.array(F.lower(t)), lambda whole: F.size(F.filter(first, lambda w: F.contains(whole, w)))), 1)
-    left = ((latin >= 40) & (latin > F.greatest(F.lit(20.0), hangul * 0.8))) | ((latin >= 25) & (repeated >= 6))
-    return is_translatable(source) & ((t == "") | (s == t) | (left if korean else F.lit(False)))
+
+    def repeated(s: Column, t: Column) -> Column:
+        first = F.slice(F.regexp_extract_all(F.lower(s), F.lit("([a-z]{4,})"), 1), 1, 80)
+        return once(F.lower(t), lambda whole: F.size(F.filter(first, lambda w: F.contains(whole, w))))
+
+    def left(s: Column, t: Column) -> Column:
+        return once(count(t, "[A-Za-z]"), lambda n: ((n >= 40) & (n > F.greatest(F.lit(20.0), count(t, HANGUL) * 0.8))) | ((n >= 25) & (repeated(s, t) >= 6)))
+
+    failed = once(normalized(source), lambda s: once(normalized(target), lambda t: (t == "") | (s == t) | (left(s, t) if korean else F.lit(False))))
+    return is_translatable(source) & failed
 
 
 def collapse_repeated(c: Column) -> Column:
     """A text that says everything twice, once: by non-blank lines, else by words (four at least), else by characters (eight at least)."""
     lines = F.filter(F.transform(F.split(c, "\r\n|\n|\r"), lambda x: F.regexp_replace(x, WS + "+$", "")), lambda x: x != "")
-    n = normalized(c)
-    w = words(c)
-    half = lambda a: F.slice(a, F.lit(1), (F.size(a) / 2).cast("int"))
-    twice = lambda a, least: (F.size(a) >= least) & (F.size(a) % 2 == 0) & (half(a) == F.slice(a, (F.size(a) / 2).cast("int") + 1, F.greatest(F.size(a), F.lit(1))))
-    m = (F.length(n) / 2).cast("int")
-    left = n.substr(F.lit(1), m)
-    return F.when(twice(lines, 2), F.array_join(half(lines), "\n")).when(twice(w, 4), F.array_join(half(w), " ")).when((F.length(n) >= 8) & (F.length(n) % 2 == 0) & (left == n.substr(m + 1, m)), left).otherwise(c)
+
+    def half(a: Column) -> Column:
+        return F.slice(a, F.lit(1), (F.size(a) / 2).cast("int"))
+
+    def twice(a: Column, least: int) -> Column:
+        return (F.size(a) >= least) & (F.size(a) % 2 == 0) & (half(a) == F.slice(a, (F.size(a) / 2).cast("int") + 1, F.greatest(F.size(a), F.lit(1))))
+
+    def by_characters(n: Column) -> Column:
+        m = (F.length(n) / 2).cast("int")
+        return F.when((F.length(n) >= 8) & (F.length(n) % 2 == 0) & (n.substr(F.lit(1), m) == n.substr(m + 1, m)), n.substr(F.lit(1), m)).otherwise(c)
+
+    def by_words(n: Column) -> Column:
+        return once(_split(n), lambda w: F.when(twice(w, 4), F.array_join(half(w), " ")).otherwise(by_characters(n)))
+
+    return once(lines, lambda x: F.when(twice(x, 2), F.array_join(half(x), "\n")).otherwise(once(normalized(c), by_words)))
+
+
+#: Verb endings and marks that a Korean title drops.
+TITLE_ENDINGS = "하십시오 하십시요 하세요 되세요 되십시오 합니다 입니다 됩니다 갑니다 하기 되기 해요 되요 예요 에요".split()
+TITLE_MARKS = ".!?。！？"
+
+
+def polished_title(c: Column) -> Column:
+    """A title without its verb ending and, of each mark, one at its end; three times over."""
+    ending = f"{WS}*(?:{'|'.join(TITLE_ENDINGS)})\\z"
+    marks = "".join(f"(?:{WS}*[{m}])?" for m in reversed(TITLE_MARKS)) + f"{WS}*\\z"
+    out = stripped(c)
+    for _ in range(3):
+        out = F.regexp_replace(F.regexp_replace(out, ending, ""), marks, "")
+    return out
 
 
 MARKER = r"^([ \t]*)((?:[•●○◦▪▫■□▶▷►▸▹◆◇※*–—-])|(?:\(?[0-9A-Za-z]{1,3}[.)]))([ \t]+)"
@@ -134,6 +170,12 @@ def safe_stem(c: Column, most: int = 96) -> Column:
     return F.coalesce(F.nullif(F.substring(s, 1, most), F.lit("")), F.lit("pdf"))
 
 
+def work_key(path: Column, most: int = 180) -> Column:
+    """The name of a path's work folder: no file suffix, `_` for each run of other characters than letters, digits and `_.-`."""
+    bare = F.regexp_replace(path, r"([^/])\.[^./]+$", "$1")
+    return F.substring(F.regexp_replace(bare, "[^A-Za-z0-9_.-]+", "_"), 1, most)
+
+
 def url_host(c: Column) -> Column:
     return F.lower(F.regexp_extract(c, "^https?://([^/]+)", 1))
 

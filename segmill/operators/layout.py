@@ -128,7 +128,10 @@ def reading_order(blocks: DataFrame, page: str = "page") -> DataFrame:
 
 
 def budget_chunks(rows: DataFrame, keys: list[str], order: str = "ord", size: str = "chars", most_items: int = 250, most_size: int = 10_000) -> DataFrame:
-    """rows with the number of their chunk: a new one when the items or the size would go over; an item that is too large stands alone."""
+    """rows with the number of their chunk: a new one when the items or the size would go over; an item that is too large stands alone.
+
+    Where a chunk begins depends on all before it, so keys have to name a unit that a task can hold: a document, a job.
+    """
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(order)

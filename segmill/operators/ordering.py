@@ -79,9 +79,27 @@ def merged_runs(runs: DataFrame, keys: list[str], start: str = "left", end: str
     return marked.groupBy(*keys, "group").agg(F.min(start).alias("left"), F.max(end).alias("right"), F.count("*").alias("runs"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(start, order, "text"))), lambda r: r["text"]), " ").alias("text"))
 
 
-def fixed_batches(rows: DataFrame, keys: list[str], order: list[str], size: int) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+def numbered(rows: DataFrame, keys: list[str], order: str, name: str = "n", parts: int = 256) -> DataFrame:
+    """rows with their place (from 0) by a numeric column within equal keys (nulls are equal, and first in the order).
+
+    A key's values are cut into equal ranges, which are numbered side by side and offset by the counts of the ranges before,
+    so that a key that holds most rows isn't sorted by one task. Equal values stay in one range, in no settled order.
+    """
+    value, types = F.col(order).cast("double"), [f"_k{i}" for i in range(len(keys))]
+    ends = rows.groupBy(*(F.col(k).alias(t) for k, t in zip(keys, types, strict=True))).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    on = [F.col(k).eqNullSafe(F.col(t)) for k, t in zip(keys, types, strict=True)]
+    part = F.coalesce(F.floor((value - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * parts), F.lit(-1))
+    parted = rows.join(ends, on).withColumn("_part", F.when(value.isNull(), -1).when(F.col("_hi") <= F.col("_lo"), 0).otherwise(part)).drop("_lo", "_hi", *types)
+    counts = parted.groupBy(*(F.col(k).alias(t) for k, t in zip(keys, types, strict=True)), F.col("_part").alias("_p")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*types).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # parts + 2 rows a key at most
+    bases = counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(order))
+    return parted.withColumn("_at", inside).join(bases, [*on, F.col("_part") == F.col("_p")]).withColumn(name, F.col("_base") + F.col("_at") - 1).drop("_part", "_p", "_base", "_at", *types)
+
+
+def fixed_batches(rows: DataFrame, keys: list[str], order: str, size: int) -> DataFrame:
+    """rows with the number of their batch of `size` rows in the order of a numeric column within equal keys."""
+    return numbered(rows, keys, order, "batch").withColumn("batch", F.floor(F.col("batch") / size))
 
 
 def page_partitions(pages: DataFrame, items: int, page: str = "page", requested: int | None = None) -> DataFrame:

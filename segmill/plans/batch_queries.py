@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import batches as B
+from ..functions import text as T
 from ..operators import layout as L
 from ..operators import links as K
 from ..operators import masking as K2
@@ -41,10 +42,17 @@ def reading_order(spark, sf_dir):
     return L.reading_order(runs(spark, sf_dir).withColumn("reading_order", F.when(F.col("ord") % 3 == 0, (F.col("ord") % 7).cast("double"))))
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS ord, length(unnest(string_split(text, chr(10)))) AS chars FROM documents),
+g AS (SELECT doc_id, ord, chars, 0 AS chunk, 1 AS n, chars AS total FROM l WHERE ord = 0
+ UNION ALL SELECT l.doc_id, l.ord, l.chars, g.chunk + CAST(g.n >= 12 OR g.total + l.chars > 1000 AS INTEGER),
+  CASE WHEN g.n >= 12 OR g.total + l.chars > 1000 THEN 1 ELSE g.n + 1 END, CASE WHEN g.n >= 12 OR g.total + l.chars > 1000 THEN l.chars ELSE g.total + l.chars END
+  FROM g JOIN l ON l.doc_id = g.doc_id AND l.ord = g.ord + 1)
+SELECT doc_id, CAST(ord AS BIGINT) AS ord, CAST(chars AS BIGINT) AS chars, CAST(chunk AS BIGINT) AS chunk FROM g""")
 def budget_chunks(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("ord"), F.col("n_chars").alias("chars"))
-    return L.budget_chunks(d, ["source"])
+    """The lines of each document, a document being what a job sends."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
+    lines = d.select("doc_id", F.col("ord").cast("long").alias("ord"), F.length("line").cast("long").alias("chars"))
+    return L.budget_chunks(lines, ["doc_id"], most_items=12, most_size=1000)
 
 
 MARKS = " See [the page](https://example.org/a) and `code` or ${name} in {{x}} <b>now</b>."
@@ -77,7 +85,7 @@ def sanitize_source(spark, sf_dir):
 
 @query("SELECT doc_id, '제목 ' || doc_id AS title FROM documents")
 def polish_title(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", B.polished_title(F.concat(F.lit("제목 "), F.col("doc_id").cast("string"), F.lit("하기."))).alias("title"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.polished_title(F.concat(F.lit("제목 "), F.col("doc_id").cast("string"), F.lit("하기."))).alias("title"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 <> 2 THEN [CAST(doc_id AS VARCHAR), lang] END AS parts FROM documents")

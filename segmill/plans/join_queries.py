@@ -9,6 +9,7 @@ from ..functions import geometry as G
 from ..functions import text as T
 from ..operators import memory as M
 from ..operators import validate as V
+from ..operators.ordering import numbered
 from .catalog import query, table
 from .text_queries import RUNS_SQL, runs, translatable
 
@@ -167,8 +168,8 @@ def page_size_default(spark, sf_dir):
 SELECT a.doc_id AS source_id, b.doc_id AS output_id FROM a JOIN b USING (lang, n)""")
 def positional_zip(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("lang", "doc_id")
-    n = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")).alias("n")
-    a, b = d.where("doc_id % 3 = 0").select("lang", F.col("doc_id").alias("source_id"), n), d.where("doc_id % 4 = 0").select("lang", F.col("doc_id").alias("output_id"), n)
+    a = numbered(d.where("doc_id % 3 = 0").withColumnRenamed("doc_id", "source_id"), ["lang"], "source_id")
+    b = numbered(d.where("doc_id % 4 = 0").withColumnRenamed("doc_id", "output_id"), ["lang"], "output_id")
     return a.join(b, ["lang", "n"]).select("source_id", "output_id")
 
 

@@ -75,7 +75,7 @@ def merge_runs_gap(spark, sf_dir):
 
 @query("SELECT event_id, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 30 AS batch FROM events")
 def fixed_batches(spark, sf_dir):
-    return O.fixed_batches(table(spark, sf_dir, "events"), ["event_type"], ["event_id"], 30).select("event_id", "batch")
+    return O.fixed_batches(table(spark, sf_dir, "events"), ["event_type"], "event_id", 30).select("event_id", "batch")
 
 
 @query(f"WITH {RUNS_SQL}, m AS (SELECT max(page) AS mx FROM runs), p AS (SELECT mx, greatest(1, least(CASE WHEN mx < 20 THEN 3 WHEN mx < 50 THEN 5 ELSE 10 END, 1000, mx)) AS w FROM m) SELECT DISTINCT page, (page - 1) // CAST(ceil(mx / w) AS BIGINT) AS part FROM runs, p")

@@ -125,9 +125,10 @@ def visual_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT p_partkey, trim(regexp_replace(p_name || '--' || p_type, '[^a-zA-Z0-9]+', '_', 'g'), '_') AS key,
- left(trim(regexp_replace(regexp_replace(trim(p_name || ' / ' || p_brand), '[\\\\/:*?"<>|\\s]+', '-', 'g'), '-+', '-', 'g'), '-'), 96) AS stem FROM part""")
+ left(trim(regexp_replace(regexp_replace(trim(p_name || ' / ' || p_brand), '[\\\\/:*?"<>|\\s]+', '-', 'g'), '-+', '-', 'g'), '-'), 96) AS stem,
+ left(regexp_replace(regexp_replace('in/' || p_name || '/' || p_type || '.v' || p_partkey || '.pdf', '([^/])\\.[^./]+$', '\\1'), '[^A-Za-z0-9_.-]+', '_', 'g'), 180) AS work FROM part""")
 def slug_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", T.slug_key(F.concat("p_name", F.lit("--"), "p_type")).alias("key"), T.safe_stem(F.concat("p_name", F.lit(" / "), "p_brand")).alias("stem"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.slug_key(F.concat("p_name", F.lit("--"), "p_type")).alias("key"), T.safe_stem(F.concat("p_name", F.lit(" / "), "p_brand")).alias("stem"), T.work_key(F.concat(F.lit("in/"), "p_name", F.lit("/"), "p_type", F.lit(".v"), "p_partkey", F.lit(".pdf"))).alias("work"))
 
 
 @query("SELECT page_id, lower(regexp_extract(url, '^https?://([^/]+)', 1)) AS host FROM pages")

@@ -79,3 +79,13 @@ def append_events(events: DataFrame, path: str) -> None:
 def publish(rows: DataFrame, path: str, by: str = "classification") -> None:
     """Each row under the folder of its class; a new run replaces the classes it has."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def report_json(rows: DataFrame, path: str) -> None:
+    """A report with one line-broken JSON object a row, null fields included and non-ASCII characters as they are; a new run replaces it."""
+    rows.select(F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
+def refresh_segments(rows: DataFrame, path: str, job: str = "job") -> None:
+    """The segments of the jobs in rows, in full: what a job had before goes, other jobs stay; a run that is repeated leaves the same."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(job).parquet(path)

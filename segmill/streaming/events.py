@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -30,6 +32,25 @@ def mask_stream(spark: SparkSession, source: str, target: str, checkpoint: str)
     return out.writeStream.format("json").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+def forward_stream(spark: SparkSession, source: str, target: str, checkpoint: str, forward: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+    """mask_stream() with a forward step: each batch's masked events are handed to `forward` (a write to any sink), and appended to
+    target/batch=N with what became of it: not configured, forwarded, or the error. A batch that runs again replaces its folder."""
+    events = spark.readStream.schema(SCHEMA).json(source)
+
+    def send(batch: DataFrame, n: int) -> None:
+        masked = masked_event(batch)
+        status = "not configured"
+        if forward is not None:
+            try:
+                forward(masked)
+                status = "forwarded"
+            except Exception as e:  # the outcome is part of the record; the events are kept either way
+                status = f"failed: {type(e).__name__}"
+        masked.select(F.current_timestamp().alias("processed_at"), F.lit(status).alias("forward"), F.struct("*").alias("masked")).write.mode("overwrite").json(f"{target}/batch={n}")
+
+    return events.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def memory_stream(results: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """results(key, source, target, seq) merged into the memory's files, batch by batch: version N+1 is written whole from N, so a batch that runs again gives the same."""
 

@@ -96,7 +96,7 @@ def test_batches(spark):
         return spark.range(1).select(column.alias("x")).first()["x"]
 
     assert B.wrap("aaa bbb ccc", 30, 10) == ["aaa", "bbb", "ccc"] and B.wrap("", 30, 10) == [""] and "".join(B.wrap("x" * 50, 30, 10)) == "x" * 50
-    assert one(B.polished_title(F.lit("설정하기。!"))) == "설정"
+    assert one(T.polished_title(F.lit("설정하기。!"))) == "설정"
     assert one(B.blocks(F.lit("=== 1 ===\na\n=== 3 ===\nb"), F.lit(2))) is None
     segments = one(B.html_segments(F.lit("<h1>Head</h1><p>a <code>x</code> b<script>no</script></p><ul><li>item</ul><span epub:type='pagebreak'>12</span>tail")))
     assert [(s["kind"], s["text"]) for s in segments] == [("h1", "Head"), ("p", "a"), ("p", "b"), ("li", "item"), ("text", "tail")]
@@ -174,6 +174,54 @@ def test_links(spark):
     assert total[None, None] == (2, 1) and total["nested", "D"] == (0, 0)
 
 
+def test_titles_lose_endings_and_marks(spark):
+    texts = ["설정하기。!", "  저장 합니다 . ", "열기!.?", "가요하기하기하기하기", "끝.!", "끝!.", "하기", None, "제목", "보세요 하세요！？"]
+    got = [r["t"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(T.polished_title(F.col("t")).alias("t")).collect()]
+    assert got == ["설정", "저장", "열기", "가요하기", "끝", "끝", "", None, "제목", "보세요"]
+
+
+def test_work_keys(spark):
+    paths = ["in/My Book (2).final.pdf", "a/b", ".hidden", "x/.env", "ü.txt", "d.ir/name", "n" * 300 + ".md"]
+    got = [r["t"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(paths)], "i int, t string").orderBy("i").select(T.work_key(F.col("t")).alias("t")).collect()]
+    assert got == ["in_My_Book_2_.final", "a_b", ".hidden", "x_.env", "_", "d.ir_name", "n" * 180]
+
+
+def test_numbering_of_hot_keys(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, "hot").otherwise(F.col("id").cast("string")).alias("k"), (F.col("id") * F.col("id") % 10_007).alias("v"))
+    got = ordering.numbered(rows, ["k"], "v", "n", parts=16)
+    assert got.columns == ["k", "v", "n"] and got.count() == 5000
+    for key in (None, "hot"):
+        part = sorted((r["n"], r["v"]) for r in got.where(F.col("k").eqNullSafe(F.lit(key))).collect())
+        assert [n for n, _ in part] == list(range(len(part))) and [v for _, v in part] == sorted(v for _, v in part)
+    few = spark.createDataFrame([("a", None), ("a", 1.0), ("a", None), ("b", 2.0), ("a", 1.0)], "k string, v double")
+    assert sorted((r["k"], r["n"]) for r in ordering.numbered(few, ["k"], "v").collect()) == [("a", 0), ("a", 1), ("a", 2), ("a", 3), ("b", 0)]
+    assert ordering.numbered(rows.limit(0), ["k"], "v").count() == 0
+
+
+def test_reports_and_full_refresh(spark, tmp_path):
+    for ids in ([(1, "a", "é"), (2, "a", None), (3, "b", "c")], [(9, "a", "new")]):
+        files.refresh_segments(spark.createDataFrame(ids, "id long, job string, text string"), str(tmp_path / "segments"))
+    assert sorted((r["id"], r["job"]) for r in spark.read.parquet(str(tmp_path / "segments")).collect()) == [(3, "b"), (9, "a")]
+    files.report_json(spark.createDataFrame([(1, "é", None)], "id long, text string, note string"), str(tmp_path / "report"))
+    text = "".join(p.read_text() for p in (tmp_path / "report").glob("part-*"))
+    assert json.loads(text) == {"id": 1, "text": "é", "note": None} and text.count("\n") > 3
+
+
+def test_forwarding(spark, tmp_path):
+    row = {"event_id": "e1", "event_time": "2026-01-01T00:00:00Z", "source_system": "s", "patient": {"patient_id": "PT-2026-0001", "name": "A B", "email": "a@b.org", "phone": "+1 555 0100 200"}}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.json").write_text(json.dumps(row))
+
+    def refuse(batch):
+        raise ConnectionError("no such host")
+
+    for name, send, want in (("none", None, "not configured"), ("ok", lambda b: b.write.mode("overwrite").json(str(tmp_path / "sent")), "forwarded"), ("bad", refuse, "failed: ConnectionError")):
+        events.forward_stream(spark, str(tmp_path / "in"), str(tmp_path / name), str(tmp_path / f"ck-{name}"), send).awaitTermination(60)
+        out = spark.read.json(str(tmp_path / name)).collect()
+        assert [r["forward"] for r in out] == [want] and "a@b.org" not in str(out)
+    assert spark.read.json(str(tmp_path / "sent")).count() == 1 and "a@b.org" not in str(spark.read.json(str(tmp_path / "sent")).collect())
+
+
 def test_publish_and_append(spark, tmp_path):
     files.publish(spark.createDataFrame([("ok", 1), ("failed", 2)], "classification string, id long"), str(tmp_path / "out"))
     files.publish(spark.createDataFrame([("failed", 3)], "classification string, id long"), str(tmp_path / "out"))
