@@ -29,7 +29,8 @@ SPELLINGS = [
     ("copyright (owner|holder)", "copyright holder"),
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COPYRIGHT_LINE = "^[^a-z0-9©\n]*(copyright|©|\\(c\\)|all rights reserved)[^\n]*$"
+#: A line that opens with a notice: the word or sign with a year or a place for one, or "all rights reserved".
+COPYRIGHT_LINE = "^[^a-z0-9©\n]*(copyright[^a-z0-9\n]*(\\(c\\)|©|[0-9]{4}|year|yyyy)|©|\\(c\\)[^a-z0-9\n]*[0-9]{4}|all rights reserved)[^\n]*$"
 
 
 def canonical(text: Column) -> Column:

@@ -1,3 +1,6 @@
+import re
+import textwrap
+
 import duckdb
 from pyspark.sql import functions as F
 
@@ -14,6 +17,19 @@ def test_variants_of_a_licence(spark):
     assert got[10] == (None, 1, "MIT (notice)") and got[11] == got[12] == (None, 0, "")
 
 
+def test_whole_texts(spark):
+    """Long licences are known as whole texts, also in upper case, with other marks, or wrapped at another width."""
+    names = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "GFDL-1.3"]
+    wrapped = lambda t: "\n\n".join(textwrap.fill(p, 50) for p in re.split(r"\n\s*\n", t))
+    rows = [(n, LICENCES[n]) for n in names] + [(n, LICENCES[n].upper().replace(",", " ;").replace("'", "")) if "'" not in LICENCES[n] else (n, LICENCES[n].upper()) for n in names]
+    rows += [(n, wrapped(LICENCES[n])) for n in ("Apache-2.0", "MPL-2.0")] + [("Apache-2.0", LICENCES["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2024 Somebody"))]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licence"] for r in license_scan.scan(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == [n for n, _ in rows]
+    half = spark.createDataFrame([(1, LICENCES["Apache-2.0"][:5000])], "doc_id long, text string")
+    assert [r["licence"] for r in license_scan.scan(half).collect()] == [None]
+
+
 def test_documents_equal_sql(spark, documents, small):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
