@@ -74,7 +74,8 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "id") -> DataFram
     return nodes.join(stars.select(F.col("a").alias(node), F.col("b").alias("component")), node, "left").select(node, F.coalesce("component", node).alias("component"))
 
 
-BLOOM_BITS = 26
+#: Bits of the largest filter, as a power of two: 32 MB.
+MOST_BITS = 28
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -89,11 +90,13 @@ def _probes(keys: np.ndarray, bits: int) -> list[np.ndarray]:
     return [first >> np.uint64(64 - bits), first & np.uint64((1 << bits) - 1), mixed(first + np.uint64(1)) >> np.uint64(64 - bits)]
 
 
-def bloom(keys: DataFrame, key: str, bits: int = BLOOM_BITS) -> np.ndarray:
-    """A Bloom filter of 2**bits bits (8 MB at 26, whatever the number of keys), three probes a key; uint64 words.
+def bloom(keys: DataFrame, key: str, most_bits: int = MOST_BITS) -> np.ndarray:
+    """A Bloom filter of keys, a written table: about ten bits a key, 2**most_bits bits at most, three probes a key; uint64 words.
 
-    Only a filter: what passes it is held against the keys themselves later. Words are or-ed by Spark; at most 2**(bits-6) come to the driver.
+    Only a filter: what passes it is held against the keys themselves later. With more than about 2**most_bits / 4 keys it
+    passes more, and what follows costs more. Words are or-ed by Spark; at most 2**(most_bits-6) come to the driver.
     """
+    bits = min(most_bits, max(16, int(10 * keys.count()).bit_length()))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -167,10 +167,10 @@ def merged(runs: list[Iterator[tuple[bytes, int, int]]]) -> Iterator[tuple[bytes
 
 def sort_suffixes(suffixes: DataFrame, ranges: int) -> DataFrame:
     """suffixes(suffix binary, weight long), distinct -> (suffix, weight, shared int): the longest common prefix with a neighbour of the sorted order."""
-    most = 32 * ranges
+    # 16 prefixes a range are sampled for the splitters; any string splits
     n = suffixes.count()
-    sample = sorted(r[0] for r in suffixes.select("suffix").sample(fraction=min(1.0, 2 * most / max(1, n)), seed=1).limit(most * 4).collect()) if ranges > 1 else []
-    splitters = sorted({bytes(sample[i * len(sample) // ranges]) for i in range(1, ranges)}) if sample else []
+    sample = sorted(bytes(r[0]) for r in suffixes.select(F.substring("suffix", 1, SPAN + 56)).sample(fraction=min(1.0, 16 * ranges / max(1, n)), seed=1).limit(32 * ranges).collect()) if ranges > 1 else []
+    splitters = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -252,7 +252,7 @@ def repeated(texts: DataFrame, span: int = SPAN, gram: int = GRAM, range_rows: i
 
     counts = scan(grams, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
     sc = texts.sparkSession.sparkContext
-    often = sc.broadcast(bloom(counts.where("n > 1"), "g"))
+    often = sc.broadcast(bloom(written(counts.where("n > 1").select("g"), "repeated-grams"), "g"))
 
     def keep(found, raw, batch, at):
         k1, k2 = (batch.column(c).to_numpy()[found["text"][at]] for c in ("k1", "k2"))
@@ -300,7 +300,7 @@ def repeated(texts: DataFrame, span: int = SPAN, gram: int = GRAM, range_rows: i
                 yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(left.astype(np.int16))], ["h", "left"])
 
     seen = strings.mapInArrow(windows, "h long, left short").groupBy("h").agg(F.count("*").alias("n"), F.min("left").alias("a"), F.max("left").alias("b"))
-    opening = sc.broadcast(bloom(seen.where("n > 1 and (a <> b or a < 0)"), "h"))
+    opening = sc.broadcast(bloom(written(seen.where("n > 1 and (a <> b or a < 0)").select("h"), "openings"), "h"))
 
     def heads_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
