@@ -173,9 +173,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, passes: int = 1
     vectors of different length don't link. Repeated ids each give a row. A row with a null id links with nothing. Ties in the
     order are settled by a hash of id and pass. Other columns are ignored; an empty table gives an empty result.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), F.col(label_col).cast("long").alias("label"))
+    # single-precision vectors travel as they are; tasks compute in double precision
+    kind = vectors.select(vector_col).schema[0].dataType.simpleString()
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind if kind == "array<float>" else "array<double>").alias("vector"), F.col(label_col).cast("long").alias("label"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+    norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     good = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & (norm > 0) & (norm < float("inf")), F.lit(False))
     rows = rows.withColumn("vector", F.when(good, F.col("vector")))
     fine = rows.where("vector is not null")
