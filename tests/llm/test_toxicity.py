@@ -65,3 +65,49 @@ def test_edges(spark, edge):
     none = toxicity.score(edge, labels.limit(0), HELD()).collect()
     assert {r["score"] for r in none} == {0.5}
     assert toxicity.score(edge.limit(0), labels, HELD()).count() == 0
+
+
+def test_scores_equal_a_plain_computation():
+    """Word by word, window by window, with the equations written out."""
+    rng = np.random.default_rng(6)
+    m = toxicity.initial(rng, np.float64)
+    for k in ("bias_f", "bias_b", "out_bias"):
+        m[k] += rng.standard_normal(m[k].shape)
+    fitted = {"model": m, "slope": 1.3, "shift": -0.4, "prior": 0.07}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    h = toxicity.HIDDEN
+
+    def states(vectors, side):
+        state, out = np.zeros(h), []
+        for v in vectors:
+            x, u = v @ m[f"in_{side}"] + m[f"bias_{side}"], state @ m[f"rec_{side}"]
+            z, r = sigmoid(x[:h] + u[:h]), sigmoid(x[h : 2 * h] + u[h : 2 * h])
+            state = (1 - z) * np.tanh(x[2 * h :] + r * u[2 * h :]) + z * state
+            out.append(state)
+        return out
+
+    def logit(words):
+        vectors = []
+        for w in words:
+            row, grams, _ = toxicity.word_inputs([w])
+            vectors.append(np.concatenate([m["words"][row[0]], m["grams"][grams].mean(0)]))
+        both = [np.concatenate(x) for x in zip(states(vectors, "f"), states(vectors[::-1], "b")[::-1], strict=True)]
+        weights = np.exp([s @ m["attend"] for s in both])
+        return float(sum(w * s for w, s in zip(weights / weights.sum(), both, strict=True)) @ m["out"] + m["out_bias"][0])
+
+    texts = [None, "", " \n"] + [" ".join(f"Wort{rng.integers(0, 60)}," for _ in range(n)) for n in (1, 2, 16, 31, 32, 33, 48, 49, 100)]
+    got = toxicity.text_scores(fitted, pa.array(texts, pa.string()))
+    for text, x in zip(texts, got, strict=True):
+        words = (text or "").lower().split()
+        n, size, step = len(words), toxicity.WINDOW, toxicity.STRIDE
+        starts = [0] if n <= size else [*range(0, n - size, step), n - size]
+        want = sigmoid(1.3 * max(logit(words[i : i + size]) for i in starts) - 0.4) if words else 0.07
+        assert abs(x - want) < 1e-9
+
+
+def test_short_runs_lie_whole_in_a_window():
+    """Every run of WINDOW - STRIDE + 1 words is in one window."""
+    run = toxicity.WINDOW - toxicity.STRIDE + 1
+    for n in (17, 32, 33, 47, 48, 49, 200):
+        _, first, lengths = toxicity.windows(np.array([n]))
+        assert all(any(a <= i and i + run <= a + k for a, k in zip(first, lengths, strict=True)) for i in range(n - run + 1))
