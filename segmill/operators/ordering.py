@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import WS
 
 
-HEADING, FENCE, ADMONITION = r"^(#{1,6})\s+(.+?)\s*#*\s*$", r"^\s*(```|~~~)", r'^\s*(!!!|\?\?\?\+?)\s+\w+\s+"?(.*?)"?\s*$'
-QUOTE, ITEM = r"^(\s*>\s?)(.*)$", r"^(\s*(?:[-*+]|\d+[.)])\s+)(.*)$"
+HEADING, FENCE, ADMONITION = r"^(#{1,6})\s+(.+?)\s*#*\s*$", r"^\s*(```|~~~)", r'^\s*>?\s*(!!!|\?\?\?\+?)\s+\w+\s+"?(.*?)"?\s*$'
+QUOTE, ITEM = r"^(\s*>\s?)(.*)$", r"^(\s*(?:[-*+]|\d+[.)])\s+(?:\[[ xX]\]\s+)?)(.*)$"
 REFERENCE, SEPARATOR = r"^\s{0,3}\[[^\]]+\]:\s+", r"^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)*\|?\s*$"
 
 

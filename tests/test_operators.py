@@ -80,6 +80,14 @@ def test_markdown_segments(spark):
     ]
 
 
+def test_markdown_prefixes(spark):
+    """A task's box belongs to the list mark; an admonition may stand in a quotation."""
+    text = ["- [ ] open task", "* [x] done", "1) [X] third", "- [link] stays", "> !!! warning Mind this", "> plain"]
+    rows = spark.createDataFrame([(1, i, x) for i, x in enumerate(text)], "doc_id long, line_index int, line string")
+    got = [(r["kind"], r["text"]) for r in ordering.markdown_segments(rows).orderBy("id").collect()]
+    assert got == [("list_item", "open task"), ("list_item", "done"), ("list_item", "third"), ("list_item", "[link] stays"), ("admonition_title", "Mind this"), ("blockquote", "plain")]
+
+
 def test_text_functions(spark):
     def one(column):
         return spark.range(1).select(column.alias("x")).first()["x"]
