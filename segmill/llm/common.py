@@ -121,6 +121,16 @@ def in_bloom(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def passing(df: DataFrame, column: str, words, inside: bool = True) -> DataFrame:
+    """The rows whose key (a long) may be in a broadcast filter, or those whose key certainly isn't: a join needs to shuffle the first alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bloom(words.value, batch.column(column).to_numpy()) == inside))
+
+    return df.mapInArrow(run, df.schema)
+
+
 _rng = np.random.default_rng(6)
 _BYTES = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _R = 0x9E3779B97F4A7C15

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import Rolling, components, mixed, slices, written
+from .common import Rolling, bloom, components, mixed, passing, slices, written
 
 SEED = 42
 WHITE = re.compile(rb"[\x20\x09-\x0d]")
@@ -210,11 +210,14 @@ def similar(nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -
     each = nodes.select("node", "bytes", F.posexplode("keys").alias("t", "key"))
     sums = each.groupBy("t", "key").agg(F.count("*").alias("n"), F.sum("bytes").alias("size"), F.min("node").alias("least"), F.max("node").alias("most"), F.expr("bit_xor(xxhash64(node))").alias("sig")).where("n > 1")
     # buckets with the same members are compared once
-    sums = sums.groupBy("n", "size", "least", "most", "sig").agg(F.min(F.struct("t", "key")).alias("of")).select("n", "size", "of.t", "of.key")
+    sums = written(sums.groupBy("n", "size", "least", "most", "sig").agg(F.min(F.struct("t", "key")).alias("of")).select("n", "size", "of.t", "of.key"), "buckets")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_BYTES))
-    held = written(each.join(sums.select("t", "key", blocks.alias("blocks")), ["t", "key"]).select("t", "key", "node", "bytes", "blocks", F.pmod(F.xxhash64("node", "t"), "blocks").alias("block")), "candidates")
+    # most keys occur once: filters keep them, and the texts that share none, out of the shuffles
+    sc = nodes.sparkSession.sparkContext
+    held = written(passing(each, "key", sc.broadcast(bloom(sums, "key"))).join(sums.select("t", "key", blocks.alias("blocks")), ["t", "key"]).select("t", "key", "node", "bytes", "blocks", F.pmod(F.xxhash64("node", "t"), "blocks").alias("block")), "candidates")
     n, size = held.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     parts = max(8, n // 2048, size // (4 << 20))
+    texts = passing(texts, "node", sc.broadcast(bloom(written(held.select("node").distinct(), "members"), "node")))
     unit = F.xxhash64("t", "key", "block")
     first = _verified(held.select(unit.alias("unit"), "node", F.col("node").alias("component"), F.lit(True).alias("against")), texts, width, similarity, parts)
     joined = written(components(nodes.select("node"), written(first, "links"), "node"), "components")
@@ -276,7 +279,10 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5, radius: i
     labelled = nodes.join(found, "node", "left").select(F.col("first").alias("row"), F.coalesce("component", "node").alias("component"))
     ranked = labelled.join(marked.select("row", rank.alias("rank")), "row")
     chosen = written(ranked.groupBy("component").agg(F.min("rank")["row"].alias("row")).select("row"), "representatives")
-    return marked.join(chosen, "row", "left_semi").select("doc.*")
+    gone = written(marked.select("row").join(chosen, "row", "left_anti"), "gone")
+    words = docs.sparkSession.sparkContext.broadcast(bloom(gone, "row"))
+    rest = marked.select("row", "doc")
+    return passing(rest, "row", words, False).unionByName(passing(rest, "row", words).join(gone, "row", "left_anti")).select("doc.*")
 
 
 def _words_digest(text: bytes) -> bytes:
