@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import hmm_lm, license_scan, packing, projection_dedup, reshard, simhash, suffix_dedup, templates, token_files, toxicity
+from . import collocations, divergence, fertility, hmm_lm, license_scan, packing, projection_dedup, reshard, simhash, suffix_dedup, templates, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,9 +71,24 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return fertility.rules(docs, public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hmm_lm, op2_token_files, op3_toxicity, op4_license_scan, op5_packing, op6_suffix_dedup, op7_reshard, op8_projection_dedup, op9_templates, op10_simhash, pipeline)}
+    return {f.__name__: f for f in (op1_hmm_lm, op2_token_files, op3_toxicity, op4_license_scan, op5_packing, op6_suffix_dedup, op7_reshard, op8_projection_dedup, op9_templates, op10_simhash, op11_divergence, op12_fertility, op13_collocations, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": license_scan.scan_sql()}
+    return {"op4_license_scan": license_scan.scan_sql(), "op11_divergence": divergence.audit_sql(), "op13_collocations": collocations.collocations_sql()}
