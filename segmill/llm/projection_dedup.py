@@ -170,8 +170,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, passes: int = 1
     """(vec_id, n_links, component_id, kept): cosine links in double precision between vectors of equal label.
 
     Null, empty and zero vectors, vectors with null, infinite or NaN components and rows with a null label link with nothing;
-    vectors of different length don't link. Repeated ids each give a row. A row with a null id links with nothing. Ties in the
-    order are settled by a hash of id and pass. Other columns are ignored; an empty table gives an empty result.
+    vectors of different length don't link. Rows that share an id each give a row with the links of their own vector. A row
+    with a null id links with nothing. Ties in the order are settled by a hash of node and pass. A component of N vectors costs
+    N^2 / 2 comparisons and sends each of its vectors to N / (span * window) tasks. Other columns are ignored; an empty table gives an empty result.
     """
     # single-precision vectors travel as they are; tasks compute in double precision
     kind = vectors.select(vector_col).schema[0].dataType.simpleString()
@@ -181,13 +182,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, passes: int = 1
     good = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & (norm > 0) & (norm < float("inf")), F.lit(False))
     rows = rows.withColumn("vector", F.when(good, F.col("vector")))
     fine = rows.where("vector is not null")
-    nodes = written(fine.groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "vectors")
+    # a node is a number of its own, fixed once the table is written: different vectors may share an id
+    nodes = fine.groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")
     blocks = _blocks(_keys(nodes, passes, bits), passes, window)
     found = written(_compare(nodes.join(blocks, "node"), window, span, threshold), "links")
     comps = written(components(nodes.select("node"), found.select(F.col("node").alias("a"), F.col("other").alias("b")), "node"), "components")
     counts = _counts(nodes, comps, span * window, threshold)
-    known = nodes.join(comps, "node").join(counts, "node", "left").select("label", "vector", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component")
+    smallest = nodes.select("node", "least").join(comps, "node").groupBy("component").agg(F.min("least").alias("smallest"))
+    named = comps.join(smallest, "component").select("node", "smallest")
+    known = nodes.join(named, "node").join(counts, "node", "left").select("label", "vector", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "smallest")
     known = written(known, "labelled")
     out = rows.join(known, ["label", "vector"], "left")
-    component = F.coalesce("component", "vec_id")
+    component = F.coalesce("smallest", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))

@@ -76,3 +76,36 @@ def test_edges(spark):
     df = spark.createDataFrame(rows, SCHEMA).withColumns({"node": F.lit("clash"), "copies": F.lit(1), "block": F.lit(2)})
     assert {r[0]: tuple(r[1:]) for r in projection_dedup.near_duplicates(df).collect()} == brute(rows)
     assert projection_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def by_row(rows, threshold=0.98):
+    """brute() for rows that may share ids: a result for each row, in order."""
+    own = brute([(k, v, x if i is not None else None) for k, (i, v, x) in enumerate(rows)], threshold)
+    least = {}
+    for k, (i, _, _) in enumerate(rows):
+        c = own[k][1]
+        least[c] = min(x for x in (least.get(c), i) if x is not None) if i is not None or c in least else None
+    return [(i, own[k][0], least[own[k][1]], i is None or least[own[k][1]] == i) for k, (i, _, _) in enumerate(rows)]
+
+
+def test_shared_ids(spark):
+    rows = [(5, [1.0, 0.0, 0.0], 1), (5, [0.0, 1.0, 0.0], 1), (6, [0.0, 0.0, 1.0], 1), (7, [0.0, 1.0, 0.001], 1), (8, [1.0, 0.0, 0.0], 1), (8, [1.0, 0.0, 0.0], 1), (2, [1.0, 0.0, 0.0], 2), (8, [0.0, 1.0, 0.002], 1), (None, [1.0, 0.0, 0.0], 1)]
+    got = sorted(map(tuple, projection_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert got == sorted(by_row(rows), key=str) and len(got) == len(rows)
+
+
+def test_sparse_pairs_just_above_the_threshold(spark):
+    """Pairs with a cosine of 0.9805 to 0.985 among vectors of one label that link with nothing."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((4000, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    side = rng.standard_normal((500, 64))
+    side -= (side * x[:500]).sum(1)[:, None] * x[:500]
+    side /= np.sqrt((side * side).sum(1))[:, None]
+    cos = rng.uniform(0.9805, 0.985, 500)[:, None]
+    x = np.concatenate([x, cos * x[:500] + np.sqrt(1 - cos * cos) * side]).astype(np.float32)
+    rows = [(i, v.tolist(), 3) for i, v in enumerate(x)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in projection_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i] == (0, i) for i in range(500, 4000))
+    found = sum(got[i] == (1, i) and got[4000 + i] == (1, i) for i in range(500))
+    assert found >= 495
