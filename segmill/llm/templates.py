@@ -18,9 +18,16 @@ from .common import SPACE, written
 WORDS = 5
 #: Words that may be put in or left out before places count as another alignment.
 DRIFT = 4
-#: Spelled-out numbers and units that count as such wherever they stand.
+#: Spelled-out numbers and units that count as such wherever they stand, in English, German, French and Spanish. Words that
+#: are articles or common words of another of these languages are left out.
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
+NUMBERS += "null zwei drei vier fünf sechs sieben acht neun zehn zwölf dreizehn vierzehn fünfzehn zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend".split()
+NUMBERS += "zéro deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante mille".split()
+NUMBERS += "cero dos tres cuatro cinco seis siete ocho nueve diez doce trece catorce quince veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien mil".split()
 UNITS = "mm cm km kg mg ml metre metres meter meters kilometre kilometres kilometer kilometers mile miles inch inches foot feet yard yards gram grams kilogram kilograms tonne tonnes litre litres liter liters hour hours minute minutes second seconds day days week weeks month months year years dollar dollars euro euros pound pounds cent cents percent degree degrees volt volts watt watts joule joules newton newtons".split()
+UNITS += "zentimeter gramm kilogramm tonnen stunde stunden minuten sekunde sekunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren prozent grad".split()
+UNITS += "mètre mètres centimètre centimètres kilomètre kilomètres gramme grammes kilogramme kilogrammes heure heures seconde secondes jour jours semaine semaines mois ans année années degré degrés".split()
+UNITS += "metro metros centímetro centímetros kilómetro kilómetros gramo gramos kilogramo kilogramos litro litros hora horas minuto minutos segundo segundos día días semana semanas mes meses año años grado grados".split()
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„’‘¿¡…–—"
 
 
@@ -120,8 +127,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
 
     consistent: each value in the item's placeholders stands for one value of the document, in at least `similarity` of the
     matched windows that hold it. That is asked of each alignment (places of the document less places in the item, equal or
-    within DRIFT) that holds `similarity` of the distinct windows, and of all places together; one that agrees is enough.
-    A window that the item holds several times has all its places. An item of fewer than five words has no template: it is one
+    within DRIFT) that holds `similarity` of the item's window places, and of all places together, where a window counts as often as
+    both hold it; one that agrees is enough. A window that the item holds several times has all its places, so an item of ten numbers
+    isn't held by five numbers in a row. An item of fewer than five words has no template: it is one
     window of its own length of plain words, wherever it stands. Null, empty and blank texts match nothing, on either side. Repeated items match each; repeated
     rows of docs give one row per distinct id and text. Null ids are kept as such. Other columns are ignored.
     """
@@ -144,16 +152,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     held = pairs.alias("p").join(side.alias("s"), on("p", "s", item)).select("p.*", "s.h", "s.windows").alias("a").join(windows.alias("w"), on("a", "w", [*doc, "h"])).select("a.*")
     found = written(held.groupBy(*doc, *item, "windows").agg(F.count("h").alias("matched")).where(F.col("matched") >= similarity * F.col("windows")), "matches")
     of = found.drop("matched").alias("f").join(own.alias("o"), on("f", "o", item)).select("f.*", "o.h", "o.places", "o.length").alias("a")
-    of = of.join(places.alias("d"), on("a", "d", [*doc, "h"])).select("a.*", "d.pos", F.posexplode("a.places").alias("nth", "item_pos"))
+    of = of.join(places.alias("d"), on("a", "d", [*doc, "h"])).select("a.*", "d.pos", F.size("a.places").alias("times"), F.posexplode("a.places").alias("nth", "item_pos"))
     # alignments: (0, shift) has the hits of that shift, (1, shift) those within DRIFT, the nearest of a place; (2, 0) all, by an item's first place
     shift = F.col("pos") - F.col("item_pos")
     near = F.transform(F.sequence(F.lit(-DRIFT), F.lit(DRIFT)), lambda d: F.struct(F.lit(1).alias("kind"), (shift + d).alias("shift"), F.abs(d).alias("off")))
     alone = lambda kind, at: F.array(F.struct(F.lit(kind).alias("kind"), at.alias("shift"), F.lit(0).alias("off")))
     ways = F.concat(alone(0, shift), near, F.when(F.col("nth") == 0, alone(2, F.lit(0))).otherwise(F.slice(alone(2, F.lit(0)), 1, 0)))
     group = [*doc, *item, "kind", "shift"]
-    of = of.withColumn("way", F.explode(ways)).select(*doc, *item, "windows", "h", "pos", "item_pos", "way.*")
-    of = written(of.groupBy(*group, "windows", "h", "pos").agg(F.min(F.struct("off", "item_pos"))["item_pos"].alias("item_pos")), "alignments")
-    whole = of.groupBy(*group, "windows").agg(F.countDistinct("h").alias("held")).where(F.col("held") >= similarity * F.col("windows")).select(*group)
+    of = of.withColumn("way", F.explode(ways)).select(*doc, *item, "h", "times", "pos", "item_pos", "way.*")
+    of = written(of.groupBy(*group, "h", "times", "pos").agg(F.min(F.struct("off", "item_pos"))["item_pos"].alias("item_pos")), "alignments")
+    spots = own.groupBy(*item).agg(F.sum(F.size("places")).alias("spots")).alias("s")
+    held = of.groupBy(*group, "h", "times").agg(F.count("*").alias("n"), F.size(F.collect_set("item_pos")).alias("own"))
+    held = held.groupBy(*group).agg(F.sum(F.when(F.col("kind") == 2, F.least("n", "times")).otherwise(F.col("own"))).alias("held")).alias("a")
+    whole = held.join(spots, on("a", "s", item)).where(F.col("held") >= similarity * F.col("spots")).select(*(F.col(f"a.{c}") for c in group))
     of = of.alias("a").join(whole.alias("b"), on("a", "b", group), "left_semi")
     # values of placeholders: of the matched documents and items alone, and a row per placeholder
     held = found.select(*doc).distinct().alias("b")
@@ -170,7 +181,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     agree = whole.alias("a").join(agree.alias("b"), on("a", "b", group), "left").select("a.*", F.coalesce("b.agree", F.lit(True)).alias("agree"))
     agree = agree.groupBy(*doc, *item).agg(F.bool_or("agree").alias("agree")).alias("b")
     out = found.alias("a").join(agree, on("a", "b", [*doc, *item]), "left")
-    return out.select(F.col("a.id").alias(id_col), "a.text_hash", F.col("a.item").alias(item_col), "a.windows", "a.matched", F.coalesce("agree", F.lit(True)).alias("consistent"))
+    return out.select(F.col("a.id").alias(id_col), "a.text_hash", F.col("a.item").alias(item_col), "a.windows", "a.matched", F.coalesce("agree", F.lit(False)).alias("consistent"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:

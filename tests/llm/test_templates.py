@@ -95,3 +95,54 @@ def test_clashing_names(spark):
     docs = spark.createDataFrame([(1, ITEM), (2, "clean")], "doc_id long, text string").withColumns({n: F.lit(1) for n in names})
     left = templates.decontaminate(docs, spark.createDataFrame([(7, ITEM)], "item_id long, text string").withColumns({n: F.lit(1) for n in names}))
     assert left.columns == docs.columns and [r["doc_id"] for r in left.collect()] == [2]
+
+
+def consistent(text, item, similarity=0.8):
+    """Whether a text of numbers and plain words holds an item, by all alignments of all places."""
+    kinds = lambda t: ["#" if w.isdigit() else w for w in t.split()]
+    a, b, x, y = kinds(text), kinds(item), text.split(), item.split()
+    wins = lambda k: [tuple(k[i : i + 5]) for i in range(len(k) - 4)]
+    ours, theirs = wins(a), wins(b)
+    hits = [(p, i) for p, w in enumerate(ours) for i, v in enumerate(theirs) if w == v]
+
+    def agrees(pairs):
+        seen = {}
+        for p, i in pairs:
+            for k in range(5):
+                if b[i + k] == "#":
+                    seen.setdefault(y[i + k], []).append(x[p + k])
+        return all(max(v.count(o) for o in v) >= similarity * len(v) for v in seen.values())
+
+    for s in {p - i for p, i in hits} | {p - i + d for p, i in hits for d in range(-4, 5)}:
+        for drift in (0, 4):
+            near = {}
+            for p, i in hits:
+                if abs(p - i - s) <= drift:
+                    near[p] = min(near.get(p, (99, 0)), (abs(p - i - s), i))
+            pairs = [(p, i) for p, (_, i) in near.items()]
+            if len({i for _, i in pairs}) >= similarity * len(theirs) and agrees(pairs):
+                return True
+    first = {w: i for i, w in reversed(list(enumerate(theirs)))}
+    every = [(p, first[w]) for p, w in enumerate(ours) if w in first]
+    return sum(min(ours.count(w), theirs.count(w)) for w in set(theirs)) >= similarity * len(theirs) and agrees(every)
+
+
+def test_windows_that_coincide(spark):
+    """Items whose windows are alike ask for as many places as they have."""
+    numbers, song = "1 2 3 4 5 6 7 8 9 10", "row row row row row row your boat row row row row row row gently down"
+    items = {1: numbers, 2: song, 3: "add 1 to 1 to 1 to 1 to 1 to 1 to 1 and stop"}
+    docs = {
+        1: "11 12 13 14 15 16", 2: "4 8 15 16 23 42 99 7 5 3", 3: "so 1 2 3 4 5 6 7 8 9 10 it is", 4: "row row row row row row your boat",
+        5: song, 6: "then add 7 to 7 to 7 to 7 to 7 to 7 to 7 and stop", 7: "add 1 to 2 to 3 to 4 to 5 to 6 to 7 and stop", 8: "add 1 to 1 to 1 and stop", 9: "1 2 3 4 5 6 7 8", 10: "1 2 1 2 1 2 1 2 1 2 1 2",
+    }
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["consistent"] for r in templates.contaminated(d, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    assert {k for k, v in got.items() if v} == {(i, j) for i, t in docs.items() for j, u in items.items() if consistent(t, u)}
+    assert got[1, 1] is False and got[3, 1] and got[5, 2] and got[6, 3]
+
+
+def test_numbers_and_units_of_other_languages(spark):
+    items = [(1, "tengo que andar cuatro kilómetros en dos horas y luego descansar tres minutos antes de seguir"), (2, "il faut marcher quatre kilomètres en deux heures puis attendre trois minutes avant de partir")]
+    docs = [(1, items[0][1].replace("cuatro kilómetros", "siete metros").replace("dos", "9")), (2, items[1][1].replace("quatre kilomètres", "8 mètres").replace("trois", "dix"))]
+    got = templates.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).where("consistent").collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1), (2, 2)}
