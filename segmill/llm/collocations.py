@@ -24,8 +24,8 @@ from .common import bloom, in_bloom, mixed, slices, written
 _PLAIN = bytes(0xFF if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 0x09 else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _END = b"\xff"
 #: Entries that a task holds, bytes of text taken at once, buckets in a chunk, and the least and most bits of a bucket's number.
-HELD, RUN, CHUNK = 300_000, 1 << 20, 1 << 14
-LEAST_BITS, MOST_BITS = 20, 27
+HELD, RUN, CHUNK = 150_000, 1 << 20, 1 << 14
+LEAST_BITS, MOST_BITS = 20, 26
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,7 +56,7 @@ def word_runs(texts: list[bytes], overlap: int) -> Iterator[tuple[list[bytes], i
 
 
 class Words:
-    """Numbers, hashes and spellings of the words a task meets; forgets all when it holds too many. Number 0 ends a piece."""
+    """Numbers, hashes and spellings of the words a task meets. Number 0 ends a piece."""
 
     def __init__(self):
         self.forget()
@@ -66,17 +66,16 @@ class Words:
         self.spelled, self.hash, self.bytes = [_END], np.zeros(1, np.uint64), 0
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        new = list(set(words).difference(self.at))
-        if len(self.at) + len(new) > HELD or self.bytes > 64 << 20:
-            self.forget()
-            new = list(set(words).difference(self.at))
-        if new:
+        if new := list(set(words).difference(self.at)):
             self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
             self.spelled += new
             self.bytes += sum(map(len, new))
             self.hash = np.concatenate([self.hash, np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))])
         return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
 
+    def crowded(self) -> bool:
+        return len(self.at) > HELD or self.bytes > 32 << 20
+
 
 def _hashes(words: np.ndarray, lang: str, n: int) -> list[np.ndarray]:
     """For each length from 1 to n, the hash of the phrase that starts at each place."""
@@ -90,16 +89,27 @@ def _pass(docs: DataFrame, n: int, bits: int, least: int, bitmap, shorter, last:
     """One pass: (lang, phrase, key, n, chunk, payload). Rows with a phrase: exact counts of candidates of n words, several a phrase.
     Rows with a chunk: counts of the buckets of n + 1 words, up to `least` each, compressed; none in the last pass."""
 
+    fields = ["lang", "phrase", "key", "n", "chunk", "payload"]
+
+    def counted(lang: str, phrases: list[bytes], keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        size = len(phrases)
+        return pa.record_batch([pa.array([lang] * size, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(keys.view(np.int64)), pa.array(n), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], fields)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held = Words(), {}
+        known = Words()
+        words_held: dict[str, np.ndarray] = {}
+        held: dict[str, dict[bytes, list[int]]] = {}
         buckets = None if last else np.zeros(1 << bits, np.uint8)
-        fields = ["lang", "phrase", "key", "n", "chunk", "payload"]
 
-        def given() -> pa.RecordBatch:
-            size = len(held)
-            phrases = pa.array([p for _, p in held], pa.binary()).cast(pa.string())
-            values = list(held.values())
-            return pa.record_batch([pa.array([lang for lang, _ in held], pa.string()), phrases, pa.array([k for k, _ in values], pa.int64()), pa.array([c for _, c in values], pa.int64()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], fields)
+        def given() -> Iterator[pa.RecordBatch]:
+            for lang, tally in words_held.items():
+                at = np.flatnonzero(tally)
+                yield counted(lang, [known.spelled[i] for i in at.tolist()], _hashes(known.hash[at], lang, 1)[0], tally[at])
+            for lang, phrases in held.items():
+                values = np.array(list(phrases.values()), np.int64).reshape(-1, 2)
+                yield counted(lang, list(phrases), np.ascontiguousarray(values[:, 0]).view(np.uint64), np.ascontiguousarray(values[:, 1]))
+            words_held.clear()
+            held.clear()
 
         for whole in batches:
             for batch in slices(whole):
@@ -107,6 +117,9 @@ def _pass(docs: DataFrame, n: int, bits: int, least: int, bitmap, shorter, last:
                 texts = batch.column("text").to_pylist()
                 for lang in dict.fromkeys(langs):
                     for words, old in word_runs([t for t, x in zip(texts, langs, strict=True) if x == lang], n if not last else n - 1):
+                        if known.crowded() or sum(map(len, held.values())) > HELD:
+                            yield from given()
+                            known.forget()
                         # ends of pieces behind the words, so that phrases of every length have a place
                         at = np.concatenate([known(words), np.zeros(n + 1, np.int64)])
                         hashes = _hashes(known.hash[at], lang, n if last else n + 1)
@@ -125,21 +138,20 @@ def _pass(docs: DataFrame, n: int, bits: int, least: int, bitmap, shorter, last:
                             buckets[number] = np.minimum(buckets[number] + np.minimum(times, least), least)
                         places = np.flatnonzero(candidate)
                         places = places[places + n - 1 >= old]
+                        if n == 1:
+                            tally = np.bincount(at[places], minlength=len(known.spelled))
+                            if lang in words_held:
+                                tally[: len(words_held[lang])] += words_held[lang]
+                            words_held[lang] = tally
+                            continue
                         group = at[places]
                         for k in range(1, n):
                             group = np.unique(group, return_inverse=True)[1] * len(known.spelled) + at[places + k]
                         _, first, times = np.unique(group, return_index=True, return_counts=True)
-                        starts = places[first]
-                        keys = hashes[n - 1][starts].view(np.int64).tolist()
-                        spelled = [words[i] for i in starts.tolist()] if n == 1 else [b" ".join(words[i : i + n]) for i in starts.tolist()]
-                        for phrase, key, c in zip(spelled, keys, times.tolist(), strict=True):
-                            had = held.get((lang, phrase))
-                            held[lang, phrase] = (key, c + (had[1] if had else 0))
-                        if len(held) > HELD:
-                            yield given()
-                            held.clear()
-        if held:
-            yield given()
+                        starts, phrases = places[first], held.setdefault(lang, {})
+                        for i, key, c in zip(starts.tolist(), hashes[n - 1][starts].view(np.int64).tolist(), times.tolist(), strict=True):
+                            phrases.setdefault(b" ".join(words[i : i + n]), [key, 0])[1] += c
+        yield from given()
         if not last:
             squeeze = zstandard.ZstdCompressor(level=1)
             full = np.flatnonzero(buckets.reshape(-1, CHUNK).any(1)).tolist()
