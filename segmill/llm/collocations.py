@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,8 @@ def word_runs(texts: list[bytes], overlap: int) -> Iterator[tuple[list[bytes], i
 
     def run() -> tuple[list[bytes], int]:
         nonlocal held, parts, size
-        words = held + b" ".join(parts).replace(_END, b" \xff ").split(b" ")
-        new, words = len(held), [w for w in words if w]
+        # blanks are all the white space that is left
+        new, words = len(held), held + b" ".join(parts).replace(_END, b" \xff ").split()
         held, parts, size = words[len(words) - overlap :] if overlap else [], [], 0
         return words, new
 
@@ -55,6 +56,14 @@ def word_runs(texts: list[bytes], overlap: int) -> Iterator[tuple[list[bytes], i
         yield run()
 
 
+class _Numbers(dict):
+    """The number of each word; a new one gets the next."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class Words:
     """Numbers, hashes and spellings of the words a task meets. Number 0 ends a piece."""
 
@@ -62,16 +71,16 @@ class Words:
         self.forget()
 
     def forget(self) -> None:
-        self.at: dict[bytes, int] = {_END: 0}
+        self.at = _Numbers({_END: 0})
         self.spelled, self.hash, self.bytes = [_END], np.zeros(1, np.uint64), 0
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        if new := list(set(words).difference(self.at)):
-            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+        out = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        if new := list(islice(self.at, len(self.spelled), None)):
             self.spelled += new
             self.bytes += sum(map(len, new))
             self.hash = np.concatenate([self.hash, np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))])
-        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        return out
 
     def crowded(self) -> bool:
         return len(self.at) > HELD or self.bytes > 32 << 20
@@ -134,7 +143,7 @@ def _pass(docs: DataFrame, n: int, bits: int, least: int, bitmap, shorter, last:
                         if not last:
                             longer = np.flatnonzero(inside[n] & candidate[:-1] & candidate[1:])
                             longer = longer[longer + n >= old]
-                            number, times = np.unique(hashes[n][longer] >> np.uint64(64 - bits), return_counts=True)
+                            number, times = np.unique((hashes[n][longer] >> np.uint64(64 - bits)).astype(np.uint32), return_counts=True)
                             buckets[number] = np.minimum(buckets[number] + np.minimum(times, least), least)
                         places = np.flatnonzero(candidate)
                         places = places[places + n - 1 >= old]
