@@ -51,7 +51,7 @@ def template(rows: DataFrame, *keep: str) -> DataFrame:
     rows = rows.select(*keep, "bare", _once(F.zip_with("bare", before, named), "named"))
 
     def kind(b: Column) -> Column:
-        digit = b.rlike("^[0-9]")
+        digit = (b >= "0") & (b < ":")  # the first byte; cheaper than a pattern
         return (
             F.when(digit & b.rlike(r"^[0-9][0-9.,:/]*(?:st|nd|rd|th|%)?$"), F.lit("#number"))
             .when(digit & b.rlike(r"^[0-9][0-9.,]*\p{L}+[0-9]?$"), F.lit("#quantity"))
