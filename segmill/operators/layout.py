@@ -7,7 +7,11 @@ sorted by an explicit ordinal inside the call, so results don't depend on how Sp
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .ordering import running_totals
+from .tables import settled
 
 
 def _overlap(a, b) -> float:
@@ -127,20 +131,40 @@ def reading_order(blocks: DataFrame, page: str = "page") -> DataFrame:
     return blocks.groupBy(page).applyInPandas(one, blocks.schema.simpleString()[7:-1].replace(":", " ") + ", rank long")
 
 
-def budget_chunks(rows: DataFrame, keys: list[str], order: str = "ord", size: str = "chars", most_items: int = 250, most_size: int = 10_000) -> DataFrame:
+def budget_chunks(rows: DataFrame, keys: list[str], order: str = "ord", size: str = "chars", most_items: int = 250, most_size: int = 10_000, page: str | None = None) -> DataFrame:
     """rows with the number of their chunk: a new one when the items or the size would go over; an item that is too large stands alone.
 
-    Where a chunk begins depends on all before it, so keys have to name a unit that a task can hold: a document, a job.
+    With page, also chunk_page: the page of the item that opened the next chunk, for the last chunk of a key that of its last item.
+    Sizes are not negative; a null one counts as 0. A key may hold any share of the rows: where a chunk that opened at an item would end is
+    found among the most_items behind it, and which items do open chunks by doubling these links, in as many joins as the number of
+    chunks of a key has binary digits.
     """
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order)
-        chunk, n, total, out = 0, 0, 0, []
-        for s in part[size]:
-            if n and (n >= most_items or total + s > most_size):
-                chunk, n, total = chunk + 1, 0, 0
-            n, total = n + 1, total + s
-            out.append(chunk)
-        return part.assign(chunk=out)
-
-    return rows.groupBy(*keys).applyInPandas(one, rows.schema.simpleString()[7:-1].replace(":", " ") + ", chunk long")
+    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit("")
+    placed = running_totals(rows.withColumn("_size", F.coalesce(F.col(size).cast("long"), F.lit(0))), keys, order, {"_n": F.lit(1), "_s": F.col("_size")})
+    placed = settled(placed.withColumn("_key", key).withColumn("_e", F.col("_s") + F.col("_size")).drop("_size"), "placed")
+    # row n - 1 stands for a chunk that opens at n, row -1 for the first: its items are those up to most_size further on
+    ends = placed.select("_key", "_n", "_e", F.lit(True).alias("own"))
+    ends = ends.unionByName(placed.where("_n = 0").select("_key", F.lit(-1).cast("long").alias("_n"), F.lit(0).cast("long").alias("_e"), F.lit(True).alias("own")))
+    block = F.floor(F.col("_n") / most_items)
+    seen = ends.withColumn("block", block).unionByName(ends.select("_key", "_n", "_e", F.lit(False).alias("own"), (block - 1).alias("block")))
+    room = Window.partitionBy("_key", "block").orderBy("_e").rangeBetween(0, most_size)  # two blocks of most_items at most
+    last = seen.withColumn("last", F.max("_n").over(room)).where("own")
+    opens = F.col("_n") + 1
+    jump = last.select("_key", opens.alias("_n"), F.least(opens + most_items, F.greatest("last", opens) + 1).alias("to"))
+    top = placed.groupBy("_key").agg((F.max("_n") + 1).alias("rows"))
+    jump = settled(jump.join(top, "_key").where("_n < rows").select("_key", "_n", F.least("to", "rows").alias("to"), "rows"), "jumps")
+    starts = settled(placed.where("_n = 0").select("_key", "_n", F.lit(0).cast("long").alias("chunk")), "starts")
+    far, step = jump.where("to < rows").select("_key", "_n", "to"), 1
+    while True:
+        more = settled(starts.join(far, ["_key", "_n"]).select("_key", F.col("to").alias("_n"), (F.col("chunk") + step).alias("chunk")), "starts")
+        if more.isEmpty():
+            break
+        starts, step = settled(starts.unionByName(more), "starts"), 2 * step
+        far = settled(far.join(far.select("_key", F.col("_n").alias("to"), F.col("to").alias("farther")), ["_key", "to"]).select("_key", "_n", F.col("farther").alias("to")), "jumps")
+    spans = starts.join(jump, ["_key", "_n"])
+    if page:
+        mark = spans.select("_key", "chunk", "_n", "to", F.when(F.col("to") < F.col("rows"), F.col("to")).otherwise(F.col("to") - 1).alias("at"))
+        pages = placed.select("_key", F.col("_n").alias("at"), F.col(page).alias("chunk_page"))
+        spans = mark.join(pages, ["_key", "at"]).drop("at")
+    items = spans.withColumn("_n", F.explode(F.sequence("_n", F.col("to") - 1))).drop("to", "rows")
+    return placed.join(items, ["_key", "_n"]).select(*rows.columns, "chunk", *(["chunk_page"] if page else []))

@@ -7,62 +7,139 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from ..functions.terms import standing
 from ..functions.text import mask_pii
+from .glossary import with_terms
+from .ordering import running_totals
 
 #: What is protected, in the order of numbering. A group named x is what the token replaces; without one, the whole match.
 MARKDOWN_RULES = [
-    ("IMAGEPATH", r"!\[[^\]]*\]\((?P<x>[^)]+)\)"),
-    ("LINKURL", r"(?<!!)\[[^\]]*\]\((?P<x>[^)]+)\)"),
-    ("REF", r"\[[^\]]+\]\[(?P<x>[^\]]*)\]"),
+    ("IMAGEPATH", r"!\[([^\]]*)\]\((?P<x>[^)]+)\)"),
+    ("LINKURL", r"(?<!!)\[([^\]]+)\]\((?P<x>[^)]+)\)"),
+    ("REF", r"(?<!!)\[([^\]]+)\]\[(?P<x>[^\]]*)\]"),
     ("AUTOLINK", r"<https?://[^>]+>"),
-    ("URL", r"https?://[^\s)>\]]+"),
-    ("CODE", r"`[^`]+`"),
-    ("MATH", r"\$\$.+?\$\$|\$[^$\n]+\$"),
-    ("TEMPLATE", r"\{\{.*?\}\}|\{%.*?%\}"),
+    ("URL", r"(?<!\()\bhttps?://[^\s)\]}>\"]+"),
+    ("CODE", r"`[^`\n]+`"),
+    ("MATH", r"\$[^$\n]+\$"),
+    ("TEMPLATE", r"({[{%#].*?[}%]})"),
     ("TEMPLATE", r"<%.*?%>"),
-    ("VARIABLE", r"\$\{[^}]+\}|\{[A-Za-z_][A-Za-z0-9_]*\}"),
+    ("VARIABLE", r"\$\{[^}\n]+\}"),
     ("HTML_COMMENT", r"<!--.*?-->"),
-    ("HTML_TAG", r"</?[A-Za-z][^>]*>"),
+    ("HTML_TAG", r"</?[^>\n]+?>"),
 ]
 BOOK_RULES = [("URL", r"\bhttps?://[^\s<>\"']+"), ("EMAIL", r"\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+\b"), ("VARIABLE", r"\{\{[^{}]+\}\}|\{[A-Za-z_][\w.]*\}|\$\{[^}]+\}|<%[^%]+%>")]
-TOKENS = "array<struct<id:string,value:string,kind:string>>"
+TOKEN = StructType([StructField(c, StringType()) for c in ("id", "value", "kind")])
+MASKED = StructType([StructField("masked", StringType()), StructField("tokens", ArrayType(TOKEN))])
 
 
-def mask_one(text: str, rules: list[tuple[str, str]], terms: list[str], prefix: str, start: int = 0) -> tuple[str, list[tuple[str, str, str]]]:
-    tokens: list[tuple[str, str, str]] = []
+class Masked:
+    """A text under masking: what is left of it, and its tokens, numbered from start + 1."""
 
-    def token(kind: str, value: str) -> str:
-        tokens.append((f"__{prefix}_{kind}_{start + len(tokens) + 1:04d}__", value, kind.lower()))
-        return tokens[-1][0]
+    def __init__(self, text: str | None, prefix: str, start: int = 0, tokens: list[dict] | None = None):
+        self.text, self.prefix, self.start, self.tokens = text or "", prefix, start, list(tokens or [])
 
-    def put(kind: str, m: re.Match) -> str:
-        if "x" not in m.re.groupindex:
-            return token(kind, m[0])
-        a, b = m.start("x") - m.start(), m.end("x") - m.start()
-        return m[0][:a] + token(kind, m["x"]) + m[0][b:]
+    def hide(self, kind: str, pattern: str | re.Pattern) -> None:
+        def put(m: re.Match) -> str:
+            value = m["x"] if "x" in m.re.groupindex else m[0]
+            name = f"__{self.prefix}_{kind}_{self.start + len(self.tokens) + 1:04d}__"
+            self.tokens.append({"id": name, "value": value, "kind": kind.lower()})
+            at = (m.start("x") if "x" in m.re.groupindex else m.start()) - m.start()
+            return m[0][:at] + name + m[0][at + len(value) :]
 
-    every = rules + [("TERM", rf"(?<!\w){re.escape(t)}(?!\w)") for t in sorted((t for t in terms if t), key=len, reverse=True)]
-    for kind, pattern in every:
-        text = re.sub(pattern, lambda m, kind=kind: put(kind, m), text)
-    return text, tokens
+        self.text = re.sub(pattern, put, self.text)
 
+    def hide_terms(self, terms: list[str]) -> None:
+        """The longest first; of equal length in the order given."""
+        for term in sorted((t for t in terms if t), key=len, reverse=True):
+            self.hide("TERM", standing(term))
 
-def mask_tokens(segments: DataFrame, terms: list[str] | None = None, rules: list[tuple[str, str]] | None = None, doc: str = "doc_id", order: str = "ord", text: str = "text", prefix: str = "DOCSTR") -> DataFrame:
-    """segments with masked and tokens; tokens are numbered along the document, so a document's segments are one group."""
-    rules, terms = MARKDOWN_RULES if rules is None else rules, terms or []
+    def row(self) -> dict:
+        return {"masked": self.text, "tokens": self.tokens}
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        masked, tokens, n = [], [], 0
-        for t in rows[text]:
-            m, found = mask_one(t or "", rules, terms, prefix, n)
-            n += len(found)
-            masked.append(m)
-            tokens.append([{"id": a, "value": b, "kind": c} for a, b, c in found])
-        return rows.assign(masked=masked, tokens=tokens)
 
-    return segments.groupBy(doc).applyInPandas(one, segments.schema.simpleString()[7:-1].replace(":", " ") + f", masked string, tokens {TOKENS}")
+def _rows(found) -> pd.DataFrame:
+    rows = [m.row() for m in found]
+    return pd.DataFrame({c: [r[c] for r in rows] for c in ("masked", "tokens")})
+
+
+def by_rules(rules: list[tuple[str, str]], prefix: str):
+    """A function of a text column: (masked, tokens) by the rules, numbered from 1."""
+
+    @F.pandas_udf(MASKED)
+    def of(texts: pd.Series) -> pd.DataFrame:
+        def one(text):
+            m = Masked(text, prefix)
+            for kind, pattern in rules:
+                m.hide(kind, pattern)
+            return m
+
+        return _rows(map(one, texts))
+
+    return of
+
+
+def by_terms(prefix: str):
+    """A function of masked, tokens and the terms a text holds: (masked, tokens) with the terms hidden too."""
+
+    @F.pandas_udf(MASKED)
+    def of(texts: pd.Series, tokens: pd.Series, terms: pd.Series) -> pd.DataFrame:
+        def one(text, known, held):
+            m = Masked(text, prefix, 0, [dict(t) for t in known])
+            m.hide_terms(list(held))
+            return m
+
+        return _rows(map(one, texts, tokens, terms))
+
+    return of
+
+
+def renumbered(rules: list[tuple[str, str]], prefix: str):
+    """A function of text, masked, tokens, terms and a number: the tokens' numbers raised by it, wherever they stand."""
+    mark = re.compile(rf"(__{re.escape(prefix)}_[A-Z_]+_)(\d{{4,}})(?=__)")
+
+    @F.pandas_udf(MASKED)
+    def of(texts: pd.Series, masked: pd.Series, tokens: pd.Series, terms: pd.Series, starts: pd.Series) -> pd.DataFrame:
+        def one(text, done, known, held, start):
+            m = Masked(done, prefix, 0, [dict(t) for t in known])
+            if not start or not m.tokens:
+                return m
+            if f"__{prefix}_" in text:
+                # the text has what looks like tokens of its own: they keep their numbers, so it is masked again from the start
+                m = Masked(text, prefix, start)
+                for kind, pattern in rules:
+                    m.hide(kind, pattern)
+                m.hide_terms(list(held))
+                return m
+            raised = lambda x: mark.sub(lambda k: f"{k[1]}{int(k[2]) + start:04d}", x)
+            m.text = raised(m.text)
+            m.tokens = [{"id": raised(t["id"]), "value": raised(t["value"]), "kind": t["kind"]} for t in m.tokens]
+            return m
+
+        return _rows(map(one, texts, masked, tokens, terms, starts))
+
+    return of
+
+
+def mask_tokens(segments: DataFrame, terms: DataFrame | list[str] | None = None, rules: list[tuple[str, str]] | None = None, doc: str = "doc_id", order: str = "ord", text: str = "text", prefix: str = "DOCSTR") -> DataFrame:
+    """segments with masked and tokens, numbered along each document by `order`. Null texts count as empty.
+
+    Each segment is masked by itself; sums of the counts of tokens before it then raise its numbers, so a document may have any
+    number of segments, and no task holds one whole. terms: a list, or a table with a column term, which counts as sorted; which of
+    them a segment holds is found by an automaton, so their number doesn't matter to a segment.
+    """
+    rules = MARKDOWN_RULES if rules is None else rules
+    columns = segments.columns
+    rows = segments.withColumn("_t", F.coalesce(F.col(text), F.lit(""))).withColumn("_m", by_rules(rules, prefix)("_t")).withColumn("_masked", F.col("_m.masked"))
+    if terms is None or isinstance(terms, list) and not any(terms):
+        rows = rows.withColumn("_terms", F.array().cast("array<string>"))
+    else:
+        rows = with_terms(rows, terms, "_masked", "_terms")
+        rows = rows.withColumn("_m", by_terms(prefix)("_masked", "_m.tokens", "_terms"))
+    rows = running_totals(rows.drop("_masked"), [doc], order, {"_before": F.size("_m.tokens")})
+    rows = rows.withColumn("_m", renumbered(rules, prefix)("_t", "_m.masked", "_m.tokens", "_terms", "_before"))
+    return rows.select(*columns, F.col("_m.masked").alias("masked"), F.col("_m.tokens").alias("tokens"))
 
 
 def restored(masked: Column, tokens: Column) -> Column:

@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WS
+from .tables import settled
 
-
-HEADING, FENCE, ADMONITION = r"^(#{1,6})\s+(.+?)\s*#*\s*$", r"^\s*(```|~~~)", r'^\s*>?\s*(!!!|\?\?\?\+?)\s+\w+\s+"?(.*?)"?\s*$'
-QUOTE, ITEM = r"^(\s*>\s?)(.*)$", r"^(\s*(?:[-*+]|\d+[.)])\s+(?:\[[ xX]\]\s+)?)(.*)$"
-REFERENCE, SEPARATOR = r"^\s{0,3}\[[^\]]+\]:\s+", r"^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)*\|?\s*$"
+#: What a Markdown line is. (?U) and (?d): white space, letters and digits of all scripts; only \n ends a line.
+HEADING = r"(?Ud)^(\s{0,3}#{1,6}\s+)(.*?)(\s+#+\s*)?$"
+LIST = r"(?Ud)^(\s*(?:(?:[-+*])|(?:\d+[.)]))\s+(?:\[[ xX]\]\s+)?)(.+?)\s*$"
+BLOCKQUOTE = r"(?Ud)^(\s*>\s?)(.+?)\s*$"
+ADMONITION = r"(?Ud)^(\s*>?\s*!!!\s+\w+\s*)(.*)$"
+FENCE = r"^\s*(```|~~~)"
+REFERENCE, SEPARATOR = r"^\s{0,3}\[[^\]]+\]:\s+", r"^\s*\|*\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)*\|*\s*$"
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -48,22 +52,24 @@ def skip_line(line: Column) -> Column:
 
 
 def markdown_segments(lines: DataFrame, doc: str = "doc_id", order: str = "line_index", line: str = "line") -> DataFrame:
-    """(doc, line_index, kind, cell_index, text, level, current_heading, id): one row a segment, numbered along the document."""
+    """(doc, line_index, kind, cell_index, text, level, current_heading, id): one row a segment, numbered along the document.
+
+    A heading's closing marks belong to it only behind white space; a heading without a text gives nothing.
+    """
     text = regions(lines, doc, order, line)
-    col = F.col(line)
-    part = lambda p, k: F.btrim(F.regexp_extract(col, p, k))
+    col, none = F.col(line), F.lit(None).cast("int")
+    part = lambda p, k: stripped(F.regexp_extract(col, p, k))
     text = text.withColumn("_heading", F.when(F.col("region") == "text", part(HEADING, 2)).otherwise(""))
     text = with_heading(text, doc, order, "_heading").where((F.col("region") == "text") & ~skip_line(col))
-    level = F.length(F.regexp_extract(col, HEADING, 1))
-    cells = F.transform(F.split(col, r"\|"), lambda c, i: F.struct(F.lit("table_cell").alias("kind"), i.alias("cell_index"), F.btrim(c).alias("text"), F.lit(None).cast("int").alias("level")))
-    one = lambda kind, value, lv=None: F.array(F.struct(F.lit(kind).alias("kind"), F.lit(None).cast("int").alias("cell_index"), value.alias("text"), (F.lit(None).cast("int") if lv is None else lv).alias("level")))
+    cells = F.transform(F.split(col, r"\|"), lambda c, i: F.struct(F.lit("table_cell").alias("kind"), i.alias("cell_index"), stripped(c).alias("text"), none.alias("level")))
+    one = lambda kind, value, level=none: F.array(F.struct(F.lit(kind).alias("kind"), none.alias("cell_index"), value.alias("text"), level.alias("level")))
     found = (
-        F.when(col.rlike(HEADING), one("heading", part(HEADING, 2), level))
+        F.when(col.rlike(HEADING), one("heading", part(HEADING, 2), F.length(F.regexp_replace(F.regexp_extract(col, HEADING, 1), "[^#]", ""))))
         .when(part(ADMONITION, 2) != "", one("admonition_title", F.btrim(part(ADMONITION, 2), F.lit('"'))))
         .when(F.contains(col, F.lit("|")), F.filter(cells, lambda c: (c["text"] != "") & ~c["text"].rlike("^:?-{3,}:?$")))
-        .when(col.rlike(QUOTE), one("blockquote", part(QUOTE, 2)))
-        .when(col.rlike(ITEM), one("list_item", part(ITEM, 2)))
-        .otherwise(one("paragraph", F.btrim(col)))
+        .when(col.rlike(BLOCKQUOTE), one("blockquote", part(BLOCKQUOTE, 2)))
+        .when(col.rlike(LIST), one("list_item", part(LIST, 2)))
+        .otherwise(one("paragraph", stripped(col)))
     )
     out = text.select(doc, order, "current_heading", F.explode(found).alias("s")).select(doc, order, "current_heading", "s.*").where("text <> ''")
     w = Window.partitionBy(doc).orderBy(order, "cell_index")
@@ -79,26 +85,54 @@ def merged_runs(runs: DataFrame, keys: list[str], start: str = "left", end: str
     return marked.groupBy(*keys, "group").agg(F.min(start).alias("left"), F.max(end).alias("right"), F.count("*").alias("runs"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(start, order, "text"))), lambda r: r["text"]), " ").alias("text"))
 
 
-def numbered(rows: DataFrame, keys: list[str], order: str, name: str = "n", parts: int = 256) -> DataFrame:
-    """rows with their place (from 0) by a numeric column within equal keys (nulls are equal, and first in the order).
+def _ranges(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """rows, written in the order of keys and `order`: _part is the range of a row, and _at its place in it.
+
+    Ranges hold equal numbers of rows, whatever the values are and however many rows a key has. Rows equal in key and order are
+    put in the order of a hash of all their columns.
+    """
+    by = [*keys, order, "_tie"]
+    tied = rows.withColumn("_tie", F.xxhash64(*rows.columns))
+    laid = tied.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    laid = settled(laid.drop("_tie"), "ranges")
+    # the id is the partition's number and, in its lower 33 bits, the row's place
+    return laid.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+
+
+def running_totals(rows: DataFrame, keys: list[str], order: str, values: dict[str, Column]) -> DataFrame:
+    """rows with the sums of values over the rows before each, in the order of a column within equal keys (nulls are equal, and first in the order).
 
-    A key's values are cut into equal ranges, which are numbered side by side and offset by the counts of the ranges before,
-    so that a key that holds most rows isn't sorted by one task. Equal values stay in one range, in no settled order.
+    Sums run inside ranges of equal numbers of rows; those of whole ranges are added from the ranges before. A key of any share of
+    the rows is cut into as many ranges as it fills.
     """
-    value, types = F.col(order).cast("double"), [f"_k{i}" for i in range(len(keys))]
-    ends = rows.groupBy(*(F.col(k).alias(t) for k, t in zip(keys, types, strict=True))).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    on = [F.col(k).eqNullSafe(F.col(t)) for k, t in zip(keys, types, strict=True)]
-    part = F.coalesce(F.floor((value - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * parts), F.lit(-1))
-    parted = rows.join(ends, on).withColumn("_part", F.when(value.isNull(), -1).when(F.col("_hi") <= F.col("_lo"), 0).otherwise(part)).drop("_lo", "_hi", *types)
-    counts = parted.groupBy(*(F.col(k).alias(t) for k, t in zip(keys, types, strict=True)), F.col("_part").alias("_p")).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*types).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # parts + 2 rows a key at most
-    bases = counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(order))
-    return parted.withColumn("_at", inside).join(bases, [*on, F.col("_part") == F.col("_p")]).withColumn(name, F.col("_base") + F.col("_at") - 1).drop("_part", "_p", "_base", "_at", *types)
+    held = {name: f"_v{i}" for i, name in enumerate(values)}
+    laid = _ranges(rows.withColumns({held[n]: v.cast("long") for n, v in values.items()}), keys, order)
+    types = [f"_k{i}" for i in range(len(keys))]
+    past = (Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_part", *keys).orderBy("_at").rowsBetween(*past)
+    before = Window.partitionBy(*types).orderBy("_part").rowsBetween(*past)  # a row a range
+    none = lambda c: F.coalesce(c, F.lit(0))
+    sums = laid.groupBy("_part", *(F.col(k).alias(t) for k, t in zip(keys, types, strict=True))).agg(*(F.sum(v).alias(v) for v in held.values()))
+    bases = sums.select(F.col("_part").alias("_p"), *types, *(none(F.sum(v).over(before)).alias(f"_b{v}") for v in held.values()))
+    on = [F.col("_part") == F.col("_p"), *(F.col(k).eqNullSafe(F.col(t)) for k, t in zip(keys, types, strict=True))]
+    out = laid.withColumns({f"_i{v}": none(F.sum(v).over(inside)) for v in held.values()}).join(bases, on)
+    return out.select(*rows.columns, *((F.col(f"_b{v}") + F.col(f"_i{v}")).alias(n) for n, v in held.items()))
+
+
+def numbered(rows: DataFrame, keys: list[str], order: str, name: str = "n") -> DataFrame:
+    """rows with their place (from 0) by a column within equal keys (nulls are equal, and first in the order). No window over rows:
+    a row's place in its range, less that of its key's first row there, is offset by the key's rows in the ranges before."""
+    laid = _ranges(rows, keys, order)
+    types = [f"_k{i}" for i in range(len(keys))]
+    counts = laid.groupBy("_part", *(F.col(k).alias(t) for k, t in zip(keys, types, strict=True))).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(*types).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    bases = counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).withColumnRenamed("_part", "_p")
+    on = [F.col("_part") == F.col("_p"), *(F.col(k).eqNullSafe(F.col(t)) for k, t in zip(keys, types, strict=True))]
+    return laid.join(bases, on).withColumn(name, F.col("_base") + F.col("_at")).select(*rows.columns, name)
 
 
 def fixed_batches(rows: DataFrame, keys: list[str], order: str, size: int) -> DataFrame:
-    """rows with the number of their batch of `size` rows in the order of a numeric column within equal keys."""
+    """rows with the number of their batch of `size` rows in the order of a column within equal keys."""
     return numbered(rows, keys, order, "batch").withColumn("batch", F.floor(F.col("batch") / size))
 
 

@@ -42,17 +42,17 @@ def reading_order(spark, sf_dir):
     return L.reading_order(runs(spark, sf_dir).withColumn("reading_order", F.when(F.col("ord") % 3 == 0, (F.col("ord") % 7).cast("double"))))
 
 
-@query("""WITH RECURSIVE l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS ord, length(unnest(string_split(text, chr(10)))) AS chars FROM documents),
-g AS (SELECT doc_id, ord, chars, 0 AS chunk, 1 AS n, chars AS total FROM l WHERE ord = 0
- UNION ALL SELECT l.doc_id, l.ord, l.chars, g.chunk + CAST(g.n >= 12 OR g.total + l.chars > 1000 AS INTEGER),
-  CASE WHEN g.n >= 12 OR g.total + l.chars > 1000 THEN 1 ELSE g.n + 1 END, CASE WHEN g.n >= 12 OR g.total + l.chars > 1000 THEN l.chars ELSE g.total + l.chars END
-  FROM g JOIN l ON l.doc_id = g.doc_id AND l.ord = g.ord + 1)
-SELECT doc_id, CAST(ord AS BIGINT) AS ord, CAST(chars AS BIGINT) AS chars, CAST(chunk AS BIGINT) AS chunk FROM g""")
+@query("""WITH RECURSIVE d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'third' ELSE source END AS job, string_split(text, chr(10)) AS t FROM documents), u AS (SELECT doc_id, job, unnest(range(len(t))) AS ord, length(unnest(t)) AS chars FROM d),
+l AS (SELECT *, row_number() OVER w - 1 AS n, sum(chars) OVER (PARTITION BY job ORDER BY doc_id, ord ROWS UNBOUNDED PRECEDING) AS e FROM u WINDOW w AS (PARTITION BY job ORDER BY doc_id, ord)),
+x AS (SELECT i.job, i.n, min(j.n) AS "to" FROM l i LEFT JOIN l j ON i.job = j.job AND j.n BETWEEN i.n + 1 AND i.n + 12 AND (j.n - i.n >= 12 OR j.e - (i.e - i.chars) > 1000) GROUP BY i.job, i.n),
+g AS (SELECT job, 0::BIGINT AS n, 0 AS chunk FROM l WHERE n = 0 UNION ALL SELECT g.job, x."to", chunk + 1 FROM g JOIN x USING (job, n) WHERE x."to" IS NOT NULL),
+s AS (SELECT g.job, g.n, chunk, coalesce(x."to", (SELECT max(n) + 1 FROM l WHERE l.job = g.job)) AS "to", coalesce((SELECT doc_id FROM l WHERE l.job = g.job AND l.n = x."to"), (SELECT max(doc_id) FROM l WHERE l.job = g.job)) AS page FROM g JOIN x USING (job, n))
+SELECT l.job, doc_id, CAST(ord AS BIGINT) AS ord, CAST(chars AS BIGINT) AS chars, CAST(chunk AS BIGINT) AS chunk, page AS chunk_page FROM l JOIN s ON l.job = s.job AND l.n >= s.n AND l.n < s."to" """)
 def budget_chunks(spark, sf_dir):
-    """The lines of each document, a document being what a job sends."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
-    lines = d.select("doc_id", F.col("ord").cast("long").alias("ord"), F.length("line").cast("long").alias("chars"))
-    return L.budget_chunks(lines, ["doc_id"], most_items=12, most_size=1000)
+    """The lines of jobs: a third of all documents in one, the others by source; a document is a page."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "third").otherwise(F.col("source")).alias("job"), F.posexplode(F.split("text", "\n")).alias("ord", "line"))
+    lines = d.select("job", "doc_id", F.col("ord").cast("long").alias("ord"), F.length("line").cast("long").alias("chars"), F.struct("doc_id", "ord").alias("at"))
+    return L.budget_chunks(lines, ["job"], "at", most_items=12, most_size=1000, page="doc_id").drop("at")
 
 
 MARKS = " See [the page](https://example.org/a) and `code` or ${name} in {{x}} <b>now</b>."

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as T
+from ..operators import glossary as A
 from ..operators import memory as M
 from ..operators import validate as V
 from ..operators.ordering import numbered
@@ -125,12 +126,14 @@ def keyed_diff(spark, sf_dir):
 TERMS = ["the", "with", "ung", "ción", "eaux"]
 
 
-@query("WITH terms AS (SELECT unnest(['the', 'with', 'ung', 'ción', 'eaux']) AS term) SELECT doc_id AS id, term FROM documents JOIN terms ON contains(text, term) WHERE NOT contains(lang || ' ' || reverse(text), term)")
+@query("""WITH terms AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS term FROM part UNION SELECT unnest(['the', 'with', 'ung', 'ción', 'eaux']) UNION SELECT DISTINCT source FROM documents)
+SELECT doc_id AS id, term FROM documents JOIN terms ON contains(text, term) WHERE NOT contains(lang || ' ' || reverse(text), term)""")
 def term_violations(spark, sf_dir):
-    """Terms that a source has and its result lacks; the glossary is a list of fixed size, so the nested loop is over it alone."""
-    terms = F.broadcast(spark.createDataFrame([(t,) for t in TERMS], "term string"))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "text")
-    return d.join(terms, F.contains("text", "term")).where(~F.contains(F.concat_ws(" ", "lang", F.reverse("text")), "term")).select("id", "term")
+    """Terms that a source has and its result lacks. The glossary: words of part names, sources and some endings."""
+    names = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("term"))
+    terms = names.unionByName(spark.createDataFrame([(t,) for t in TERMS], "term string")).unionByName(table(spark, sf_dir, "documents").select(F.col("source").alias("term")))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.concat_ws(" ", "lang", F.reverse("text")).alias("result"))
+    return A.violations(d, terms, "text", "result").select("id", "term")
 
 
 TABLES_SQL = 'tables AS (SELECT page, ord, "left" - 60 AS tl, top - 60 AS tt, "right" + 60 AS tr, bottom + 90 AS tb FROM runs WHERE ord % 10 = 3)'

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ordering as O
 from .catalog import query, table
-from .text_queries import RUNS_SQL, runs
+from .text_queries import RUNS_SQL, runs, strip
 
 LINKS_SQL = "links AS (SELECT page_id AS ord, regexp_extract(url, '^https?://[^/]+/([a-z]+)', 1) AS category, regexp_replace(url, '/[0-9]+.*$', '') AS url FROM pages)"
 
@@ -56,9 +56,32 @@ def fence_state(spark, sf_dir):
     return O.regions(lines(spark, sf_dir), "doc_id", "line_index", "line").select("doc_id", "line_index", "region")
 
 
-@query(None)
+def _plain(pattern: str) -> str:
+    """A pattern without the flags that only Java needs."""
+    return pattern.removeprefix("(?Ud)")
+
+
+MARKED_SQL = """marked AS (SELECT doc_id, line_index, CASE WHEN NOT starts_with(line, '## Part') THEN line WHEN line_index % 5 = 0 THEN '   ' || line || ' ##' WHEN line_index % 5 = 1 THEN '# C#' WHEN line_index % 5 = 2 THEN '#' || line || '#'
+ WHEN line_index % 5 = 3 THEN '!!! note "' || line || '"' ELSE line END AS line FROM lines)"""
+MARKDOWN_SQL = f"""WITH {LINES_SQL}, {MARKED_SQL}, a AS (SELECT *, first_value(trim(line) = '---') OVER w AS fm, coalesce(sum(CASE WHEN trim(line) = '---' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rules FROM marked WINDOW w AS (PARTITION BY doc_id ORDER BY line_index)),
+b AS (SELECT *, fm AND rules < 2 AS front, NOT (fm AND rules < 2) AND regexp_matches(line, '{O.FENCE}') AS mark FROM a), c AS (SELECT *, sum(CASE WHEN mark THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_index) AS marks FROM b),
+h AS (SELECT doc_id, line_index, line, NOT front AND NOT mark AND marks % 2 = 0 AS plain, {strip(f"regexp_extract(line, '{_plain(O.HEADING)}', 2)")} AS heading FROM c),
+r AS (SELECT *, last_value(nullif(CASE WHEN plain THEN heading ELSE '' END, '') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS current_heading FROM h),
+t AS (SELECT *, {strip("line")} AS s, {strip(f"regexp_extract(line, '{_plain(O.ADMONITION)}', 2)")} AS title FROM r WHERE plain),
+k AS (SELECT *, CASE WHEN regexp_matches(line, '{_plain(O.HEADING)}') THEN 'heading' WHEN title <> '' THEN 'admonition_title' WHEN contains(line, '|') THEN 'table_cell' WHEN regexp_matches(line, '{_plain(O.BLOCKQUOTE)}') THEN 'blockquote' WHEN regexp_matches(line, '{_plain(O.LIST)}') THEN 'list_item' ELSE 'paragraph' END AS kind
+ FROM t WHERE NOT (s = '' OR (contains(s, '|') AND regexp_matches(line, '{O.SEPARATOR}')) OR regexp_matches(line, '{O.REFERENCE}') OR starts_with(s, '<!--') OR starts_with(s, '[//]:') OR starts_with(s, '{{:'))),
+o AS (SELECT doc_id, line_index, current_heading, kind, NULL::INT AS cell_index, CASE kind WHEN 'heading' THEN heading WHEN 'admonition_title' THEN trim(title, '"') WHEN 'blockquote' THEN {strip(f"regexp_extract(line, '{_plain(O.BLOCKQUOTE)}', 2)")} WHEN 'list_item' THEN {strip(f"regexp_extract(line, '{_plain(O.LIST)}', 2)")} ELSE s END AS text,
+  CASE kind WHEN 'heading' THEN length(regexp_replace(regexp_extract(line, '{_plain(O.HEADING)}', 1), '[^#]', '', 'g'))::INT END AS level FROM k WHERE kind <> 'table_cell'
+ UNION ALL SELECT doc_id, line_index, current_heading, kind, cell_index, {strip("cell")} AS text, NULL AS level FROM (SELECT *, unnest(string_split(line, '|')) AS cell, unnest(range(len(string_split(line, '|'))))::INT AS cell_index FROM k WHERE kind = 'table_cell') WHERE NOT regexp_matches({strip("cell")}, '^:?-{{3,}}:?$'))
+SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY line_index, cell_index))::INT AS id FROM o WHERE text <> ''"""
+
+
+@query(MARKDOWN_SQL)
 def markdown_segments(spark, sf_dir):
-    return O.markdown_segments(lines(spark, sf_dir))
+    """Headings with closing marks, indented ones and ones that end in a mark among the lines."""
+    i, line = F.col("line_index") % 5, F.col("line")
+    marked = F.when(~line.startswith("## Part"), line).when(i == 0, F.concat(F.lit("   "), "line", F.lit(" ##"))).when(i == 1, "# C#").when(i == 2, F.concat(F.lit("#"), "line", F.lit("#"))).when(i == 3, F.concat(F.lit('!!! note "'), "line", F.lit('"'))).otherwise(line)
+    return O.markdown_segments(lines(spark, sf_dir).withColumn("line", marked))
 
 
 @query(f"WITH {RUNS_SQL} SELECT page, ord, printf('p%04d-s%05d', page, row_number() OVER (PARTITION BY page ORDER BY top, \"left\", ord)) AS id FROM runs")

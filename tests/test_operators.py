@@ -2,16 +2,17 @@
 
 import io
 import json
+import random
+import re
 import zipfile
 
 import pandas as pd
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from segmill.functions import batches as B
 from segmill.functions import text as T
+from segmill.operators import glossary as glossary_rows
 from segmill.operators import layout, links, masking, memory, ordering, provider, text_state
 from segmill.sources import files, glossary
 from segmill.streaming import events
@@ -38,18 +39,35 @@ def test_layout(spark):
     assert ranks[0] == 2 and ranks[1:] == [0, 3, 1]
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.integers(1, 60), max_size=40), st.integers(1, 6), st.integers(10, 100))
-def test_chunks_keep_the_budget(sizes, items, budget):
-    out, n, total, chunk = [], 0, 0, 0
-    for s in sizes:
-        if n and (n >= items or total + s > budget):
-            chunk, n, total = chunk + 1, 0, 0
-        n, total = n + 1, total + s
-        out.append(chunk)
-    for c in set(out):
-        own = [s for s, k in zip(sizes, out) if k == c]
-        assert len(own) <= items and (sum(own) <= budget or len(own) == 1)
+def chunked(rows, items, budget):
+    """Rows (page, size) in order -> (chunk, page of the chunk), item by item."""
+    chunks, now, total = [], [], 0
+    for k, (page, size) in enumerate(rows):
+        if now and (len(now) >= items or total + size > budget):
+            chunks.append((now, page))
+            now, total = [], 0
+        now, total = [*now, k], total + size
+    if now:
+        chunks.append((now, rows[now[-1]][0]))
+    return {k: (i, page) for i, (own, page) in enumerate(chunks) for k in own}
+
+
+def test_chunks_keep_the_budget(spark):
+    """Jobs of many shapes at once: empty items, items over the budget, one job with most rows, null names."""
+    rng = random.Random(8)
+    jobs = {None: [0] * 40, "one": [500], "large": [rng.choice([0, 1, 5, 30, 99, 100, 101, 250]) for _ in range(3000)], "zero": [0, 200, 0, 0, 200, 200, 0], "few": [5, 5, 20, 1, 1, 1, 9]}
+    jobs |= {f"j{i}": [rng.randint(0, 60) for _ in range(rng.randint(1, 40))] for i in range(20)}
+    rows = [(job, k, None if job == "few" and s == 20 else s, k // 7) for job, sizes in jobs.items() for k, s in enumerate(sizes)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "job string, ord long, chars long, page long").withColumns({"_n": F.lit(9), "chunk_of": F.lit(1)}).drop("_n")
+    for items, budget in ((3, 10), (7, 100), (1, 1000), (250, 100)):
+        got = {(r["job"], r["ord"]): (r["chunk"], r["chunk_page"]) for r in layout.budget_chunks(df, ["job"], most_items=items, most_size=budget, page="page").collect()}
+        want = {}
+        for job in jobs:
+            own = sorted((r[1], r[3], r[2] or 0) for r in rows if r[0] == job)
+            want |= {(job, own[k][0]): c for k, c in chunked([(p, s) for _, p, s in own], items, budget).items()}
+        assert got == want
+    assert layout.budget_chunks(df.limit(0), ["job"]).count() == 0
 
 
 def test_chunks(spark):
@@ -70,6 +88,91 @@ def test_masking_numbers_along_the_document(spark):
     assert all(r["text"] == r["back"] for r in out.withColumn("back", masking.restored(F.col("masked"), F.col("tokens"))).collect())
 
 
+GOLDENS = {
+    "![a](b.png)": [("imagepath", "b.png")], "[t](u)": [("linkurl", "u")], "[](u)": [], "![x][r]": [], "[x][r]": [("ref", "r")], "[x][]": [("ref", "")],
+    "<http://a.b/c>": [("autolink", "<http://a.b/c>")], "(http://in.par)": [], "see http://a.b/c]d": [("url", "http://a.b/c")], "xhttp://no.edge": [],
+    "`a` `b\nc`": [("code", "`a`")], "$x$ $a\nb$": [("math", "$x$")], "$$ab$$": [("math", "$ab$")], "{{a}} {% b %} {# c #}": [("template", "{{a}}"), ("template", "{% b %}")], "{# c }} d": [("template", "{# c }}")],
+    "<% a %>": [("template", "<% a %>")], "${v} {name}": [("variable", "${v}")], "<!-- c --> <b> <i\n>": [("html_comment", "<!-- c -->"), ("html_tag", "<b>")],
+    "Azure AzureAD Azure AD x": [("term", "Azure AD"), ("term", "Azure")],
+}
+
+
+def test_protected_pieces(spark):
+    """What each rule takes, and what it leaves."""
+    rows = spark.createDataFrame([(i, 0, t) for i, t in enumerate(GOLDENS)], "doc_id long, ord long, text string")
+    got = {r["text"]: [(t["kind"], t["value"]) for t in r["tokens"]] for r in masking.mask_tokens(rows, ["Azure", "Azure AD", ""]).collect()}
+    assert got == GOLDENS
+
+
+def serial(texts, rules, terms):
+    """Segments of one document masked one after the other, tokens numbered as they come; each term a pattern of its own."""
+    n, out = 0, []
+    for text in texts:
+        tokens = []
+
+        def put(kind, m):
+            nonlocal n
+            n += 1
+            value = m["x"] if "x" in m.re.groupindex else m[0]
+            name = f"__DOCSTR_{kind}_{n:04d}__"
+            tokens.append((name, value, kind.lower()))
+            return m[0].replace(value, name) if value == m[0] else m[0][: m.start("x") - m.start()] + name + m[0][m.end("x") - m.start() :]
+
+        text = text or ""
+        for kind, pattern in [*rules, *(("TERM", rf"(?<!\w){re.escape(t)}(?!\w)") for t in sorted(terms, key=len, reverse=True))]:
+            text = re.sub(pattern, lambda m, kind=kind: put(kind, m), text)
+        out.append((text, tokens))
+    return out
+
+
+def test_masking_equals_the_serial_rule(spark):
+    """Numbers run along documents of any length, also past 9,999, through texts that hold tokens already, for lists and tables of terms."""
+    rng = random.Random(3)
+    parts = ["word", "`c`", "[a](b)", "$x$", "http://u.v/w", "a.b", "+b+", "c+", "Term", "long term", "__DOCSTR_CODE_0001__", "é", "(", "\n", "![i](`p`)", "${v}", " ", ", "]
+    terms = ["a.b", "+b+", "c+", "Term", "long term", "long", "wor", "é", "term"]
+    docs = {d: ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(0, 12))) or None for _ in range(60)] for d in range(6)}
+    docs[6] = ["`c` " * 90] * 130
+    rows = spark.createDataFrame([(d, i, t) for d, texts in docs.items() for i, t in enumerate(texts)], "doc_id long, ord long, text string").repartition(7)
+    for known, order in ((terms, terms), (spark.createDataFrame([(t,) for t in [*terms, None, ""]], "term string"), sorted(terms))):
+        got = {(r["doc_id"], r["ord"]): (r["masked"], [tuple(t) for t in r["tokens"]]) for r in masking.mask_tokens(rows, known).collect()}
+        want = {(d, i): x for d, texts in docs.items() for i, x in enumerate(serial(texts, masking.MARKDOWN_RULES, order))}
+        assert got == want
+    assert got[6, 129][1][-1][0] == "__DOCSTR_CODE_11700__"
+
+
+def test_glossaries_of_any_size(spark):
+    """Terms in texts and those that results lack, in one round and in many; no join in the plan."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abä가") for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    texts = [(i, "".join(rng.choice("abä가 ") for _ in range(40)), "".join(rng.choice("abä가 ") for _ in range(60)) if i % 5 else None) for i in range(120)] + [(200, None, "a"), (201, "", "a")]
+    rows = spark.createDataFrame(texts, "id long, source string, result string")
+    terms = spark.createDataFrame([(w,) for w in [*words, *words[:9], "", None]], "term string")
+    known = {w for w in words if w}
+    has = {(i, w) for i, s, _ in texts for w in known if w in (s or "")}
+    lacks = {(i, w) for i, s, r in texts for w in known if w in (s or "") and w not in (r or "")}
+    for part in (1 << 20, 2000):
+        for found, want in ((glossary_rows.contained(rows, terms, "source", part=part), has), (glossary_rows.violations(rows, terms, part=part), lacks), (glossary_rows.violations(rows, words, part=part), lacks)):
+            pairs = [(r["id"], r["term"]) for r in found.collect()]
+            assert len(pairs) == len(set(pairs)) and set(pairs) == want
+            assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert glossary_rows.contained(rows, terms.limit(0), "source").count() == 0 and glossary_rows.contained(rows.limit(0), terms, "source").count() == 0
+    held = glossary_rows.with_terms(rows, terms, "source", "held", part=2000).collect()
+    assert {(r["id"], w) for r in held for w in r["held"]} == has
+
+
+def test_headings_and_other_lines(spark):
+    """Line by line, what a Markdown line is."""
+    cases = [
+        ("# C#", ("heading", "C#", 1)), ("   ### deep ###  ", ("heading", "deep", 3)), ("    # code", ("paragraph", "# code", None)), ("#no space", ("paragraph", "#no space", None)), ("## two # marks ##", ("heading", "two # marks", 2)),
+        ("####### seven", ("paragraph", "####### seven", None)), ("# ", None), ("## #", ("heading", "#", 2)), ("##  #", ("heading", "#", 2)), ("## a #", ("heading", "a", 2)), ("# tab\tinside", ("heading", "tab\tinside", 1)), ("!!! note \"Quoted\"", ("admonition_title", "Quoted", None)), ("!!! note", ("paragraph", "!!! note", None)),
+        ("??? tip \"T\"", ("paragraph", "??? tip \"T\"", None)), (">!!! warning x", ("admonition_title", "x", None)), (">", ("paragraph", ">", None)), ("> q > r", ("blockquote", "q > r", None)), ("-no", ("paragraph", "-no", None)), ("+ plus", ("list_item", "plus", None)), ("12) twelve", ("list_item", "twelve", None)),
+        ("||---|---||", None), ("--- | x", ("table_cell", "x", None)), ("\u3000wide\u3000", ("paragraph", "wide", None)),
+    ]
+    rows = spark.createDataFrame([(i, 0, x) for i, (x, _) in enumerate(cases)], "doc_id long, line_index int, line string")
+    got = {r["doc_id"]: (r["kind"], r["text"], r["level"]) for r in ordering.markdown_segments(rows).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases) if want}
+
+
 def test_markdown_segments(spark):
     text = ["---", "title: x", "---", "# Head one", "para", "```", "# not a head", "```", "", "| a | b |", "|---|---|", "> quote", "- item", '!!! note "Title"', "[ref]: http://x", "<!-- c -->", "## Two", "1. last"]
     rows = spark.createDataFrame([(1, i, x) for i, x in enumerate(text)], "doc_id long, line_index int, line string")
@@ -112,6 +215,36 @@ def test_batches(spark):
     assert [(l["title"], l["url"]) for l in got] == [("one", "http://a"), ("in", "http://c")]
 
 
+def wrapped_by_characters(text, room, size):
+    """Lines by trying every end, the longest first; exact hundredths."""
+    unit = lambda x: sum(33 if c.isspace() else 100 if c in "가W" and c != "W" else 58 for c in x)
+    out, rest = [], text
+    if not rest.strip():
+        return [""]
+    while rest.strip():
+        ends = [m.end() for m in re.finditer(r"\S+", rest)]
+        if fit := [e for e in ends if unit(rest[:e]) * size <= room * 100]:
+            out.append(rest[: fit[-1]])
+            rest = rest[fit[-1] :].lstrip()
+        elif rest[0].isspace():
+            out.append("")
+            rest = rest.lstrip()
+        else:
+            word = re.match(r"\S+\s*", rest)[0]
+            at = max(1, int(len(word) * room * 100 / max(unit(word) * size, 100)))
+            out.append(word[:at].rstrip())
+            rest = word[at:].lstrip() + rest[len(word) :]
+    return out
+
+
+def test_wrapping(spark):
+    rng = random.Random(2)
+    for _ in range(3000):
+        text = "".join(rng.choice("ab 가 \nx\té") * rng.choice([1, 1, 2, 9]) for _ in range(rng.randint(0, 25)))
+        room, size = rng.choice([3.01, 7.31, 31.07, 100.93]), rng.choice([5, 7, 10])
+        assert B.wrap(text, room, size) == wrapped_by_characters(text, room, size)
+
+
 def test_text_state(spark):
     ops = [("Tf", ["F1", "12"]), ("Tm", ["1", "0", "0", "1", "10", "700"]), ("Tj", ["a"]), ("q", []), ("TD", ["0", "-14"]), ("Tj", ["b"]), ("Q", []), ("TL", ["20"]), ("T*", []), ("TJ", ["c", "-120", "d"]), ('"', ["1", "2", "e"])]
     rows = spark.createDataFrame([(1, i, op, args) for i, (op, args) in enumerate(ops)], "stream long, ord long, op string, args array<string>")
@@ -196,7 +329,7 @@ def test_work_keys(spark):
 
 def test_numbering_of_hot_keys(spark):
     rows = spark.range(5000).select(F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, "hot").otherwise(F.col("id").cast("string")).alias("k"), (F.col("id") * F.col("id") % 10_007).alias("v"))
-    got = ordering.numbered(rows, ["k"], "v", "n", parts=16)
+    got = ordering.numbered(rows, ["k"], "v", "n")
     assert got.columns == ["k", "v", "n"] and got.count() == 5000
     for key in (None, "hot"):
         part = sorted((r["n"], r["v"]) for r in got.where(F.col("k").eqNullSafe(F.lit(key))).collect())
@@ -206,6 +339,21 @@ def test_numbering_of_hot_keys(spark):
     assert ordering.numbered(rows.limit(0), ["k"], "v").count() == 0
 
 
+def test_ranges_hold_equal_counts(spark):
+    """One value far from all others, and one key with all rows: no range holds much more than its share."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        rows = spark.range(1, 100_000).select(F.lit("k").alias("k"), F.col("id").alias("v")).unionByName(spark.createDataFrame([("k", 10**15)], "k string, v long"))
+        laid = ordering._ranges(rows, ["k"], "v")
+        assert max(r["count"] for r in laid.groupBy("_part").count().collect()) < 2000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = ordering.running_totals(rows, ["k"], "v", {"n": F.lit(1), "s": F.col("v")})
+    assert got.where("v = 10").first()[2:] == (9, 45) and got.where(f"v = {10**15}").first()[2:] == (99_999, 99_999 * 100_000 // 2)
+
+
 def test_reports_and_full_refresh(spark, tmp_path):
     for ids in ([(1, "a", "é"), (2, "a", None), (3, "b", "c")], [(9, "a", "new")]):
         files.refresh_segments(spark.createDataFrame(ids, "id long, job string, text string"), str(tmp_path / "segments"))
