@@ -6,10 +6,13 @@ sorted by an explicit ordinal inside the call, so results don't depend on how Sp
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.terms import Finder
 from .ordering import running_totals
 from .tables import settled
 
@@ -35,44 +38,82 @@ def _text(x: str | None) -> str:
     return " ".join((x or "").split()).lower()
 
 
+class _Cells:
+    """Boxes of a page by the cells they touch, so that a box is held against those near it alone."""
+
+    def __init__(self, width: float, height: float):
+        self.width, self.height, self.of = max(width, 1.0), max(height, 1.0), {}
+
+    def _touched(self, left: float, top: float, right: float, bottom: float):
+        for cx in range(int(left // self.width), int(max(left, right) // self.width) + 1):
+            for cy in range(int(top // self.height), int(max(top, bottom) // self.height) + 1):
+                yield cx, cy
+
+    def add(self, item, *box: float) -> None:
+        for cell in self._touched(*box):
+            self.of.setdefault(cell, []).append(item)
+
+    def near(self, *box: float):
+        """Each item that shares a cell with the box; an item may come twice."""
+        for cell in self._touched(*box):
+            yield from self.of.get(cell, ())
+
+
+def _cells(rows: pd.DataFrame, reach: float) -> _Cells:
+    """Cells of about twice the mean box, `reach` more on either side in height."""
+    return _Cells(2 * float((rows.right - rows.left).mean()), 2 * float((rows.bottom - rows.top).mean()) + 2 * reach)
+
+
 def line_clusters(runs: DataFrame, page: str = "page") -> DataFrame:
-    """runs with the number of their line: the first line so far whose top is within max(2, 0.75 of the lesser height); a line's box grows."""
+    """runs with a text, with the number of their line: the first line so far whose top is within max(2, 0.75 of the lesser height); a line's box grows."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["top", "left", "ord"])
+        rows = rows[rows.text.map(lambda t: bool(_text(t)))].sort_values(["top", "left", "ord"])
         tops, bottoms, out = [], [], []
         for r in rows.itertuples():
             height = max(1.0, r.bottom - r.top)
-            for k, (t, b) in enumerate(zip(tops, bottoms)):
-                if abs(r.top - t) <= max(2.0, min(height, max(1.0, b - t)) * 0.75):
-                    tops[k], bottoms[k] = min(t, r.top), max(b, r.bottom)
+            # runs come by their tops, so lines do too, and lines above the tolerance are passed over by bisection
+            for k in range(bisect_left(tops, r.top - max(2.0, height * 0.75)), len(tops)):
+                if r.top - tops[k] <= max(2.0, min(height, max(1.0, bottoms[k] - tops[k])) * 0.75):
+                    bottoms[k] = max(bottoms[k], r.bottom)
                     out.append(k)
                     break
             else:
                 out.append(len(tops))
                 tops.append(r.top)
                 bottoms.append(r.bottom)
-        return rows.assign(line=out)
+        return rows.assign(line=pd.Series(out, index=rows.index, dtype="int64"))
 
     return runs.groupBy(page).applyInPandas(one, runs.schema.simpleString()[7:-1].replace(":", " ") + ", line long")
 
 
+#: Points between two boxes that may hold the same text twice, at least.
+NEAR = 42.0
+
+
 def without_duplicates(runs: DataFrame, page: str = "page") -> DataFrame:
     """Runs that aren't a double of one kept before them: the same text on overlapping boxes, the same or contained text on a line nearby, or boxes that nearly coincide."""
 
-    def double(a, b) -> bool:
-        s, t, shared = _text(a.text), _text(b.text), _overlap(a, b)
+    def reach(r) -> float:
+        return max(NEAR, 2.5 * (r.bottom - r.top))
+
+    def double(a, s, b, t) -> bool:
+        shared = _overlap(a, b)
         if s and s == t and shared >= 0.25 or shared >= 0.88:
             return True
-        near = _gap(a, b) <= max(42.0, 2.5 * (a.bottom - a.top), 2.5 * (b.bottom - b.top)) and _beside(a, b) >= 0.25
+        near = _gap(a, b) <= max(reach(a), reach(b)) and _beside(a, b) >= 0.25
         return bool(near and s and t and (s == t and len(s) >= 8 or len(s) >= 12 and s in t or len(t) >= 12 and t in s))
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        kept = []
+        # what a box may be a double of touches it once both are grown by their reach
+        grown = lambda r: (r.left, r.top - reach(r), r.right, r.bottom + reach(r))
+        kept, cells = [], _cells(rows, NEAR)
         for r in rows.sort_values("ord").itertuples():
-            if not any(double(r, k) for k in kept):
-                kept.append(r)
-        return rows.loc[[k.Index for k in kept]]
+            text = _text(r.text)
+            if not any(double(r, text, b, t) for b, t in cells.near(*grown(r))):
+                kept.append(r.Index)
+                cells.add((r, text), *grown(r))
+        return rows.loc[kept]
 
     return runs.groupBy(page).applyInPandas(one, runs.schema)
 
@@ -98,18 +139,34 @@ def without_overlaps(items: DataFrame, page_height: float = 792.0, page: str = "
     return items.groupBy(page).applyInPandas(one, items.schema.simpleString()[7:-1].replace(":", " ") + ", shift double")
 
 
+def _containing(texts: list[str]) -> dict[str, set[str]]:
+    """Of distinct texts, none empty: each with those it holds and those that hold it, itself among them; found by one automaton over all."""
+    find, out = Finder(texts), {t: set() for t in texts}
+    for t in texts:
+        for inner in find(t):
+            out[t].add(inner)
+            out[inner].add(t)
+    return out
+
+
 def new_ocr_lines(texts: DataFrame, lines: DataFrame, page: str = "page") -> DataFrame:
     """OCR lines of a page that its texts and the lines accepted before don't hold: no equal or contained text, no overlap of 0.35, no centre inside."""
 
     def one(own: pd.DataFrame, ocr: pd.DataFrame) -> pd.DataFrame:
-        known, boxes, kept = [t for t in map(_text, own.text) if t], list(own.itertuples()), []
+        known = {t for t in map(_text, own.text) if t}
+        related = _containing(sorted(known | {t for t in map(_text, ocr.text) if t}))
+        cells, kept = _cells(pd.concat([own, ocr]), 0.0), []
+        for b in own.itertuples():
+            cells.add(b, b.left, b.top, b.right, b.bottom)
         for r in ocr.sort_values("ord").itertuples():
             t = _text(r.text)
             x, y = (r.left + r.right) / 2, (r.top + r.bottom) / 2
-            if not t or any(t in k or k in t for k in known) or any(_overlap(r, b) >= 0.35 or b.left <= x <= b.right and b.top <= y <= b.bottom for b in boxes):
+            if not t or not known.isdisjoint(related[t]):
+                continue
+            if any(_overlap(r, b) >= 0.35 or b.left <= x <= b.right and b.top <= y <= b.bottom for b in cells.near(r.left, r.top, r.right, r.bottom)):
                 continue
-            known.append(t)
-            boxes.append(r)
+            known.add(t)
+            cells.add(r, r.left, r.top, r.right, r.bottom)
             kept.append(r.Index)
         return ocr.loc[kept]
 

@@ -9,6 +9,7 @@ from ..functions import geometry as G
 from ..functions import text as T
 from ..operators import glossary as A
 from ..operators import memory as M
+from ..operators import spatial as X
 from ..operators import validate as V
 from ..operators.ordering import numbered
 from .catalog import query, table
@@ -143,21 +144,22 @@ TABLES_SQL = 'tables AS (SELECT page, ord, "left" - 60 AS tl, top - 60 AS tt, "r
 SELECT r.ord, table_ord FROM runs r LEFT JOIN (SELECT * FROM hit WHERE n = 1) h ON r.ord = h.ord""")
 def spatial_containment(spark, sf_dir):
     r = runs(spark, sf_dir)
-    t = r.where("ord % 10 = 3").select("page", F.col("ord").alias("table_ord"), (F.col("left") - 60).alias("left"), (F.col("top") - 60).alias("top"), (F.col("right") + 60).alias("right"), (F.col("bottom") + 90).alias("bottom")).alias("t")
-    hit = r.alias("r").join(t, (F.col("r.page") == F.col("t.page")) & G.center_inside(G.box("r."), G.box("t.")))
-    first = hit.groupBy("r.ord").agg(F.min("t.table_ord").alias("table_ord"))
+    t = r.where("ord % 10 = 3").select("page", F.col("ord").alias("table_ord"), (F.col("left") - 60).alias("left"), (F.col("top") - 60).alias("top"), (F.col("right") + 60).alias("right"), (F.col("bottom") + 90).alias("bottom"))
+    first = X.centres_inside(r, t, ["page"]).groupBy("ord").agg(F.min("table_ord").alias("table_ord"))
     return r.select("ord").join(first, "ord", "left")
 
 
 @query(f"""WITH {RUNS_SQL}, p AS (SELECT a.ord, b.ord AS near, abs(a."left" - b."left") + abs(a.top - b.top) AS d, row_number() OVER (PARTITION BY a.ord ORDER BY abs(a."left" - b."left") + abs(a.top - b.top), b.ord) AS n FROM runs a JOIN runs b ON a.page = b.page AND a.ord % 2 = 0 AND b.ord % 2 = 1 AND (contains(a.text, left(b.text, 5)) OR contains(b.text, left(a.text, 5))))
 SELECT ord, near, d FROM p WHERE n = 1""")
 def nearest_match(spark, sf_dir):
+    """Of the runs whose text holds the other's first five characters, or the other way round, the nearest."""
     r = runs(spark, sf_dir)
-    a, b = r.where("ord % 2 = 0").alias("a"), r.where("ord % 2 = 1").alias("b")
-    like = F.contains("a.text", F.left("b.text", F.lit(5))) | F.contains("b.text", F.left("a.text", F.lit(5)))
-    d = F.abs(F.col("a.left") - F.col("b.left")) + F.abs(F.col("a.top") - F.col("b.top"))
-    near = a.join(b, (F.col("a.page") == F.col("b.page")) & like).groupBy("a.ord").agg(F.min(F.struct(d.alias("d"), F.col("b.ord").alias("near"))).alias("m"))
-    return near.select("ord", "m.near", "m.d")
+    a, b = r.where("ord % 2 = 0"), r.where("ord % 2 = 1").withColumnRenamed("ord", "near")
+    holds, opening = X.openings(a, b, 5)
+    opened, held = X.openings(b, a, 5)
+    rows = holds.withColumn("_way", F.lit(0)).unionByName(held.withColumn("_way", F.lit(1)))
+    targets = opening.withColumn("_way", F.lit(0)).unionByName(opened.withColumn("_way", F.lit(1)))
+    return X.nearest(rows, targets, ["page", "_way", "_gram"], "ord", "near")
 
 
 @query(f"WITH {RUNS_SQL}, sizes AS (SELECT DISTINCT page, 500.0 + page AS w, 700.0 + page AS h FROM runs WHERE page % 3 = 0) SELECT ord, coalesce(w, 612.0) AS w, coalesce(h, 792.0) AS h FROM runs LEFT JOIN sizes USING (page)")
