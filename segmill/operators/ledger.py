@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +32,3 @@ def resumed(spark, path: str, build) -> DataFrame:
     if not exists(spark, path):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -5,19 +5,24 @@ from __future__ import annotations
 import io
 import posixpath
 import zipfile
+import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def read_json(spark: SparkSession, path: str, schema: str, fallback: DataFrame | None = None) -> DataFrame:
     """A JSON document or array of the given schema; the fallback (no rows unless given) if the path isn't there."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+    try:
         return spark.read.schema(schema).json(path, multiLine=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
     return spark.createDataFrame([], schema) if fallback is None else fallback
 
 
@@ -25,7 +30,8 @@ def discovered(spark: SparkSession, path: str, extensions: list[str], skip: tupl
     """(path, name, length, modificationTime) of the inputs below path: by extension, no lock files, none in the skipped folders; a file in ready/ goes first."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).drop("content")  # the content isn't read
     name = F.element_at(F.split("path", "/"), -1)
-    rest = F.expr(f"substring(path, locate('{path.split('://')[-1].rstrip('/')}', path) + {len(path.split('://')[-1].rstrip('/'))})")
+    base = path.split("://")[-1].rstrip("/")
+    rest = F.substring("path", F.locate(base, "path") + len(base), F.length("path"))
     inside = F.split(rest, "/")
     ok = F.lower(name).rlike("\\.(" + "|".join(extensions) + ")$") & ~name.startswith("~$") & ~F.arrays_overlap(inside, F.array(*(F.lit(s) for s in skip)))
     return found.withColumn("name", name).where(ok).withColumn("queue", F.when(F.array_contains(inside, "ready"), 0).otherwise(1)).orderBy("queue", "name")
@@ -48,27 +54,54 @@ def format_of(content: Column, path: Column) -> Column:
     )
 
 
+TEXTS = "path string, spine int, href string, xhtml string, drm boolean, error string"
+
+
+def _spine(content: bytes) -> Iterator[tuple[int, str, str, bool]]:
+    """(place, name, text, drm) of a book's documents in reading order."""
+    book = zipfile.ZipFile(io.BytesIO(content))
+    names = set(book.namelist())
+    locked = "META-INF/encryption.xml" in names
+    root = next(e.get("full-path") for e in ElementTree.fromstring(book.read("META-INF/container.xml")).iter() if e.tag.endswith("rootfile"))
+    package = list(ElementTree.fromstring(book.read(root)).iter())
+    manifest = {e.get("id"): e for e in package if e.tag.endswith("}item")}
+    refs = [e.get("idref") for e in package if e.tag.endswith("}itemref")]
+    hrefs = [manifest[i].get("href") for i in refs if i in manifest and manifest[i].get("media-type") in ("application/xhtml+xml", "text/html")]
+    for place, href in enumerate(hrefs):
+        name = posixpath.normpath(posixpath.join(posixpath.dirname(root), unquote(href)))
+        if name in names:
+            yield place, name, book.read(name).decode("utf-8", "replace"), locked
+
+
 def epub_texts(files: DataFrame) -> DataFrame:
-    """files(path, content) -> (path, spine, href, xhtml, drm): the documents of each book in reading order."""
+    """files(path, content) -> (path, spine, href, xhtml, drm, error): the documents of each book in reading order.
+
+    A book that can't be read, or only in part, has a last row with nothing but its path and the error; the other books of the task are read.
+    A null content is such a book.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = []
-            for r in rows.itertuples():
-                book = zipfile.ZipFile(io.BytesIO(r.content))
-                names = set(book.namelist())
-                root = next(e.get("full-path") for e in ElementTree.fromstring(book.read("META-INF/container.xml")).iter() if e.tag.endswith("rootfile"))
-                package = list(ElementTree.fromstring(book.read(root)).iter())
-                manifest = {e.get("id"): e for e in package if e.tag.endswith("}item")}
-                refs = [e.get("idref") for e in package if e.tag.endswith("}itemref")]
-                hits = [manifest[i].get("href") for i in refs if i in manifest and manifest[i].get("media-type") in ("application/xhtml+xml", "text/html")]
-                for k, href in enumerate(hits):
-                    full = posixpath.normpath(posixpath.join(posixpath.dirname(root), href))
-                    if full in names:
-                        out.append((r.path, k, full, book.read(full).decode("utf-8", "replace"), "META-INF/encryption.xml" in names))
-            yield pd.DataFrame(out, columns=["path", "spine", "href", "xhtml", "drm"])
-
-    return files.select("path", "content").mapInPandas(run, "path string, spine int, href string, xhtml string, drm boolean")
+            for path, content in zip(rows["path"], rows["content"], strict=True):
+                out = []
+                try:
+                    if content is None:
+                        raise ValueError("no content")
+                    for row in _spine(content):
+                        out.append((path, *row, None))
+                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, StopIteration, ValueError, RuntimeError, NotImplementedError, EOFError, zlib.error) as e:
+                    out.append((path, None, None, None, None, f"{type(e).__name__}: {e}"))
+                frame = pd.DataFrame(out, columns=["path", "spine", "href", "xhtml", "drm", "error"])
+                yield frame.astype({"spine": "Int32", "drm": "boolean"})
+
+    return files.select("path", "content").mapInPandas(run, TEXTS)
+
+
+def books(spark: SparkSession, path: str, modified_after: str | None = None) -> DataFrame:
+    """epub_texts() of the .epub files below path. Only these are listed, and read one a row; lock files and files of no bytes are none."""
+    options = {"recursiveFileLookup": "true", "pathGlobFilter": "*.[eE][pP][uU][bB]"} | ({"modifiedAfter": modified_after} if modified_after else {})
+    found = spark.read.format("binaryFile").options(**options).load(path)
+    return epub_texts(found.where(~F.element_at(F.split("path", "/"), -1).startswith("~$")))
 
 
 def append_events(events: DataFrame, path: str) -> None:
@@ -76,11 +109,6 @@ def append_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 
 
-def publish(rows: DataFrame, path: str, by: str = "classification") -> None:
-    """Each row under the folder of its class; a new run replaces the classes it has."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
-
-
 def report_json(rows: DataFrame, path: str) -> None:
     """A report with one line-broken JSON object a row, null fields included and non-ASCII characters as they are; a new run replaces it."""
     rows.select(F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)

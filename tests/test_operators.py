@@ -14,7 +14,7 @@ from segmill.functions import batches as B
 from segmill.functions import text as T
 from segmill.operators import glossary as glossary_rows
 from segmill.operators import layout, links, masking, memory, ordering, provider, text_state
-from segmill.sources import files, glossary
+from segmill.sources import files, glossary, versioned
 from segmill.streaming import events
 
 SF = "/root/testdata/sf0.001"
@@ -378,15 +378,80 @@ def test_forwarding(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "sent")).count() == 1 and "a@b.org" not in str(spark.read.json(str(tmp_path / "sent")).collect())
 
 
-def test_publish_and_append(spark, tmp_path):
-    files.publish(spark.createDataFrame([("ok", 1), ("failed", 2)], "classification string, id long"), str(tmp_path / "out"))
-    files.publish(spark.createDataFrame([("failed", 3)], "classification string, id long"), str(tmp_path / "out"))
-    assert {(r["classification"], r["id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("ok", 1), ("failed", 3)}
+def test_append(spark, tmp_path):
     for k in range(2):
         files.append_events(spark.createDataFrame([(f"é{k}",)], "t string"), str(tmp_path / "log"))
     assert {r["t"] for r in spark.read.json(str(tmp_path / "log")).collect()} == {"é0", "é1"}
 
 
+JOBS = "classification string, job string, id long"
+
+
+def published(spark, path):
+    return sorted((tuple(r) for r in versioned.read(spark, path, JOBS).collect()), key=str)
+
+
+def test_a_job_is_in_one_class(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "out")
+    assert published(spark, path) == [] and versioned.classes(spark, path) == {}
+    versioned.publish(spark.createDataFrame([("ok", "a", 1), ("ok", "b", 2), ("failed", "c", 3), (None, "d", 4)], JOBS), path)
+    first = versioned.classes(spark, path)
+    versioned.publish(spark.createDataFrame([("ok", "c", 5), (None, "e", 6)], JOBS), path)
+    assert published(spark, path) == sorted([("ok", "a", 1), ("ok", "b", 2), ("ok", "c", 5), (None, "d", 4), (None, "e", 6)], key=str)
+    assert set(versioned.classes(spark, path)) == {"ok", ""}
+    second = versioned.classes(spark, path)
+    versioned.publish(spark.createDataFrame([("partial", "a", 7), ("partial", "a", 8)], JOBS), path)
+    third = versioned.classes(spark, path)
+    # what a class neither gains nor loses isn't written
+    assert third[""] == second[""] != first[""] and third["ok"] != second["ok"]
+    # a run that dies before its manifest leaves the version before
+    before = published(spark, path)
+    monkeypatch.setattr(versioned, "commit", lambda *a: (_ for _ in ()).throw(OSError("killed")))
+    with pytest.raises(OSError):
+        versioned.publish(spark.createDataFrame([("failed", "a", 9)], JOBS), path)
+    monkeypatch.undo()
+    assert published(spark, path) == before
+    versioned.publish(spark.createDataFrame([("failed", "a", 9)], JOBS), path)
+    assert [r for r in published(spark, path) if r[1] == "a"] == [("failed", "a", 9)]
+    with pytest.raises(Exception, match="(?i)exists"):
+        versioned.commit(spark, path, 0, [])
+
+
+def test_broken_and_locked_books(spark, tmp_path):
+    """A folder with a broken book, one without a package, one cut short and one under protection is read whole."""
+
+    def book(**more):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("META-INF/container.xml", '<c xmlns="x"><rootfile full-path="o/p.opf"/></c>')
+            z.writestr("o/p.opf", '<p xmlns="x"><item id="a" href="a%20b.xhtml" media-type="application/xhtml+xml"/><item id="c" href="c.css" media-type="text/css"/><itemref idref="c"/><itemref idref="a"/><itemref idref="none"/></p>')
+            z.writestr("o/a b.xhtml", "<p>text</p>")
+            for name, data in more.items():
+                z.writestr(name.replace("__", "/"), data)
+        return out.getvalue()
+
+    (tmp_path / "in/deep").mkdir(parents=True)
+    whole = book()
+    for name, data in (("deep/good.epub", whole), ("locked.EPUB", book(**{"META-INF__encryption.xml": "<e/>"})), ("broken.epub", b"PK no archive"), ("cut.epub", whole[: len(whole) // 2]), ("empty.epub", b""), ("~$lock.epub", b"x"), ("other.txt", b"x")):
+        (tmp_path / "in" / name).write_bytes(data)
+    bare = io.BytesIO()
+    with zipfile.ZipFile(bare, "w") as z:
+        z.writestr("META-INF/container.xml", "<c/>")
+    (tmp_path / "in/bare.epub").write_bytes(bare.getvalue())
+    got = {r["path"].rsplit("/", 1)[-1]: (r["spine"], r["href"], r["xhtml"], r["drm"], r["error"] is not None) for r in files.books(spark, str(tmp_path / "in")).coalesce(1).collect()}
+    assert got["good.epub"] == (0, "o/a b.xhtml", "<p>text</p>", False, False) and got["locked.EPUB"] == (0, "o/a b.xhtml", "<p>text</p>", True, False)
+    assert {k for k, v in got.items() if v == (None, None, None, None, True)} == {"broken.epub", "cut.epub", "bare.epub"} and len(got) == 5
+    assert files.epub_texts(spark.createDataFrame([("x", None)], "path string, content binary")).first()["error"] == "ValueError: no content"
+
+
+def test_paths_with_quotes(spark, tmp_path):
+    (tmp_path / "it's" / "ready").mkdir(parents=True)
+    for name in ("b.pdf", "ready/c.pdf", "~$x.pdf"):
+        (tmp_path / "it's" / name).write_bytes(b"x")
+    assert [r["name"] for r in files.discovered(spark, str(tmp_path / "it's"), ["pdf"]).collect()] == ["c.pdf", "b.pdf"]
+    assert files.read_json(spark, str(tmp_path / "none"), "a int").count() == 0
+
+
 def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     event = {"event_id": "1", "patient": {"patient_id": "PT-2026-0001", "name": "N", "email": "a@b.c", "phone": "+1 555 010 0200"}}
@@ -398,7 +463,7 @@ def test_streams(spark, tmp_path):
     pd.DataFrame({"key": ["a", "a", "b"], "source": ["s", "s", "t"], "target": ["x", "y", "t"], "seq": [1, 2, 3]}).to_parquet(tmp_path / "tm/1.parquet")
     stream = spark.readStream.schema("key string, source string, target string, seq long").parquet(str(tmp_path / "tm"))
     events.memory_stream(stream, str(tmp_path / "memory"), str(tmp_path / "ck2")).awaitTermination(60)
-    assert [(r["key"], r["target"]) for r in spark.read.parquet(str(tmp_path / "memory/v=0")).collect()] == [("a", "y")]
+    assert [(r["key"], r["target"]) for r in events.stored_memory(spark, str(tmp_path / "memory")).collect()] == [("a", "y")]
 
 
 @pytest.mark.parametrize("text", ["", "x", "가나다"])
