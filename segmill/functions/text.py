@@ -221,3 +221,25 @@ def lang_normalized(c: Column) -> Column:
 
 def issue_code(c: Column) -> Column:
     return F.regexp_extract(c, "^([A-Z_]+):", 1)
+
+
+def json_results(answer: Column) -> Column:
+    """array<struct<id, translated>> of an answer in JSON: fenced or not, amid prose, an array, one object or {items: [...]}; null if there is none.
+
+    Tried are the whole text, then from the first to the last bracket, then from the first to the last brace; the first that is an array or an
+    object counts. Elements that are no objects are left out; an object's id is its text, `None` if it has none.
+    """
+    whole = F.regexp_replace(F.coalesce(answer, F.lit("")), r"^\s*```(?:json)?\s*|\s*```\s*$", "")
+    spans = [whole, F.regexp_extract(whole, r"(?s)\[.*\]", 0), F.regexp_extract(whole, r"(?s)\{.*\}", 0)]
+
+    def items(span: Column) -> Column:
+        v = F.try_parse_json(span)
+        kind = lambda x: F.schema_of_variant(x)
+        inner = F.try_variant_get(v, "$.items", "variant")
+        listed = F.when(kind(inner).startswith("ARRAY"), F.try_variant_get(v, "$.items", "array<variant>"))
+        of_object = F.when(inner.isNull(), F.array(v)).otherwise(listed)
+        return F.when(kind(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")).when(kind(v).startswith("OBJECT"), of_object)
+
+    objects = F.filter(F.coalesce(*map(items, spans)), lambda v: F.schema_of_variant(v).startswith("OBJECT"))
+    get = lambda v, name: F.try_variant_get(v, f"$.{name}", "string")
+    return F.transform(objects, lambda v: F.struct(F.coalesce(get(v, "id"), F.lit("None")).alias("id"), get(v, "translated").alias("translated")))

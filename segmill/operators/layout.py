@@ -152,10 +152,11 @@ def _containing(texts: list[str]) -> dict[str, set[str]]:
 def new_ocr_lines(texts: DataFrame, lines: DataFrame, page: str = "page") -> DataFrame:
     """OCR lines of a page that its texts and the lines accepted before don't hold: no equal or contained text, no overlap of 0.35, no centre inside."""
 
-    def one(own: pd.DataFrame, ocr: pd.DataFrame) -> pd.DataFrame:
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        own, ocr = rows[~rows["_new"]], rows[rows["_new"]]
         known = {t for t in map(_text, own.text) if t}
         related = _containing(sorted(known | {t for t in map(_text, ocr.text) if t}))
-        cells, kept = _cells(pd.concat([own, ocr]), 0.0), []
+        cells, kept = _cells(rows, 0.0), []
         for b in own.itertuples():
             cells.add(b, b.left, b.top, b.right, b.bottom)
         for r in ocr.sort_values("ord").itertuples():
@@ -168,9 +169,13 @@ def new_ocr_lines(texts: DataFrame, lines: DataFrame, page: str = "page") -> Dat
             known.add(t)
             cells.add(r, r.left, r.top, r.right, r.bottom)
             kept.append(r.Index)
-        return ocr.loc[kept]
+        return ocr.loc[kept, lines_columns]
 
-    return texts.groupBy(page).cogroup(lines.groupBy(page)).applyInPandas(one, lines.schema)
+    # one table of both: a cogroup of tables that come from the same source loses columns when some of its result's are enough
+    lines_columns = lines.columns
+    held = texts.select(page, "left", "top", "right", "bottom", "text").withColumn("_new", F.lit(False))
+    both = held.unionByName(lines.withColumn("_new", F.lit(True)), allowMissingColumns=True)
+    return both.groupBy(page).applyInPandas(one, lines.schema)
 
 
 def reading_order(blocks: DataFrame, page: str = "page") -> DataFrame:

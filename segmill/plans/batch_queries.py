@@ -13,25 +13,54 @@ from ..operators import provider as P
 from ..operators.text_state import text_runs
 from .catalog import query, table
 from .join_queries import segments
-from .text_queries import runs
+from .text_queries import RUNS_SQL, runs
 
 
-@query()
+NORM = lambda x: f"lower(trim(regexp_replace({x}, '\\s+', ' ', 'g')))"
+#: Rows of a page taken one after the other, with what was kept so far as lists.
+STEPS_SQL = f"""o AS (SELECT *, {NORM('text')} AS t, row_number() OVER (PARTITION BY page ORDER BY ord) AS n FROM runs)"""
+OVERLAP_SQL = """(CASE WHEN least((a."right" - a."left") * (a.bottom - a.top), (k."right" - k."left") * (k.bottom - k.top)) > 0 THEN greatest(0, least(a."right", k."right") - greatest(a."left", k."left")) * greatest(0, least(a.bottom, k.bottom) - greatest(a.top, k.top)) / least((a."right" - a."left") * (a.bottom - a.top), (k."right" - k."left") * (k.bottom - k.top)) ELSE 0 END)"""
+
+
+@query(f"""WITH RECURSIVE {RUNS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY top, "left", ord) AS n FROM runs WHERE {NORM('text')} <> ''),
+g AS (SELECT DISTINCT page, 0::BIGINT AS n, []::DOUBLE[] AS tops, []::DOUBLE[] AS bottoms, NULL::BIGINT AS ord, NULL::BIGINT AS line FROM runs
+ UNION ALL SELECT page, n, CASE WHEN k > len(tops) THEN list_append(tops, top) ELSE tops END, CASE WHEN k > len(tops) THEN list_append(bottoms, bottom) ELSE list_transform(bottoms, lambda b, i: CASE WHEN i = k THEN greatest(b, bottom) ELSE b END) END, ord, k - 1
+ FROM (SELECT o.page, o.n, o.ord, o.top, o.bottom, g.tops, g.bottoms, coalesce(list_filter(range(1, len(g.tops) + 1), lambda i: abs(o.top - g.tops[i]) <= greatest(2.0, 0.75 * least(greatest(1.0, o.bottom - o.top), greatest(1.0, g.bottoms[i] - g.tops[i]))))[1], len(g.tops) + 1) AS k
+  FROM g JOIN o ON o.page = g.page AND o.n = g.n + 1))
+SELECT runs.*, line FROM g JOIN runs USING (page, ord)""")
 def line_clusters(spark, sf_dir):
     return L.line_clusters(runs(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {RUNS_SQL}, {STEPS_SQL},
+g AS (SELECT DISTINCT page, 0::BIGINT AS n, list_filter([o], lambda k: false) AS kept FROM o WHERE n = 1
+ UNION ALL SELECT a.page, a.n, CASE WHEN len(list_filter(g.kept, lambda k: (a.t <> '' AND a.t = k.t AND {OVERLAP_SQL} >= 0.25) OR {OVERLAP_SQL} >= 0.88
+   OR (greatest(k.top - a.bottom, a.top - k.bottom, 0.0) <= greatest(42.0, 2.5 * (a.bottom - a.top), 2.5 * (k.bottom - k.top)) AND least(a."right" - a."left", k."right" - k."left") > 0
+    AND greatest(0, least(a."right", k."right") - greatest(a."left", k."left")) / least(a."right" - a."left", k."right" - k."left") >= 0.25 AND a.t <> '' AND k.t <> ''
+    AND ((a.t = k.t AND length(a.t) >= 8) OR (length(a.t) >= 12 AND contains(k.t, a.t)) OR (length(k.t) >= 12 AND contains(a.t, k.t)))))) = 0 THEN list_append(g.kept, a) ELSE g.kept END
+  FROM g JOIN o a ON a.page = g.page AND a.n = g.n + 1)
+SELECT k.ord AS ord, k.page AS page, k."left" AS "left", k.top AS top, k."right" AS "right", k.bottom AS bottom, k.font AS font, k.text AS text FROM (SELECT unnest(arg_max(kept, n)) AS k FROM g GROUP BY page)""")
 def duplicate_layout(spark, sf_dir):
     return L.without_duplicates(runs(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {RUNS_SQL}, o AS (SELECT *, ord % 9 = 0 AS cell, bottom - top AS h, greatest(1.0, font * 0.18) AS gap, row_number() OVER (PARTITION BY page ORDER BY top, "left", ord) AS n FROM runs),
+g AS (SELECT page, n, 1 AS j, top AS y, list_filter([struct_pack(l := "left", r := "right", y := top, b := bottom)], lambda x: false) AS placed, NULL::BIGINT AS ord, NULL::DOUBLE AS new_top FROM o WHERE n = 1
+ UNION ALL SELECT page, CASE WHEN over THEN n + 1 ELSE n END, CASE WHEN over THEN 1 ELSE j + 1 END, CASE WHEN over THEN next_top WHEN least(r, p.r) - greatest(l, p.l) >= 0.2 * least(r - l, p.r - p.l) AND y < p.b + gap AND y + h > p.y + gap THEN p.b + gap ELSE y END,
+  CASE WHEN over AND NOT cell THEN list_append(placed, struct_pack(l := l, r := r, y := final, b := final + h)) ELSE placed END, CASE WHEN over THEN o_ord END, CASE WHEN over THEN final END
+ FROM (SELECT g.page, g.n, g.j, g.y, g.placed, o.cell OR g.j > len(g.placed) AS over, g.placed[g.j] AS p, o.cell, o."left" AS l, o."right" AS r, o.gap, o.h, o.ord AS o_ord, q.top AS next_top, CASE WHEN NOT o.cell AND g.y <> o.top THEN least(g.y, greatest(0.0, 792.0 - o.h)) ELSE g.y END AS final
+  FROM g JOIN o ON o.page = g.page AND o.n = g.n LEFT JOIN o q ON q.page = g.page AND q.n = g.n + 1))
+SELECT runs.ord, runs.page, "left", new_top AS top, "right", new_top + bottom - runs.top AS bottom, font, text, runs.ord % 9 = 0 AS cell, new_top - runs.top AS shift FROM g JOIN runs ON runs.page = g.page AND runs.ord = g.ord""")
 def resolve_overlaps(spark, sf_dir):
     return L.without_overlaps(runs(spark, sf_dir).withColumn("cell", F.col("ord") % 9 == 0))
 
 
-@query()
+@query(f"""WITH RECURSIVE {RUNS_SQL}, own AS (SELECT *, {NORM('text')} AS t, 0::BIGINT AS n FROM runs WHERE ord % 2 = 0), lines AS (SELECT * REPLACE (text || ' ocr' || ord AS text), {NORM("text || ' ocr' || ord")} AS t, row_number() OVER (PARTITION BY page ORDER BY ord) AS n FROM runs WHERE ord % 2 = 1),
+g AS (SELECT page, 0::BIGINT AS n, list(own ORDER BY ord) AS kept FROM own GROUP BY page
+ UNION ALL SELECT a.page, a.n, CASE WHEN a.t <> '' AND len(list_filter(g.kept, lambda k: (k.t <> '' AND (contains(k.t, a.t) OR contains(a.t, k.t))) OR {OVERLAP_SQL} >= 0.35
+   OR ((a."left" + a."right") / 2 BETWEEN k."left" AND k."right" AND (a.top + a.bottom) / 2 BETWEEN k.top AND k.bottom))) = 0 THEN list_append(g.kept, a) ELSE g.kept END
+  FROM g JOIN lines a ON a.page = g.page AND a.n = g.n + 1)
+SELECT k.ord AS ord, k.page AS page, k."left" AS "left", k.top AS top, k."right" AS "right", k.bottom AS bottom, k.font AS font, k.text AS text FROM (SELECT unnest(arg_max(kept, n)) AS k FROM g GROUP BY page) WHERE k.n > 0""")
 def ocr_suppression(spark, sf_dir):
     r = runs(spark, sf_dir)
     return L.new_ocr_lines(r.where("ord % 2 = 0"), r.where("ord % 2 = 1").withColumn("text", F.concat("text", F.lit(" ocr"), "ord")))
@@ -102,7 +131,7 @@ def parse_json_response(spark, sf_dir):
     one = F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("translated")))
     m = F.col("doc_id") % 4
     answer = F.when(m == 0, F.concat(F.lit("```json\n["), one, F.lit("]\n```"))).when(m == 1, F.concat(F.lit("Here: "), one, F.lit(" done"))).when(m == 2, F.concat(F.lit('{"items": ['), one, F.lit("]}"))).otherwise("none")
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(B.json_results(answer)).alias("r")).select("doc_id", "r.id", "r.translated")
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(T.json_results(answer)).alias("r")).select("doc_id", "r.id", "r.translated")
 
 
 @query()
@@ -132,6 +161,19 @@ def text_state_fold(spark, sf_dir):
     return out.select("stream", "ord", "text", "size", (-F.col("y")).alias("down"))
 
 
+NOISE = ["m.ththth.example.net", "enre.example.org"]
+
+
+@query("""WITH l AS (SELECT regexp_extract(url, '^https?://[^/]+/([a-z]+)', 1) AS category, 'd_' || page_id % 7 AS key, regexp_replace(url, '/[0-9]+.*$', '') AS url, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages),
+own AS (SELECT * FROM l WHERE key <> 'd_3'), kept AS (SELECT DISTINCT category, key, url FROM own WHERE host NOT IN ('m.ththth.example.net', 'enre.example.org')),
+c AS (SELECT category, (SELECT count(DISTINCT key) FROM own o WHERE o.category = x.category) AS diagrams, count(*) AS raw, (SELECT count(*) FROM kept k WHERE k.category = x.category) AS per_diagram, (SELECT count(DISTINCT url) FROM kept k WHERE k.category = x.category) AS unique_urls FROM own x GROUP BY category)
+SELECT *, raw - per_diagram AS filtered FROM c UNION ALL SELECT NULL, sum(diagrams)::BIGINT, sum(raw)::BIGINT, sum(per_diagram)::BIGINT, (SELECT count(DISTINCT url) FROM kept), (sum(raw) - sum(per_diagram))::BIGINT FROM c""")
+def link_totals(spark, sf_dir):
+    """Links as found, of each diagram once, in all once, and what was filtered; the index lacks one diagram that was scraped."""
+    p = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://[^/]+/([a-z]+)", 1).alias("category"), F.concat(F.lit("d_"), F.col("page_id") % 7).alias("key"), F.col("page_id").alias("link_ord"), F.lit("t").alias("link_title"), F.regexp_replace("url", "/[0-9]+.*$", "").alias("link_url"))
+    return K.totals(p.where("key <> 'd_3'").select("category", "key"), p, NOISE)
+
+
 @query("""WITH d AS (SELECT regexp_extract(url, '^https?://[^/]+/([a-z]+)', 1) AS category, page_id, url FROM pages), x AS (SELECT category, trim(regexp_replace('D ' || (page_id % 7), '[^a-zA-Z0-9]+', '_', 'g'), '_') AS key, url FROM d)
 SELECT category, key, count(DISTINCT url) AS links, count(DISTINCT url) AS urls FROM x GROUP BY category, key
 UNION ALL SELECT category, NULL, (SELECT count(*) FROM (SELECT DISTINCT key, url FROM x y WHERE y.category = x.category)), count(DISTINCT url) FROM x GROUP BY category

@@ -41,15 +41,29 @@ def format_filter(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.when(ok, "ready").otherwise("skipped").alias("status"), F.when(~ok, F.concat(F.lit("unsupported: "), kind)).alias("reason"))
 
 
-@query("SELECT event_id // 50 AS page, event_type AS kind, event_id AS xref, value AS width FROM events WHERE event_id > 0")
+@query("""WITH o AS (SELECT event_id // 50 AS page, event_type AS kind, user_id AS xref, event_id % 5 AS x, event_id AS ord, value AS width FROM events),
+i AS (SELECT * FROM o WHERE kind = 'click' AND xref > 0 QUALIFY row_number() OVER (PARTITION BY page, xref, x ORDER BY ord) = 1)
+SELECT page, count(*) AS objects, count(*) FILTER (kind <> 'click') AS others, (SELECT count(*) FROM i WHERE i.page = o.page) AS images, (SELECT string_agg(xref || ':' || x, ' ' ORDER BY ord) FROM i WHERE i.page = o.page) AS image_list, round(max(width), 6) AS widest FROM o GROUP BY page""")
 def object_manifest(spark, sf_dir):
-    entry = F.struct(F.col("event_type").alias("kind"), F.col("event_id").alias("xref"), F.col("value").alias("width"))
+    """A manifest of each page's objects as JSON, and what is read from it: images once per place, as they come, and the other objects."""
+    entry = F.struct(F.col("event_id").alias("ord"), F.col("event_type").alias("kind"), F.col("user_id").alias("xref"), (F.col("event_id") % 5).alias("x"), F.col("value").alias("width"))
     pages = table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 50).alias("page")).agg(F.to_json(F.collect_list(entry)).alias("json"))
-    rows = pages.select("page", F.explode(F.from_json("json", "array<struct<kind:string,xref:long,width:double>>")).alias("o"))
-    return rows.select("page", "o.*").where("xref > 0")
+    rows = pages.select("page", F.explode(F.from_json("json", "array<struct<ord:long,kind:string,xref:long,x:long,width:double>>")).alias("o")).select("page", "o.*")
+    image = (F.col("kind") == "click") & (F.col("xref") > 0)
+    first = rows.where(image).groupBy("page", "xref", "x").agg(F.min("ord").alias("ord")).groupBy("page").agg(F.count("*").alias("images"), F.array_sort(F.collect_list(F.struct("ord", "xref", "x"))).alias("found"))
+    listed = first.select("page", "images", F.array_join(F.transform("found", lambda i: F.concat_ws(":", i["xref"], i["x"])), " ").alias("image_list"))
+    every = rows.groupBy("page").agg(F.count("*").alias("objects"), F.count_if(F.col("kind") != "click").alias("others"), F.round(F.max("width"), 6).alias("widest"))
+    return every.join(listed, "page", "left").select("page", "objects", "others", F.coalesce("images", F.lit(0)).alias("images"), "image_list", "widest")
 
 
-@query("SELECT doc_id, '<p>a<b>' || lang || '</b>tail</p>' AS xhtml, 1 AS applied FROM documents")
+@query("""WITH p AS (SELECT page_id, replace(url, '&', '&amp;') AS url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages)
+SELECT page_id, CASE WHEN title = '' THEN '<p><b>x</b>' || url || '<i>end</i></p>' ELSE '<p>No. ' || page_id || ': ' || title || '<b>' || url || '</b>' || 'tail<i>' || title || '</i></p>' END AS xhtml, CASE WHEN title = '' THEN 1 ELSE 3 END AS applied FROM p""")
 def edit_by_path(spark, sf_dir):
-    edits = F.array(F.struct(F.array(F.lit(1), F.lit(0)).alias("path"), F.col("lang").alias("text")), F.struct(F.array(F.lit(7)).alias("path"), F.lit("none").alias("text")))
-    return table(spark, sf_dir, "documents").select("doc_id", X.edited(F.lit("<p>a<b>x</b>tail</p>"), edits).alias("e")).select("doc_id", "e.*")
+    """The title of each page in a tree of its own; three texts are replaced, two paths end at no text."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    plain = F.replace("title", F.lit("&amp;"), F.lit("&"))
+    tree = F.concat(F.lit("<p>"), "title", F.lit("<b>x</b>tail<i>end</i></p>"))
+    edit = lambda path, text: F.struct(F.array(*map(F.lit, path)).alias("path"), text.alias("text"))
+    full = F.array(edit([0], F.concat(F.lit("No. "), "page_id", F.lit(": "), plain)), edit([1, 0], F.col("url")), edit([3, 0], plain), edit([7], F.lit("none")), edit([1], F.lit("none")))
+    bare = F.array(edit([1], F.col("url")), edit([7], F.lit("none")))
+    return p.select("page_id", X.edited(tree, F.when(F.col("title") == "", bare).otherwise(full)).alias("e")).select("page_id", "e.*")

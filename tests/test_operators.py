@@ -471,3 +471,28 @@ def test_cache_keys(spark, text):
     import hashlib
 
     assert spark.range(1).select(T.cache_key(F.lit("en"), F.lit("kr"), F.lit(text)).alias("k")).first()["k"] == hashlib.sha256(f"en\nkr\n{text}".encode()).hexdigest()
+
+
+def test_answers_in_json(spark):
+    """Answers as providers give them, whole and broken."""
+    cases = [
+        ('```json\n[{"id": 1, "translated": "é"}]\n```', [("1", "é")]), ('Sure: {"id": "a", "translated": null} bye', [("a", None)]), ('{"items": [{"id": "x"}, 5, null, {"translated": "t"}]}', [("x", None), ("None", "t")]),
+        ("", None), (None, None), ("none", None), ("5", None), ('"text"', None), ("[]", []), ('{"items": 3}', None), ('{"items": null}', None), ('[{"id": 1', None), ('[1] and {"id": "b", "translated": "u"}', []), ('text [x] {"id": "c", "translated": "v"}', [("c", "v")]),
+        ('{"items": []}', []), ('[{"id": 1.5, "translated": "w"}]', [("1.5", "w")]), ("```\n{\"id\": \"d\"}\n```", [("d", None)]),
+    ]
+    rows = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(cases)], "i int, a string").withColumn("r", T.json_results(F.col("a")))
+    assert {r["i"]: r["r"] and [tuple(x) for x in r["r"]] for r in rows.collect()} == {i: want for i, (_, want) in enumerate(cases)}
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sketches_of_runs(spark):
+    """Sketches of runs, merged in any order and again, stay within two percent of the distinct count."""
+    runs = [spark.range(k * 7000, k * 7000 + 20_000).select((F.col("id") % 3).alias("category"), F.concat(F.lit("http://h/"), "id").alias("link_url")) for k in range(4)]
+    stored = [links.sketched(r, ["category"]) for r in runs]
+    whole = stored[0].unionByName(stored[1]).unionByName(stored[2]).unionByName(stored[3])
+    once = links.merged_sketches(whole, ["category"])
+    again = links.merged_sketches(links.merged_sketches(stored[3].unionByName(stored[0]), ["category"]).unionByName(links.merged_sketches(whole, ["category"])), ["category"])
+    exact = {r["category"]: r["n"] for r in runs[0].union(runs[1]).union(runs[2]).union(runs[3]).distinct().groupBy("category").agg(F.count("*").alias("n")).collect()}
+    for table in (once, again):
+        for r in links.estimated(table).collect():
+            assert abs(r["unique_urls"] - exact[r["category"]]) <= 0.02 * exact[r["category"]]
