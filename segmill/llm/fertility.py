@@ -208,9 +208,9 @@ def rules(docs: DataFrame, pieces: str, pairs: str, pattern: str, id_col: str =
 
     pieces: a sentencepiece model with byte fallback; pairs: a rank file for tiktoken, pattern its split pattern; further
     arguments go to bands(). base_failed: fewer than 50 words, or over half of them in 3-word windows that the text holds
-    twice. kept: not base_failed, and characters per token, entropy and byte fallback inside the bands of language and
-    length class (floor of log4 of the pieces); entropy and fallback have one bound each. Null and blank texts have no words and
-    fail. A null or empty language is judged by script. Null ids and repeated rows each give a row; other columns are ignored;
+    twice. kept: not base_failed, and characters per token of both vocabularies and entropy not below, byte fallback not above the
+    band of language and length class (floor of log4 of the pieces). More characters per token than usual are no fault: the
+    vocabulary knows the words. Null and blank texts have no words and fail. A null or empty language is judged by script. Null ids and repeated rows each give a row; other columns are ignored;
     an empty table gives no rows.
     """
     raw = written(measured(docs, pieces, pairs, pattern, id_col, text_col, lang_col), "measures")
@@ -218,7 +218,7 @@ def rules(docs: DataFrame, pieces: str, pairs: str, pattern: str, id_col: str =
     length = F.expr("(length(bin(greatest(n_tokens, 1))) - 1) div 2")
     rows = raw.select("id", F.coalesce("lang", F.lit("")).alias("lang"), "script", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", *_fenced(), length.alias("length"), failed.alias("base_failed"))
     fences = written(bands(rows.where("not base_failed"), **kept), "fences")
-    inside = lambda c, of: F.coalesce(F.col(c) >= F.col(f"{c}_low") if of == "low" else F.col(c) <= F.col(f"{c}_high"), F.lit(True))
-    usual = inside("per_piece", "low") & inside("per_piece", "high") & inside("per_pair", "low") & inside("per_pair", "high") & inside("entropy", "low") & inside("fallback", "high")
+    least = lambda c: F.coalesce(F.col(c) >= F.col(f"{c}_low"), F.lit(True))
+    usual = least("per_piece") & least("per_pair") & least("entropy") & F.coalesce(F.col("fallback") <= F.col("fallback_high"), F.lit(True))
     out = rows.join(fences, ["lang", "script", "length"], "left").withColumn("kept", ~F.col("base_failed") & usual)
     return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "script", *FENCED)
