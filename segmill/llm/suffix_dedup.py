@@ -6,7 +6,8 @@ by filters that lose nothing:
 1. Anchors. Every 200-byte window has an anchor: its 100-byte gram with the least hash, the first of equal ones. Equal windows
    have equal anchors at equal places. A run of windows with one anchor is a context. Contexts whose gram occurs once hold
    no repeat.
-2. Contexts that are equal byte for byte (128 bits of hash) are one context with a weight.
+2. Contexts that are equal byte for byte are one context with a weight. They are told apart by 128 bits: 64 of their anchor gram
+   and 64 of all their bytes; contexts with the same gram by the latter alone.
 3. Heads. In the contexts that remain, a window needs its own suffix only if it opens a context, or the windows equal to it
    have different bytes before them (or none): a repeat that can be extended to the left is found from its start.
 
@@ -229,8 +230,17 @@ def _digests(column: str) -> list:
     return [F.xxhash64(column).alias("k1"), F.xxhash64(F.lit(1), column).alias("k2")]
 
 
-def repeated(texts: DataFrame, span: int = SPAN, gram: int = GRAM, range_rows: int = 50_000) -> DataFrame:
-    """texts(raw binary) -> (k1, k2, cuts array<struct<start, end>>): the repeated byte ranges of each distinct text that has any; k1 and k2 are its digests."""
+#: Keys up to which a broadcast filter of 32 MB spares shuffles (four bits a key and more); more are joined.
+FILTER_KEYS = 1 << 26
+
+
+def repeated(texts: DataFrame, span: int = SPAN, gram: int = GRAM, range_rows: int = 50_000, filter_keys: int = FILTER_KEYS) -> DataFrame:
+    """texts(raw binary) -> (k1, k2, cuts array<struct<start, end>>): the repeated byte ranges of each distinct text that has any; k1 and k2 are its digests.
+
+    Each of the three sets of keys that decide what travels (repeated grams, contexts to fetch, opening windows) is broadcast as a filter
+    if it has at most filter_keys keys. A larger one is joined: contexts with grams by the gram, texts with the places wanted of
+    them by their digests, windows with openings by their hash. What comes out is the same.
+    """
     keyed = texts.where(F.octet_length("raw") >= span).select("raw", *_digests("raw"))
 
     def scan(emit, schema: str) -> DataFrame:
@@ -252,22 +262,27 @@ def repeated(texts: DataFrame, span: int = SPAN, gram: int = GRAM, range_rows: i
 
     counts = scan(grams, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
     sc = texts.sparkSession.sparkContext
-    often = sc.broadcast(bloom(written(counts.where("n > 1").select("g"), "repeated-grams"), "g"))
+
+    def filter_of(keys: DataFrame, key: str):
+        return sc.broadcast(bloom(keys, key)) if keys.count() <= filter_keys else None
+
+    repeated_grams = written(counts.where("n > 1").select("g"), "repeated-grams")
+    often = filter_of(repeated_grams, "g")
 
     def keep(found, raw, batch, at):
         k1, k2 = (batch.column(c).to_numpy()[found["text"][at]] for c in ("k1", "k2"))
         return [*(pa.array(found[c][at].view(np.int64)) for c in ("g", "c")), pa.array(k1), pa.array(k2), pa.array(found["lo"][at].astype(np.int64))]
 
     def members_of(found, raw, batch):
-        at = np.flatnonzero(in_bloom(often.value, found["g"]))
+        at = np.arange(len(found["g"])) if often is None else np.flatnonzero(in_bloom(often.value, found["g"]))
         return [*keep(found, raw, batch, at), pa.array(found["n"][at].astype(np.int32))] if len(at) else None
 
-    members = written(scan(members_of, "g long, c long, k1 long, k2 long, lo long, n int"), "members")
+    members = scan(members_of, "g long, c long, k1 long, k2 long, lo long, n int")
+    members = written(members if often else members.join(repeated_grams, "g", "left_semi"), "members")
     contexts = written(members.groupBy("g", "c").agg(F.count("*").alias("weight"), F.min(F.struct("k1", "k2", "lo")).alias("at"), F.max("n").alias("n")), "contexts")
     groups = written(contexts.groupBy("g").agg(F.count("*").alias("kinds")), "groups")
     varied = written(contexts.join(groups.where("kinds > 1").select("g"), "g").select("g", "c", "weight", "n", "at.*"), "varied")
-    place = F.col("k1").bitwiseXOR(F.col("c")).bitwiseXOR(F.shiftleft("lo", 33))
-    wanted = sc.broadcast(bloom(varied.select(place.alias("p")), "p"))
+    wanted = filter_of(varied.select(F.col("k1").bitwiseXOR(F.col("c")).bitwiseXOR(F.shiftleft("lo", 33)).alias("p")), "p") if often else None
 
     def bytes_of(found, raw, batch):
         k1 = batch.column("k1").to_numpy()[found["text"]]
@@ -277,9 +292,23 @@ def repeated(texts: DataFrame, span: int = SPAN, gram: int = GRAM, range_rows: i
         cut = [raw[t][lo : lo + n - 1 + span] for t, lo, n in zip(*(found[c][at].tolist() for c in ("text", "lo", "n")), strict=True)]
         return [*keep(found, raw, batch, at), pa.array(found["left"][at].astype(np.int32)), pa.array(cut, pa.binary())]
 
-    fetched = scan(bytes_of, "g long, c long, k1 long, k2 long, lo long, left int, raw binary")
-    key = ["g", "c", "k1", "k2", "lo"]
-    strings = written(varied.join(fetched, key).groupBy("g", "c", "weight").agg(F.min(F.struct("left", "raw")).alias("s")).select("g", "c", "weight", "s.left", "s.raw"), "context-bytes")
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The bytes of the places wanted of each text; the window at the start of a piece has no byte before it, as in anchors()."""
+        for whole in batches:
+            for batch in slices(whole, "raw", PIECE):
+                texts, places = batch.column("raw").to_pylist(), batch.column("places").to_pylist()
+                rows = [(p, t) for t, ps in zip(texts, places, strict=True) for p in ps]
+                columns = [pa.array([p[c] for p, _ in rows], pa.int64()) for c in ("g", "c", "weight")]
+                left = [-1 if p["lo"] % PIECE == 0 else t[p["lo"] - 1] for p, t in rows]
+                cut = [t[p["lo"] : p["lo"] + p["n"] - 1 + span] for p, t in rows]
+                yield pa.record_batch([*columns, pa.array(left, pa.int32()), pa.array(cut, pa.binary())], ["g", "c", "weight", "left", "raw"])
+
+    if wanted:
+        fetched = varied.join(scan(bytes_of, "g long, c long, k1 long, k2 long, lo long, left int, raw binary"), ["g", "c", "k1", "k2", "lo"])
+    else:
+        places = varied.groupBy("k1", "k2").agg(F.collect_list(F.struct("g", "c", "weight", "n", "lo")).alias("places"))  # fewer than a text has bytes
+        fetched = keyed.join(places, ["k1", "k2"]).select("raw", "places").mapInArrow(asked, "g long, c long, weight long, left int, raw binary")
+    strings = written(fetched.groupBy("g", "c", "weight").agg(F.min(F.struct("left", "raw")).alias("s")).select("g", "c", "weight", "s.left", "s.raw"), "context-bytes")
 
     def hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash, owner and offset of all windows."""
@@ -300,23 +329,38 @@ def repeated(texts: DataFrame, span: int = SPAN, gram: int = GRAM, range_rows: i
                 yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(left.astype(np.int16))], ["h", "left"])
 
     seen = strings.mapInArrow(windows, "h long, left short").groupBy("h").agg(F.count("*").alias("n"), F.min("left").alias("a"), F.max("left").alias("b"))
-    opening = sc.broadcast(bloom(written(seen.where("n > 1 and (a <> b or a < 0)").select("h"), "openings"), "h"))
+    openings = written(seen.where("n > 1 and (a <> b or a < 0)").select("h"), "openings")
+    opening = filter_of(openings, "h")
+
+    def window_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "raw", PIECE):
+                h, owner, off = hashes(batch.column("raw").to_pylist())
+                rows = batch.take(pa.array(owner))
+                yield pa.record_batch([rows.column("g"), rows.column("c"), pa.array(off.astype(np.int32)), pa.array(h.view(np.int64))], ["g", "c", "off", "h"])
 
     def heads_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "raw", PIECE):
                 raw = batch.column("raw").to_pylist()
-                h, owner, off = hashes(raw)
-                at = np.flatnonzero((off == 0) | in_bloom(opening.value, h))
-                o, f = owner[at], off[at]
+                sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+                if opening:
+                    h, owner, off = hashes(raw)
+                    at = np.flatnonzero((off == 0) | in_bloom(opening.value, h))
+                    o, f = owner[at], off[at]
+                else:
+                    offs = [sorted({0, *(x or [])}) for x in batch.column("offs").to_pylist()]
+                    o, f = np.repeat(np.arange(len(raw)), [len(x) for x in offs]), np.array([y for x in offs for y in x], np.int64)
                 end = np.append(f[1:], 0)
                 last = np.append(o[1:] != o[:-1], True)
-                sizes = np.fromiter(map(len, raw), np.int64, len(raw))
                 end = np.where(last, sizes[o], end - 1 + span)
                 cut = [raw[i][a:b] for i, a, b in zip(o.tolist(), f.tolist(), end.tolist(), strict=True)]
                 rows = batch.take(pa.array(o))
                 yield pa.record_batch([rows.column("g"), rows.column("c"), rows.column("weight"), pa.array(f.astype(np.int32)), pa.array(cut, pa.binary())], ["g", "c", "weight", "off", "suffix"])
 
+    if not opening:
+        offs = strings.mapInArrow(window_places, "g long, c long, off int, h long").join(openings, "h", "left_semi").groupBy("g", "c").agg(F.collect_list("off").alias("offs"))
+        strings = strings.join(offs, ["g", "c"], "left")
     heads = written(strings.mapInArrow(heads_of, "g long, c long, weight long, off int, suffix binary"), "heads")
     distinct = written(heads.groupBy("suffix").agg(F.sum("weight").alias("weight")), "suffixes")
     ranges = max(1, -(-distinct.count() // range_rows))
@@ -349,7 +393,7 @@ def without(raw: bytes, cuts: list[tuple[int, int]], whole_characters: bool = Fa
     return b"".join(kept), spans
 
 
-def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, text_col: str = "text", carry: list[str] | None = None, whole_characters: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, text_col: str = "text", carry: list[str] | None = None, whole_characters: bool = False, filter_keys: int = FILTER_KEYS) -> DataFrame:
     """docs' columns in carry and (kept binary, n_bytes, n_removed, n_spans): each text without the bytes that a string of `span` bytes covers which starts elsewhere too.
 
     Strings are those of the input, of any document, this one included, and may overlap. Null texts count as empty. Texts of
@@ -362,7 +406,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, text_col
     if clash := set(carry) & {"kept", "n_bytes", "n_removed", "n_spans"}:
         raise ValueError(f"columns named like results can't be carried: {sorted(clash)}")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
-    cuts = repeated(rows.select("raw"), span, gram)
+    cuts = repeated(rows.select("raw"), span, gram, filter_keys=filter_keys)
     both = rows.select("*", *_digests("raw")).join(cuts, ["k1", "k2"], "left").select("row", "raw", "cuts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
