@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 HANGUL, KANA, HAN = r"[\x{ac00}-\x{d7a3}]", r"[\x{3040}-\x{30ff}]", r"[\x{4e00}-\x{9fff}]"
 #: Fixed value: words that mark a phrase as a sentence.
-SENTENCE_HINTS = tuple("is,are,was,were,be,been,being,am,do,does,did,don't,doesn't,didn't,can,could,will,would,should,shall,may,might,must,have,has,had,haven't,hasn't,hadn't,you,your,we,our,they,their,i'll,we'll,you'll,how to,what is,why,when,where,which,who,whose,let's,let us,here's,there's,it's".split(","))
+SENTENCE_HINTS = (
+    "is", "are", "was", "were", "be", "been", "being", "am", "do", "does", "did", "don't", "doesn't", "didn't", "can", "could", "will", "would",
+    "should", "shall", "may", "might", "must", "have", "has", "had", "haven't", "hasn't", "hadn't", "you", "your", "we", "our", "they", "their",
+    "i'll", "we'll", "you'll", "how to", "what is", "why", "when", "where", "which", "who", "whose", "let's", "let us", "here's", "there's", "it's",
+)
 HINT = "(?i)(^|[^0-9A-Za-z_])(" + "|".join(SENTENCE_HINTS) + ")($|[^0-9A-Za-z_])"
 EMAIL, PHONE, PATIENT = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", r"\+?[0-9][0-9\- ]{7,}[0-9]", r"PT-[0-9]{4}-[0-9]{4}"
 WORD = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +24,13 @@ def append(events: DataFrame, path: str) -> None:
 
 def exists(spark, path: str) -> bool:
     """True if a step's artifact is complete, so that a resumed job can skip it."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    try:
+        spark.read.text(f"{path}/_SUCCESS").isEmpty()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
 
 
 def resumed(spark, path: str, build) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from segmill.functions import batches as B
 from segmill.functions import text as T
 from segmill.operators import glossary as glossary_rows
-from segmill.operators import layout, links, masking, memory, ordering, provider, text_state
+from segmill.operators import layout, ledger, links, masking, memory, ordering, provider, text_state
 from segmill.sources import files, glossary, versioned
 from segmill.streaming import events
 
@@ -496,3 +496,20 @@ def test_sketches_of_runs(spark):
     for table in (once, again):
         for r in links.estimated(table).collect():
             assert abs(r["unique_urls"] - exact[r["category"]]) <= 0.02 * exact[r["category"]]
+
+
+def test_resumed_steps(spark, tmp_path):
+    """A step whose result is complete isn't built again; one that was cut off is."""
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.range(3)
+
+    path = str(tmp_path / "it's a step")
+    assert not ledger.exists(spark, path)
+    for _ in range(2):
+        assert ledger.resumed(spark, path, build).count() == 3
+    assert len(built) == 1 and ledger.exists(spark, path)
+    (tmp_path / "it's a step/_SUCCESS").unlink()
+    assert not ledger.exists(spark, path) and ledger.resumed(spark, path, build).count() == 3 and len(built) == 2
