@@ -44,10 +44,13 @@ def template(rows: DataFrame, *keep: str) -> DataFrame:
     """
     words = F.filter(F.split(F.coalesce("text", F.lit("")), SPACE), lambda w: w != "")
     rows = rows.select(*keep, _once(words, "words"))
-    stripped = F.transform("words", lambda w: F.coalesce(F.nullif(F.btrim(w, F.lit(EDGES)), F.lit("")), w))
+    # most words begin and end with a letter of ASCII, which comparisons tell sooner than trimming
+    lower = lambda w: (w >= "a") & (w < "{")
+    bare = lambda w: (lower(w) | ((w >= "A") & (w < "["))) & F.substring(w, -1, 1).between("a", "z")
+    stripped = F.transform("words", lambda w: F.when(bare(w), w).otherwise(F.coalesce(F.nullif(F.btrim(w, F.lit(EDGES)), F.lit("")), w)))
     rows = rows.select(*keep, "words", _once(stripped, "bare"))
     before = F.slice(F.concat(F.array(F.lit(".")), "words"), F.lit(1), F.size("words"))
-    named = lambda w, b: F.when((w != F.lower(w)) & w.rlike(r"^\p{Lu}\p{Ll}") & ~b.rlike(r"[.!?:][^\p{L}\p{N}]*$"), F.lit("#name")).otherwise(F.lower(w))
+    named = lambda w, b: F.when(~lower(w) & (w != F.lower(w)) & w.rlike(r"^\p{Lu}\p{Ll}") & ~b.rlike(r"[.!?:][^\p{L}\p{N}]*$"), F.lit("#name")).otherwise(F.lower(w))
     rows = rows.select(*keep, "bare", _once(F.zip_with("bare", before, named), "named"))
 
     def kind(b: Column) -> Column:
