@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -39,9 +39,9 @@ def finder(shared) -> Finder:
 def held(shared) -> Callable:
     """A function of a text column: the terms it holds. shared: a broadcast list of distinct terms, none empty."""
 
-    @F.pandas_udf(STRINGS)
-    def of(texts: pd.Series) -> pd.Series:
-        return texts.map(finder(shared))
+    @F.arrow_udf(STRINGS)
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array(map(finder(shared), texts.to_pylist()), pa.list_(pa.string()))
 
     return of
 
@@ -49,15 +49,15 @@ def held(shared) -> Callable:
 def lost(shared) -> Callable:
     """A function of two text columns: the terms that the first holds and the second doesn't."""
 
-    @F.pandas_udf(STRINGS)
-    def of(sources: pd.Series, results: pd.Series) -> pd.Series:
+    @F.arrow_udf(STRINGS)
+    def of(sources: pa.Array, results: pa.Array) -> pa.Array:
         find = finder(shared)
 
         def one(source: str | None, result: str | None) -> list[str]:
             terms = find(source)
             return [t for t in terms if t not in kept] if terms and (kept := set(find(result))) else terms
 
-        return pd.Series(map(one, sources, results), index=sources.index, dtype=object)
+        return pa.array(map(one, sources.to_pylist(), results.to_pylist()), pa.list_(pa.string()))
 
     return of
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
@@ -12,7 +13,8 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from ..functions.terms import standing
 from ..functions.text import mask_pii
 from .glossary import with_terms
-from .ordering import running_totals
+from .ordering import ranges, totals
+from .tables import settled
 
 #: What is protected, in the order of numbering. A group named x is what the token replaces; without one, the whole match.
 MARKDOWN_RULES = [
@@ -37,14 +39,14 @@ MASKED = StructType([StructField("masked", StringType()), StructField("tokens",
 class Masked:
     """A text under masking: what is left of it, and its tokens, numbered from start + 1."""
 
-    def __init__(self, text: str | None, prefix: str, start: int = 0, tokens: list[dict] | None = None):
+    def __init__(self, text: str | None, prefix: str, start: int = 0, tokens: list[tuple[str, str, str]] | None = None):
         self.text, self.prefix, self.start, self.tokens = text or "", prefix, start, list(tokens or [])
 
     def hide(self, kind: str, pattern: str | re.Pattern) -> None:
         def put(m: re.Match) -> str:
             value = m["x"] if "x" in m.re.groupindex else m[0]
             name = f"__{self.prefix}_{kind}_{self.start + len(self.tokens) + 1:04d}__"
-            self.tokens.append({"id": name, "value": value, "kind": kind.lower()})
+            self.tokens.append((name, value, kind.lower()))
             at = (m.start("x") if "x" in m.re.groupindex else m.start()) - m.start()
             return m[0][:at] + name + m[0][at + len(value) :]
 
@@ -55,27 +57,34 @@ class Masked:
         for term in sorted((t for t in terms if t), key=len, reverse=True):
             self.hide("TERM", standing(term))
 
-    def row(self) -> dict:
-        return {"masked": self.text, "tokens": self.tokens}
 
+def _column(found: list[Masked]) -> pa.Array:
+    """(masked, tokens) of each text."""
+    flat = [t for m in found for t in m.tokens]
+    fields = [pa.array([t[k] for t in flat], pa.string()) for k in range(3)]
+    ends = np.concatenate([[0], np.cumsum([len(m.tokens) for m in found], dtype=np.int64)]).astype(np.int32)
+    tokens = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(fields, ["id", "value", "kind"]))
+    return pa.StructArray.from_arrays([pa.array([m.text for m in found], pa.string()), tokens], ["masked", "tokens"])
 
-def _rows(found) -> pd.DataFrame:
-    rows = [m.row() for m in found]
-    return pd.DataFrame({c: [r[c] for r in rows] for c in ("masked", "tokens")})
+
+def _token_lists(column: pa.Array) -> list[list[tuple[str, str, str]]]:
+    flat = column.flatten()
+    rows = list(zip(*(flat.field(c).to_pylist() for c in ("id", "value", "kind")), strict=True))
+    ends = np.cumsum(column.value_lengths().to_numpy()).tolist()
+    return [rows[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def by_rules(rules: list[tuple[str, str]], prefix: str):
     """A function of a text column: (masked, tokens) by the rules, numbered from 1."""
+    patterns = [(kind, re.compile(pattern)) for kind, pattern in rules]
 
-    @F.pandas_udf(MASKED)
-    def of(texts: pd.Series) -> pd.DataFrame:
-        def one(text):
-            m = Masked(text, prefix)
-            for kind, pattern in rules:
+    @F.arrow_udf(MASKED)
+    def of(texts: pa.Array) -> pa.Array:
+        found = [Masked(t, prefix) for t in texts.to_pylist()]
+        for m in found:
+            for kind, pattern in patterns:
                 m.hide(kind, pattern)
-            return m
-
-        return _rows(map(one, texts))
+        return _column(found)
 
     return of
 
@@ -83,14 +92,12 @@ def by_rules(rules: list[tuple[str, str]], prefix: str):
 def by_terms(prefix: str):
     """A function of masked, tokens and the terms a text holds: (masked, tokens) with the terms hidden too."""
 
-    @F.pandas_udf(MASKED)
-    def of(texts: pd.Series, tokens: pd.Series, terms: pd.Series) -> pd.DataFrame:
-        def one(text, known, held):
-            m = Masked(text, prefix, 0, [dict(t) for t in known])
-            m.hide_terms(list(held))
-            return m
-
-        return _rows(map(one, texts, tokens, terms))
+    @F.arrow_udf(MASKED)
+    def of(texts: pa.Array, tokens: pa.Array, terms: pa.Array) -> pa.Array:
+        found = [Masked(t, prefix, 0, known) for t, known in zip(texts.to_pylist(), _token_lists(tokens), strict=True)]
+        for m, held in zip(found, terms.to_pylist(), strict=True):
+            m.hide_terms(held)
+        return _column(found)
 
     return of
 
@@ -99,25 +106,22 @@ def renumbered(rules: list[tuple[str, str]], prefix: str):
     """A function of text, masked, tokens, terms and a number: the tokens' numbers raised by it, wherever they stand."""
     mark = re.compile(rf"(__{re.escape(prefix)}_[A-Z_]+_)(\d{{4,}})(?=__)")
 
-    @F.pandas_udf(MASKED)
-    def of(texts: pd.Series, masked: pd.Series, tokens: pd.Series, terms: pd.Series, starts: pd.Series) -> pd.DataFrame:
-        def one(text, done, known, held, start):
-            m = Masked(done, prefix, 0, [dict(t) for t in known])
-            if not start or not m.tokens:
-                return m
-            if f"__{prefix}_" in text:
-                # the text has what looks like tokens of its own: they keep their numbers, so it is masked again from the start
-                m = Masked(text, prefix, start)
-                for kind, pattern in rules:
-                    m.hide(kind, pattern)
-                m.hide_terms(list(held))
-                return m
-            raised = lambda x: mark.sub(lambda k: f"{k[1]}{int(k[2]) + start:04d}", x)
-            m.text = raised(m.text)
-            m.tokens = [{"id": raised(t["id"]), "value": raised(t["value"]), "kind": t["kind"]} for t in m.tokens]
+    def one(text: str, done: str, known: list, held: list[str], start: int) -> Masked:
+        if start and known and f"__{prefix}_" in text:
+            # the text has what looks like tokens of its own: they keep their numbers, so it is masked again from the start
+            m = Masked(text, prefix, start)
+            for kind, pattern in rules:
+                m.hide(kind, pattern)
+            m.hide_terms(held)
             return m
+        if not start or not known:
+            return Masked(done, prefix, 0, known)
+        raised = lambda x: mark.sub(lambda k: f"{k[1]}{int(k[2]) + start:04d}", x) if f"__{prefix}_" in x else x
+        return Masked(raised(done), prefix, 0, [(raised(i), raised(v), kind) for i, v, kind in known])
 
-        return _rows(map(one, texts, masked, tokens, terms, starts))
+    @F.arrow_udf(MASKED)
+    def of(texts: pa.Array, masked: pa.Array, tokens: pa.Array, terms: pa.Array, starts: pa.Array) -> pa.Array:
+        return _column([one(*x) for x in zip(texts.to_pylist(), masked.to_pylist(), _token_lists(tokens), terms.to_pylist(), starts.to_pylist(), strict=True)])
 
     return of
 
@@ -125,19 +129,20 @@ def renumbered(rules: list[tuple[str, str]], prefix: str):
 def mask_tokens(segments: DataFrame, terms: DataFrame | list[str] | None = None, rules: list[tuple[str, str]] | None = None, doc: str = "doc_id", order: str = "ord", text: str = "text", prefix: str = "DOCSTR") -> DataFrame:
     """segments with masked and tokens, numbered along each document by `order`. Null texts count as empty.
 
-    Each segment is masked by itself; sums of the counts of tokens before it then raise its numbers, so a document may have any
-    number of segments, and no task holds one whole. terms: a list, or a table with a column term, which counts as sorted; which of
+    Segments are laid in ranges of equal counts and masked each by itself, once; sums of the counts of tokens before a segment then raise
+    its numbers. So a document may have any number of segments, and no task holds one whole. terms: a list, or a table with a column term, which counts as sorted; which of
     them a segment holds is found by an automaton, so their number doesn't matter to a segment.
     """
     rules = MARKDOWN_RULES if rules is None else rules
     columns = segments.columns
-    rows = segments.withColumn("_t", F.coalesce(F.col(text), F.lit(""))).withColumn("_m", by_rules(rules, prefix)("_t")).withColumn("_masked", F.col("_m.masked"))
+    laid = ranges(segments.withColumn("_t", F.coalesce(F.col(text), F.lit(""))), [doc], order)
+    rows = laid.withColumn("_m", by_rules(rules, prefix)("_t")).withColumn("_masked", F.col("_m.masked"))
     if terms is None or isinstance(terms, list) and not any(terms):
         rows = rows.withColumn("_terms", F.array().cast("array<string>"))
     else:
         rows = with_terms(rows, terms, "_masked", "_terms")
         rows = rows.withColumn("_m", by_terms(prefix)("_masked", "_m.tokens", "_terms"))
-    rows = running_totals(rows.drop("_masked"), [doc], order, {"_before": F.size("_m.tokens")})
+    rows = totals(settled(rows.drop("_masked"), "masked"), [doc], {"_before": F.size("_m.tokens")})
     rows = rows.withColumn("_m", renumbered(rules, prefix)("_t", "_m.masked", "_m.tokens", "_terms", "_before"))
     return rows.select(*columns, F.col("_m.masked").alias("masked"), F.col("_m.tokens").alias("tokens"))
 

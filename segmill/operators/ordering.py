@@ -85,7 +85,7 @@ def merged_runs(runs: DataFrame, keys: list[str], start: str = "left", end: str
     return marked.groupBy(*keys, "group").agg(F.min(start).alias("left"), F.max(end).alias("right"), F.count("*").alias("runs"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(start, order, "text"))), lambda r: r["text"]), " ").alias("text"))
 
 
-def _ranges(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+def ranges(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """rows, written in the order of keys and `order`: _part is the range of a row, and _at its place in it.
 
     Ranges hold equal numbers of rows, whatever the values are and however many rows a key has. Rows equal in key and order are
@@ -99,14 +99,10 @@ def _ranges(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return laid.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
 
 
-def running_totals(rows: DataFrame, keys: list[str], order: str, values: dict[str, Column]) -> DataFrame:
-    """rows with the sums of values over the rows before each, in the order of a column within equal keys (nulls are equal, and first in the order).
-
-    Sums run inside ranges of equal numbers of rows; those of whole ranges are added from the ranges before. A key of any share of
-    the rows is cut into as many ranges as it fills.
-    """
+def totals(laid: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
+    """Of a table laid in ranges(), written: its rows with the sums of values over the rows of their key before each."""
     held = {name: f"_v{i}" for i, name in enumerate(values)}
-    laid = _ranges(rows.withColumns({held[n]: v.cast("long") for n, v in values.items()}), keys, order)
+    rows, laid = laid, laid.withColumns({held[n]: v.cast("long") for n, v in values.items()})
     types = [f"_k{i}" for i in range(len(keys))]
     past = (Window.unboundedPreceding, -1)
     inside = Window.partitionBy("_part", *keys).orderBy("_at").rowsBetween(*past)
@@ -116,13 +112,22 @@ def running_totals(rows: DataFrame, keys: list[str], order: str, values: dict[st
     bases = sums.select(F.col("_part").alias("_p"), *types, *(none(F.sum(v).over(before)).alias(f"_b{v}") for v in held.values()))
     on = [F.col("_part") == F.col("_p"), *(F.col(k).eqNullSafe(F.col(t)) for k, t in zip(keys, types, strict=True))]
     out = laid.withColumns({f"_i{v}": none(F.sum(v).over(inside)) for v in held.values()}).join(bases, on)
-    return out.select(*rows.columns, *((F.col(f"_b{v}") + F.col(f"_i{v}")).alias(n) for n, v in held.items()))
+    return out.select(*(c for c in rows.columns if c not in ("_part", "_at")), *((F.col(f"_b{v}") + F.col(f"_i{v}")).alias(n) for n, v in held.items()))
+
+
+def running_totals(rows: DataFrame, keys: list[str], order: str, values: dict[str, Column]) -> DataFrame:
+    """rows with the sums of values over the rows before each, in the order of a column within equal keys (nulls are equal, and first in the order).
+
+    Sums run inside ranges of equal numbers of rows; those of whole ranges are added from the ranges before. A key of any share of
+    the rows is cut into as many ranges as it fills.
+    """
+    return totals(ranges(rows, keys, order), keys, values)
 
 
 def numbered(rows: DataFrame, keys: list[str], order: str, name: str = "n") -> DataFrame:
     """rows with their place (from 0) by a column within equal keys (nulls are equal, and first in the order). No window over rows:
     a row's place in its range, less that of its key's first row there, is offset by the key's rows in the ranges before."""
-    laid = _ranges(rows, keys, order)
+    laid = ranges(rows, keys, order)
     types = [f"_k{i}" for i in range(len(keys))]
     counts = laid.groupBy("_part", *(F.col(k).alias(t) for k, t in zip(keys, types, strict=True))).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = Window.partitionBy(*types).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range

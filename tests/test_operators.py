@@ -345,7 +345,7 @@ def test_ranges_hold_equal_counts(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "100")
     try:
         rows = spark.range(1, 100_000).select(F.lit("k").alias("k"), F.col("id").alias("v")).unionByName(spark.createDataFrame([("k", 10**15)], "k string, v long"))
-        laid = ordering._ranges(rows, ["k"], "v")
+        laid = ordering.ranges(rows, ["k"], "v")
         assert max(r["count"] for r in laid.groupBy("_part").count().collect()) < 2000
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
