@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import io
 import posixpath
+import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from datetime import datetime
+from itertools import chain, count
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,6 +108,68 @@ def books(spark: SparkSession, path: str, modified_after: str | None = None) ->
     return epub_texts(found.where(~F.element_at(F.split("path", "/"), -1).startswith("~$")))
 
 
+ZIPPED = "path string, content binary"
+
+
+def zipped(entries: DataFrame) -> DataFrame:
+    """entries(path, name, content binary) -> (path, content): a ZIP archive a path, as readers of books ask for it: `mimetype` first and
+    stored, the rest deflated in the order of their names. The same entries give the same bytes; of entries with one name the last in the order of their bytes counts.
+    An archive is made by one task, as a book is read by one."""
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        parts = dict(sorted((n, bytes(c)) for n, c in zip(rows["name"], rows["content"], strict=True)))
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as book:
+            for name in sorted(parts, key=lambda n: (n != "mimetype", n)):
+                entry = zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
+                book.writestr(entry, parts[name], zipfile.ZIP_STORED if name == "mimetype" else zipfile.ZIP_DEFLATED, 6)
+        return pd.DataFrame({"path": [rows["path"].iloc[0]], "content": [out.getvalue()]})
+
+    return entries.select("path", "name", "content").where("path is not null and name is not null and content is not null").groupBy("path").applyInPandas(one, ZIPPED)
+
+
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """files(path, content) as files below folder, a path or address that pyarrow knows and executors share; (path, target, size) of what was
+    written. A file appears whole: it is written under a name of its own and moved, so a task that runs again leaves the same."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
+        for rows in batches:
+            out = []
+            for path, content in zip(rows["path"], rows["content"], strict=True):
+                target = posixpath.join(base, path.lstrip("/"))
+                if posixpath.normpath(target) != target or ".." in path.split("/"):
+                    raise ValueError(f"not a path below the folder: {path}")
+                system.create_dir(posixpath.dirname(target))
+                part = f"{target}.{uuid.uuid4().hex}.part"
+                with system.open_output_stream(part) as f:
+                    f.write(content)
+                system.move(part, target)
+                out.append((path, target, len(content)))
+            yield pd.DataFrame(out, columns=["path", "target", "size"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, target string, size long")
+
+
+def moved_to_done(paths: list[str], done: str = "done", now: datetime | None = None) -> dict[str, str]:
+    """Inputs moved into the folder `done` beside each; where one of that name is there already, the time is put behind the stem, and a number
+    if that is taken too. The new place of each. A path that is gone, as after a run that was cut off, is left out."""
+    stamp, out = (now or datetime.now()).strftime("%Y%m%d%H%M%S"), {}
+    for path in paths:
+        system, place = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+        there = lambda p, s=system: s.get_file_info(p).type != pafs.FileType.NotFound
+        if not there(place):
+            continue
+        folder, name = posixpath.split(place)
+        stem, ext = posixpath.splitext(name)
+        system.create_dir(posixpath.join(folder, done))
+        names = chain([name, f"{stem}_{stamp}{ext}"], (f"{stem}_{stamp}_{k}{ext}" for k in count(2)))
+        target = next(t for n in names if not there(t := posixpath.join(folder, done, n)))
+        system.move(place, target)
+        out[path] = target
+    return out
+
+
 def append_events(events: DataFrame, path: str) -> None:
     """JSON lines, appended; non-ASCII characters as they are."""
     events.write.mode("append").json(path)

@@ -5,6 +5,7 @@ import json
 import random
 import re
 import zipfile
+from datetime import datetime
 
 import pandas as pd
 import pytest
@@ -513,3 +514,33 @@ def test_resumed_steps(spark, tmp_path):
     assert len(built) == 1 and ledger.exists(spark, path)
     (tmp_path / "it's a step/_SUCCESS").unlink()
     assert not ledger.exists(spark, path) and ledger.resumed(spark, path, build).count() == 3 and len(built) == 2
+
+
+def test_books_are_written_and_read_again(spark, tmp_path):
+    """Archives with their kind first and stored, the same bytes each time; the texts come back as they were."""
+    package = '<p xmlns="x"><item id="a" href="a.xhtml" media-type="application/xhtml+xml"/><itemref idref="a"/></p>'
+    rows = [(f"lib/{b}.epub", n, c.encode()) for b in ("one", "two") for n, c in (("o/a.xhtml", f"<p>{b} é</p>"), ("META-INF/container.xml", '<c xmlns="x"><rootfile full-path="o/p.opf"/></c>'), ("o/p.opf", package), ("mimetype", "application/epub+zip"))]
+    entries = spark.createDataFrame([*rows, ("lib/one.epub", None, b"x"), (None, "n", b"x")], "path string, name string, content binary").repartition(3)
+    books = files.zipped(entries)
+    first, again = ({r["path"]: bytes(r["content"]) for r in books.collect()} for _ in range(2))
+    assert first == again and set(first) == {"lib/one.epub", "lib/two.epub"}
+    for raw in first.values():
+        book = zipfile.ZipFile(io.BytesIO(raw))
+        assert [(i.filename, i.compress_type) for i in book.infolist()][0] == ("mimetype", zipfile.ZIP_STORED) and all(i.compress_type == zipfile.ZIP_DEFLATED for i in book.infolist()[1:])
+        assert raw[30:58] == b"mimetypeapplication/epub+zip"
+    for _ in range(2):
+        written = {r["path"]: (r["target"], r["size"]) for r in files.write_files(books, str(tmp_path / "out")).collect()}
+    assert written == {p: (str(tmp_path / "out" / p), len(c)) for p, c in first.items()} and len(list((tmp_path / "out/lib").iterdir())) == 2
+    texts = {r["path"].rsplit("/", 1)[-1]: (r["xhtml"], r["error"]) for r in files.books(spark, str(tmp_path / "out")).collect()}
+    assert texts == {"one.epub": ("<p>one é</p>", None), "two.epub": ("<p>two é</p>", None)}
+    with pytest.raises(Exception, match="below the folder"):
+        files.write_files(spark.createDataFrame([("../x", b"x")], "path string, content binary"), str(tmp_path / "out")).collect()
+
+
+def test_inputs_move_to_done(tmp_path):
+    now = datetime(2026, 1, 2, 3, 4, 5)
+    for k in range(3):
+        (tmp_path / "a b.pdf").write_text(str(k))
+        got = files.moved_to_done([str(tmp_path / "a b.pdf"), str(tmp_path / "gone.pdf")], now=now)
+        assert got == {str(tmp_path / "a b.pdf"): str(tmp_path / "done" / ["a b.pdf", "a b_20260102030405.pdf", "a b_20260102030405_2.pdf"][k])}
+    assert sorted(p.read_text() for p in (tmp_path / "done").iterdir()) == ["0", "1", "2"] and not (tmp_path / "a b.pdf").exists()
