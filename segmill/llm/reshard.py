@@ -113,6 +113,10 @@ def reshard(docs: DataFrame, old_shards: int = 16, shards: int = 24, id_col: str
     return p.join(a, (F.col("p.old_shard") == F.col("a.old_shard")) & (middle >= F.col("a.lo")) & (middle < F.col("a.hi"))).select("p.*", "a.shard")
 
 
+#: Blocks whose bases are broadcast (some 40 bytes each); more are joined by shuffling.
+BROADCAST_BLOCKS = 200_000
+
+
 def affected(placed: DataFrame) -> list[int]:
     """The shards that rows of reshard() enter or leave."""
     moves = placed.where("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("shard"))
@@ -137,5 +141,7 @@ def rewrite(placed: DataFrame, folder: str | None = None, present: str | None =
     block = ["shard", "old_shard", "class", "bucket"]
     counts = table.groupBy(*block).agg(F.count("*").alias("n"), F.min("rank").alias("first"))
     before = Window.partitionBy("shard").orderBy("old_shard", "class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select(*block, "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    bases = written(counts.select(*block, "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
+    # a row a block: sent to the tasks while they are few, or else the texts would be shuffled before Spark sees how small the other side is
+    bases = F.broadcast(bases) if bases.count() <= BROADCAST_BLOCKS else bases
     return table.join(bases, block).withColumn("slot", F.col("base") + F.col("rank") - F.col("first")).drop("class", "bucket", "rank", "first", "base")
