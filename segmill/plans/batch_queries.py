@@ -117,18 +117,19 @@ def polish_title(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.polished_title(F.concat(F.lit("제목 "), F.col("doc_id").cast("string"), F.lit("하기."))).alias("title"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 <> 2 THEN [CAST(doc_id AS VARCHAR), lang] END AS parts FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 3 <> 2 THEN [trim(text, chr(10)), lang] END AS parts FROM documents")
 def parse_blocks(spark, sf_dir):
-    i = F.col("doc_id").cast("string")
-    a, b = F.concat(F.lit("=== 1 ===\n"), i, F.lit("\n")), F.concat(F.lit("=== 2 ===\n"), "lang", F.lit("\n"))
+    """Whole texts under numbered headings: in order, out of order behind a preface, and with one missing."""
+    a, b = F.concat(F.lit("=== 1 ===\n"), "text", F.lit("\n")), F.concat(F.lit("=== 2 ===\n"), "lang", F.lit("\n"))
     m = F.col("doc_id") % 3
     answer = F.when(m == 0, F.concat(a, b)).when(m == 1, F.concat(F.lit("Sure:\n"), b, a)).otherwise(a)
     return table(spark, sf_dir, "documents").select("doc_id", B.blocks(answer, F.lit(2)).alias("parts"))
 
 
-@query("SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, lang AS translated FROM documents WHERE doc_id % 4 <> 3")
+@query("SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, text AS translated FROM documents WHERE doc_id % 4 <> 3")
 def parse_json_response(spark, sf_dir):
-    one = F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("translated")))
+    """Whole texts in answers: fenced, amid prose, under items; a quarter of the answers holds no JSON."""
+    one = F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("translated")))
     m = F.col("doc_id") % 4
     answer = F.when(m == 0, F.concat(F.lit("```json\n["), one, F.lit("]\n```"))).when(m == 1, F.concat(F.lit("Here: "), one, F.lit(" done"))).when(m == 2, F.concat(F.lit('{"items": ['), one, F.lit("]}"))).otherwise("none")
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(T.json_results(answer)).alias("r")).select("doc_id", "r.id", "r.translated")
