@@ -61,9 +61,9 @@ SELECT page_id, CASE WHEN title = '' THEN '<p><b>x</b>' || url || '<i>end</i></p
 def edit_by_path(spark, sf_dir):
     """The title of each page in a tree of its own; three texts are replaced, two paths end at no text."""
     p = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-    plain = F.replace("title", F.lit("&amp;"), F.lit("&"))
-    tree = F.concat(F.lit("<p>"), "title", F.lit("<b>x</b>tail<i>end</i></p>"))
+    tree = F.concat(F.lit("<p>"), F.coalesce("title", F.lit("none")), F.lit("<b>x</b>tail<i>end</i></p>"))
     edit = lambda path, text: F.struct(F.array(*map(F.lit, path)).alias("path"), text.alias("text"))
-    full = F.array(edit([0], F.concat(F.lit("No. "), "page_id", F.lit(": "), plain)), edit([1, 0], F.col("url")), edit([3, 0], plain), edit([7], F.lit("none")), edit([1], F.lit("none")))
-    bare = F.array(edit([1], F.col("url")), edit([7], F.lit("none")))
+    url, title = X.escaped(F.col("url")), F.col("title")  # a title is markup, and may end amid an entity
+    full = F.array(edit([0], F.concat(F.lit("No. "), "page_id", F.lit(": "), title)), edit([1, 0], url), edit([3, 0], title), edit([7], F.lit("none")), edit([1], F.lit("none")))
+    bare = F.array(edit([1], url), edit([7], F.lit("none")))
     return p.select("page_id", X.edited(tree, F.when(F.col("title") == "", bare).otherwise(full)).alias("e")).select("page_id", "e.*")

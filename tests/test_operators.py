@@ -12,9 +12,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from segmill.functions import batches as B
+from segmill.functions import edits
 from segmill.functions import text as T
 from segmill.operators import glossary as glossary_rows
 from segmill.operators import layout, ledger, links, masking, memory, ordering, provider, text_state
+from segmill.plans import ORACLES, QUERIES
 from segmill.sources import files, glossary, versioned
 from segmill.streaming import events
 
@@ -544,3 +546,30 @@ def test_inputs_move_to_done(tmp_path):
         got = files.moved_to_done([str(tmp_path / "a b.pdf"), str(tmp_path / "gone.pdf")], now=now)
         assert got == {str(tmp_path / "a b.pdf"): str(tmp_path / "done" / ["a b.pdf", "a b_20260102030405.pdf", "a b_20260102030405_2.pdf"][k])}
     assert sorted(p.read_text() for p in (tmp_path / "done").iterdir()) == ["0", "1", "2"] and not (tmp_path / "a b.pdf").exists()
+
+
+def test_edits_keep_what_is_no_text(spark):
+    """Broken and unknown entities, attributes with marks, comments, empty elements; plain texts are escaped, markup isn't."""
+    rows = [
+        ("<p>a &am<b>x</b>tail &nbsp;</p>", [([0], "b &quo"), ([1, 0], "y"), ([9], "none"), ([1], "none")], "<p>b &quo<b>y</b>tail &nbsp;</p>", 2),
+        ("<?xml version='1.0'?><p t='a>b'><br/>one<!-- c -->two</p>", [([1], "1"), ([3], "2"), ([0, 0], "none")], "<?xml version='1.0'?><p t='a>b'><br/>1<!-- c -->2</p>", 2),
+        ("<p>one</p>", [([0], None)], None, 1), (None, [([0], "x")], None, 0), ("no tree & <", [([0], "x")], "no tree & <", 0),
+    ]
+    df = spark.createDataFrame([(i, x, e) for i, (x, e, _, _) in enumerate(rows)], "i int, x string, e array<struct<path:array<int>,text:string>>")
+    got = df.select("i", edits.edited("x", "e").alias("r")).orderBy("i").collect()
+    assert [(r["r"]["xhtml"], r["r"]["applied"]) for r in got] == [r[2:] for r in rows]
+    assert spark.range(1).select(edits.escaped(F.lit("a&b<c>")).alias("t")).first()["t"] == "a&amp;b&lt;c&gt;"
+
+
+def test_titles_cut_amid_an_entity(spark, tmp_path):
+    """edit_by_path on titles that are no well-formed XML equals its SQL."""
+    import duckdb
+
+    titles = ["a &am", "b &quot; c", "d &amp; e", "", "f & g", None]
+    pages = spark.createDataFrame([(i, f"http://h/{i}?a=1&b", t if t is None else f"<html><title>{t}</title></html>") for i, t in enumerate(titles)], "page_id long, url string, html string")
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    cur = con.execute(ORACLES["edit_by_path"])
+    names = [d[0] for d in cur.description]
+    assert sorted(map(tuple, QUERIES["edit_by_path"](spark, str(tmp_path)).select(*names).collect())) == sorted(cur.fetchall())
