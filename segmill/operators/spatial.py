@@ -48,34 +48,49 @@ def centres_inside(rows: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFr
     return both.select(*rows.columns, *others)
 
 
-def nearest(rows: DataFrame, targets: DataFrame, keys: list[str], id_col: str, near_col: str, x: str = "left", y: str = "top", first: float = BASE) -> DataFrame:
+#: Targets of a key up to which its rows are held against each of them; rows of larger keys look into cells.
+FEW = 64
+
+
+def nearest(rows: DataFrame, targets: DataFrame, keys: list[str], id_col: str, near_col: str, x: str = "left", y: str = "top", first: float = BASE, few: int = FEW) -> DataFrame:
     """(id_col, near_col, d): of each row the target of equal keys with the least |dx| + |dy|, of equally near ones the smallest near_col.
 
-    A row looks into its cell and the eight around it. What it finds within a cell's width is nearest; rows that find nothing so
-    near look again in cells of twice the width. An id may have several rows, with other keys: the nearest of all counts. Targets at one
-    point count once. Rows without a target are left out.
+    The targets of a key that has at most `few` go to its rows as one array. Rows of larger keys look into their cell and the eight around it:
+    what they find within a cell's width is nearest; rows that find nothing so near look again in cells of twice the width. An id may have
+    several rows, with other keys: the nearest of all counts. Targets at one point count once. Rows without a target are left out.
     """
-    t = targets.groupBy(*keys, F.col(x).cast("double").alias("_tx"), F.col(y).cast("double").alias("_ty")).agg(F.min(near_col).alias(near_col))
-    t = settled(t.where("_tx is not null and _ty is not null"), "targets")
+    t = targets.select(*keys, F.col(x).cast("double").alias("_tx"), F.col(y).cast("double").alias("_ty"), near_col).where("_tx is not null and _ty is not null")
     open_ = rows.select(id_col, *keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where("_x is not null and _y is not null")
-    open_ = settled(open_.join(t.select(*keys).distinct(), keys, "left_semi"), "rows")
-    found, width, steps = [], first, F.array(F.lit(-1), F.lit(0), F.lit(1))
+    lists = _lists(t, keys, near_col, few)
+    d = F.abs(F.col("_x") - F.col("_t._tx")) + F.abs(F.col("_y") - F.col("_t._ty"))
+    to = lambda p: F.struct((F.abs(F.col("_x") - p["_tx"]) + F.abs(F.col("_y") - p["_ty"])).alias("d"), p[near_col].alias(near_col))
+    held = settled(open_.join(lists, keys).withColumn("_m", F.array_min(F.transform("_near", to))).select(id_col, *keys, "_x", "_y", "_m"), "nearest")
+    found, width, steps = [held.where("_m is not null").select(id_col, "_m")], first, F.array(F.lit(-1), F.lit(0), F.lit(1))
+    open_ = held.where("_m is null").drop("_m")
+    if not open_.isEmpty():
+        t = t.join(lists.where("_near is null").select(*keys), keys).groupBy(*keys, "_tx", "_ty").agg(F.min(near_col).alias(near_col))
+        t = settled(t.select(*keys, F.struct("_tx", "_ty", near_col).alias("_t")), "targets")
     while not open_.isEmpty():
         cell = lambda c, w=width: F.floor(F.col(c) / w)
         looks = open_.withColumn("_dx", F.explode(steps)).withColumn("_dy", F.explode(steps)).withColumns({"_cx": cell("_x") + F.col("_dx"), "_cy": cell("_y") + F.col("_dy")})
-        laid = t.withColumns({"_cx": cell("_tx"), "_cy": cell("_ty")})
-        d = F.abs(F.col("_x") - F.col("_tx")) + F.abs(F.col("_y") - F.col("_ty"))
-        best = looks.join(laid, [*keys, "_cx", "_cy"]).groupBy(id_col, *keys, "_x", "_y").agg(F.min(F.struct(d.alias("d"), F.col(near_col))).alias("_m"))
+        laid = t.withColumns({"_cx": cell("_t._tx"), "_cy": cell("_t._ty")})
+        best = looks.join(laid, [*keys, "_cx", "_cy"]).groupBy(id_col, *keys, "_x", "_y").agg(F.min(F.struct(d.alias("d"), F.col(f"_t.{near_col}"))).alias("_m"))
         best = settled(best.where(F.col("_m.d") <= width), "nearest")
         found.append(best.select(id_col, "_m"))
         open_ = settled(open_.join(best.select(id_col, *keys, "_x", "_y"), [id_col, *keys, "_x", "_y"], "left_anti"), "rows")
         width *= 2
-    if not found:
-        return rows.select(id_col).join(targets.select(near_col, F.lit(0.0).alias("d")), F.lit(False))
     least = reduce(DataFrame.unionByName, found).groupBy(id_col).agg(F.min("_m").alias("_m"))
     return least.select(id_col, f"_m.{near_col}", "_m.d")
 
 
+def _lists(t: DataFrame, keys: list[str], near_col: str, few: int) -> DataFrame:
+    """(keys, _near): the targets of each key as an array, null where they are more than few."""
+    counts = t.groupBy(*keys).agg(F.count("*").alias("_n"))
+    small = t.join(counts.where(F.col("_n") <= few).drop("_n"), keys).groupBy(*keys).agg(F.collect_list(F.struct("_tx", "_ty", near_col)).alias("_near"))
+    none = F.lit(None).cast(small.schema["_near"].dataType)
+    return small.unionByName(counts.where(F.col("_n") > few).select(*keys, none.alias("_near")))
+
+
 def openings(rows: DataFrame, targets: DataFrame, length: int, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """rows and targets with a column _gram on which they are equal just where the row's text holds the first `length` characters of the target's.
 

@@ -48,6 +48,21 @@ def test_nearest_targets(spark):
     assert spatial.nearest(a, b.limit(0), ["page"], "id", "near").count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 5, 1000])
+def test_nearest_by_lists_and_by_cells(spark, monkeypatch, few):
+    """Keys of few targets and of many at once; where all are few, rows are written once, however far their targets lie."""
+    rng = random.Random(3)
+    at = lambda: (rng.choice([rng.uniform(0, 300), 9_000.0, -7.0]), rng.uniform(-50, 300))
+    rows, targets = [(i, rng.choice([0, 1, 2, 3]), *at()) for i in range(120)], [(1000 + i, rng.choice([0, 0, 0, 0, 0, 1, 2]), *map(round, at())) for i in range(60)]
+    a = spark.createDataFrame(rows, "id long, page int, left double, top double")
+    b = spark.createDataFrame([(n, p, float(u), float(v)) for n, p, u, v in targets], "near long, page int, left double, top double")
+    written = []
+    monkeypatch.setattr(spatial, "settled", lambda df, name, put=spatial.settled: (written.append(name), put(df, name))[1])
+    got = {r["id"]: (r["d"], r["near"]) for r in spatial.nearest(a, b, ["page"], "id", "near", few=few).collect()}
+    assert got == {i: min((abs(x - u) + abs(y - v), n) for n, p, u, v in targets if p == page) for i, page, x, y in rows if page < 3}
+    assert (len(written) == 1) == (few == 1000)
+
+
 def test_openings(spark):
     texts = ["", "a", "ab", "abcdefg", "xabcde", None, "bc", "cdefgh", "가나다라마바"]
     a = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
