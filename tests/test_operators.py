@@ -8,11 +8,12 @@ import zipfile
 from datetime import datetime
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from segmill.functions import batches as B
-from segmill.functions import edits
+from segmill.functions import edits, slices
 from segmill.functions import text as T
 from segmill.operators import glossary as glossary_rows
 from segmill.operators import layout, ledger, links, masking, memory, ordering, provider, text_state
@@ -21,6 +22,7 @@ from segmill.sources import files, glossary, versioned
 from segmill.streaming import events
 
 SF = "/root/testdata/sf0.001"
+slices_of = slices.slices
 
 
 def boxes(spark):
@@ -573,3 +575,21 @@ def test_titles_cut_amid_an_entity(spark, tmp_path):
     cur = con.execute(ORACLES["edit_by_path"])
     names = [d[0] for d in cur.description]
     assert sorted(map(tuple, QUERIES["edit_by_path"](spark, str(tmp_path)).select(*names).collect())) == sorted(cur.fetchall())
+
+
+def test_batches_are_worked_off_in_slices(spark, monkeypatch):
+    """Slices cover a batch in order, whatever its rows are, and few bytes of it are Python objects at once."""
+    texts = ["x" * n for n in (0, 3, 2_000_000, 5, 700_000, 700_000)] + [None] * 9000
+    columns = [pa.array(texts), pa.array([[1]] * len(texts)), pa.nulls(len(texts))]
+    cut = list(slices.slices(columns))
+    assert [k for at, n in cut for k in range(at, at + n)] == list(range(len(texts))) and list(slices.slices([pa.array([], pa.string())])) == []
+    assert all(n == 1 or sum(len(t or "") + slices.ROW for t in texts[at : at + n]) <= slices.SLICE for at, n in cut)
+    pages = [f"<p>page {i} {'word ' * 40}</p>" for i in range(9000)]
+    for of, column in ((B.html_segments, pages), (B.html_links, pages), (B.blocks, pages), (B.sanitized, pages)):
+        sizes = []
+        monkeypatch.setattr(slices, "slices", lambda c, f=slices_of, sizes=sizes: (sizes.append(n) or (at, n) for at, n in f(c)))
+        assert len(of.func(pa.array(column), *([pa.array([1] * 9000)] if of is B.blocks else []))) == 9000
+        assert max(sizes) < 5000 and sum(sizes) == 9000
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(pages)], "id long, source string").repartition(1)
+    out = provider.translated(rows, provider.copy).collect()
+    assert sorted((r["id"], r["translated"], r["status"]) for r in out) == [(i, t, "translated") for i, t in enumerate(pages)]
