@@ -5,8 +5,11 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
+
+from ..functions.slices import slices
 
 #: Gets (id, text) pairs, returns what it has by id.
 Provider = Callable[[list[tuple[str, str]]], dict[str, str]]
@@ -51,13 +54,19 @@ def halved(provider: Provider, batch: list[tuple[str, str]]) -> dict[str, tuple[
 
 def translated(pending: DataFrame, provider: Provider, batch: int = 40, key: str = "id", text: str = "source") -> DataFrame:
     """pending with translated and status. Tasks may run again, so a provider must give the same result for the same ids."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in parts:
-            pairs = list(zip(rows[key].astype(str), rows[text]))
-            out: dict[str, tuple[str, str]] = {}
-            for i in range(0, len(pairs), batch):
-                out |= halved(provider, pairs[i : i + batch])
-            yield rows.assign(translated=[out[i][0] for i, _ in pairs], status=[out[i][1] for i, _ in pairs])
-
-    return pending.mapInPandas(run, pending.schema.simpleString()[7:-1].replace(":", " ") + ", translated string, status string")
+    names = [StructField(c, StringType()) for c in ("translated", "status")]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in parts:
+            for at, n in slices(whole.columns):
+                rows = whole.slice(at, n)
+                pairs = list(zip(map(str, rows.column(key).to_pylist()), rows.column(text).to_pylist()))
+                new = []
+                for i in range(0, n, batch):
+                    out = halved(provider, pairs[i : i + batch])
+                    new += [out[k] for k, _ in pairs[i : i + batch]]
+                for j, c in enumerate(names):
+                    rows = rows.append_column(c.name, pa.array([x[j] for x in new], pa.string()))
+                yield rows
+
+    return pending.mapInArrow(run, StructType([*pending.schema.fields, *names]))
