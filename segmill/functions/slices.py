@@ -32,6 +32,12 @@ def slices(columns: list[pa.Array]) -> Iterator[tuple[int, int]]:
         at = stop
 
 
+def over_slices(of: Callable, columns: list[pa.Array], to: pa.DataType) -> pa.Array:
+    """of(slices of columns), put together."""
+    parts = [of(*(c.slice(*at) for c in columns)) for at in slices(columns)]
+    return pa.concat_arrays(parts) if parts else pa.array([], to)
+
+
 def sliced(kind: DataType) -> Callable:
     """A function of Python values as one of columns, with results of type kind; it runs over slices of the batches."""
 
@@ -39,8 +45,7 @@ def sliced(kind: DataType) -> Callable:
         @F.arrow_udf(kind)
         def of(*columns: pa.Array) -> pa.Array:
             to = to_arrow_type(kind)
-            parts = [pa.array(map(one, *(c.slice(*at).to_pylist() for c in columns)), to) for at in slices(columns)]
-            return pa.concat_arrays(parts) if parts else pa.array([], to)
+            return over_slices(lambda *own: pa.array(map(one, *(c.to_pylist() for c in own)), to), columns, to)
 
         return of
 

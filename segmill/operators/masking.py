@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from ..functions.terms import standing
+from ..functions.slices import over_slices, sliced
+from ..functions.terms import finder, standing
 from ..functions.text import mask_pii
-from .glossary import with_terms
+from .glossary import parts, with_terms
 from .ordering import ranges, totals
 from .tables import settled
 
@@ -34,6 +38,9 @@ MARKDOWN_RULES = [
 BOOK_RULES = [("URL", r"\bhttps?://[^\s<>\"']+"), ("EMAIL", r"\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+\b"), ("VARIABLE", r"\{\{[^{}]+\}\}|\{[A-Za-z_][\w.]*\}|\$\{[^}]+\}|<%[^%]+%>")]
 TOKEN = StructType([StructField(c, StringType()) for c in ("id", "value", "kind")])
 MASKED = StructType([StructField("masked", StringType()), StructField("tokens", ArrayType(TOKEN))])
+FOUND = StructType([*MASKED.fields, StructField("terms", ArrayType(StringType()))])
+#: A token's name, with what comes before its number.
+NUMBERED = re.compile(r"(__.*?[^0-9])[0-9]+__", re.S)
 
 
 class Masked:
@@ -74,17 +81,25 @@ def _token_lists(column: pa.Array) -> list[list[tuple[str, str, str]]]:
     return [rows[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def by_rules(rules: list[tuple[str, str]], prefix: str):
-    """A function of a text column: (masked, tokens) by the rules, numbered from 1."""
+def by_rules(rules: list[tuple[str, str]], prefix: str, shared=None):
+    """A function of a text column: masked, tokens and terms, by the rules and the broadcast terms, numbered from 1. One worker does both."""
     patterns = [(kind, re.compile(pattern)) for kind, pattern in rules]
+    to = to_arrow_type(FOUND)
 
-    @F.arrow_udf(MASKED)
-    def of(texts: pa.Array) -> pa.Array:
-        found = [Masked(t, prefix) for t in texts.to_pylist()]
+    def own(texts: pa.Array) -> pa.Array:
+        found, terms = [Masked(t, prefix) for t in texts.to_pylist()], []
+        find = finder(shared) if shared else lambda _: []
         for m in found:
             for kind, pattern in patterns:
                 m.hide(kind, pattern)
-        return _column(found)
+            terms.append(find(m.text))
+            m.hide_terms(terms[-1])
+        done = _column(found)
+        return pa.StructArray.from_arrays([*done.flatten(), pa.array(terms, to.field("terms").type)], ["masked", "tokens", "terms"])
+
+    @F.arrow_udf(FOUND)
+    def of(texts: pa.Array) -> pa.Array:
+        return over_slices(own, [texts], to)
 
     return of
 
@@ -92,13 +107,16 @@ def by_rules(rules: list[tuple[str, str]], prefix: str):
 def by_terms(prefix: str):
     """A function of masked, tokens and the terms a text holds: (masked, tokens) with the terms hidden too."""
 
-    @F.arrow_udf(MASKED)
-    def of(texts: pa.Array, tokens: pa.Array, terms: pa.Array) -> pa.Array:
+    def own(texts: pa.Array, tokens: pa.Array, terms: pa.Array) -> pa.Array:
         found = [Masked(t, prefix, 0, known) for t, known in zip(texts.to_pylist(), _token_lists(tokens), strict=True)]
         for m, held in zip(found, terms.to_pylist(), strict=True):
             m.hide_terms(held)
         return _column(found)
 
+    @F.arrow_udf(MASKED)
+    def of(texts: pa.Array, tokens: pa.Array, terms: pa.Array) -> pa.Array:
+        return over_slices(own, [texts, tokens, terms], to_arrow_type(MASKED))
+
     return of
 
 
@@ -119,9 +137,12 @@ def renumbered(rules: list[tuple[str, str]], prefix: str):
         raised = lambda x: mark.sub(lambda k: f"{k[1]}{int(k[2]) + start:04d}", x) if f"__{prefix}_" in x else x
         return Masked(raised(done), prefix, 0, [(raised(i), raised(v), kind) for i, v, kind in known])
 
+    def own(texts: pa.Array, masked: pa.Array, tokens: pa.Array, terms: pa.Array, starts: pa.Array) -> pa.Array:
+        return _column([one(*x) for x in zip(texts.to_pylist(), masked.to_pylist(), _token_lists(tokens), terms.to_pylist(), starts.to_pylist(), strict=True)])
+
     @F.arrow_udf(MASKED)
     def of(texts: pa.Array, masked: pa.Array, tokens: pa.Array, terms: pa.Array, starts: pa.Array) -> pa.Array:
-        return _column([one(*x) for x in zip(texts.to_pylist(), masked.to_pylist(), _token_lists(tokens), terms.to_pylist(), starts.to_pylist(), strict=True)])
+        return over_slices(own, [texts, masked, tokens, terms, starts], to_arrow_type(MASKED))
 
     return of
 
@@ -134,22 +155,70 @@ def mask_tokens(segments: DataFrame, terms: DataFrame | list[str] | None = None,
     them a segment holds is found by an automaton, so their number doesn't matter to a segment.
     """
     rules = MARKDOWN_RULES if rules is None else rules
-    columns = segments.columns
-    laid = ranges(segments.withColumn("_t", F.coalesce(F.col(text), F.lit(""))), [doc], order)
-    rows = laid.withColumn("_m", by_rules(rules, prefix)("_t")).withColumn("_masked", F.col("_m.masked"))
-    if terms is None or isinstance(terms, list) and not any(terms):
-        rows = rows.withColumn("_terms", F.array().cast("array<string>"))
+    columns, whole = segments.columns, F.coalesce(F.col(text), F.lit(""))
+    rows = ranges(segments, [doc], order)
+    known = [] if terms is None or isinstance(terms, list) and not any(terms) else parts(rows.sparkSession, terms)
+    first = list(islice(known, 2))
+    rows = rows.withColumn("_m", by_rules(rules, prefix, first[0] if len(first) == 1 else None)(whole))
+    if len(first) > 1:
+        rows = with_terms(rows.withColumn("_masked", F.col("_m.masked")), terms, "_masked", "_terms")
+        rows = rows.withColumn("_m", by_terms(prefix)("_masked", "_m.tokens", "_terms")).drop("_masked")
     else:
-        rows = with_terms(rows, terms, "_masked", "_terms")
-        rows = rows.withColumn("_m", by_terms(prefix)("_masked", "_m.tokens", "_terms"))
-    rows = totals(settled(rows.drop("_masked"), "masked"), [doc], {"_before": F.size("_m.tokens")})
-    rows = rows.withColumn("_m", renumbered(rules, prefix)("_t", "_m.masked", "_m.tokens", "_terms", "_before"))
+        rows = rows.withColumn("_terms", F.col("_m.terms"))
+    rows = totals(settled(rows.withColumn("_m", F.struct("_m.masked", "_m.tokens")), "masked"), [doc], {"_before": F.size("_m.tokens")})
+    rows = rows.withColumn("_m", renumbered(rules, prefix)(whole, "_m.masked", "_m.tokens", "_terms", "_before"))
     return rows.select(*columns, F.col("_m.masked").alias("masked"), F.col("_m.tokens").alias("tokens"))
 
 
+def _put_back(masked: str, tokens: list[tuple[str, str]]) -> str:
+    for name, value in reversed(tokens):
+        masked = masked.replace(name, value)
+    return masked
+
+
+@lru_cache(64)
+def _names(stems: frozenset[str]) -> tuple[re.Pattern, re.Pattern]:
+    """What is a name with one of the stems, and what may be the end of one that runs into the beginning of another."""
+    either = lambda of: "(?:" + "|".join(map(re.escape, sorted(of, key=len, reverse=True))) + ")"
+    return re.compile(either(stems) + "[0-9]+__"), re.compile("[0-9]__" + either({s[n:] for s in stems for n in (1, 2)}))
+
+
+def restore(masked: str | None, tokens: list[tuple[str, str]] | None) -> str | None:
+    """What replacing one token after the other gives, the last first, in one pass over the text and the values.
+
+    A value may hold tokens numbered before its own. Where names of tokens run into each other, where there are pieces of names, or where
+    values bring new ones, it goes by one after the other; so it does for names that aren't numbered.
+    """
+    if masked is None or tokens is None:
+        return None
+    place = {name: k for k, (name, _) in enumerate(tokens)}
+    split = [NUMBERED.fullmatch(name) for name in place]
+    if len(tokens) < 8 or len(place) < len(tokens) or not all(split):
+        return _put_back(masked, tokens)
+    stems = frozenset(m[1] for m in split)
+    names, joined = _names(stems)
+    values: list[str] = []
+
+    def whole(text: str, most: int) -> str:
+        """text with those of the first `most` tokens put back that it holds."""
+        return names.sub(lambda m: values[k] if (k := place.get(m[0], most)) < most else m[0], text)
+
+    for k, (_, value) in enumerate(tokens):
+        values.append(whole(value, k) if "__" in value else value)
+    out = whole(masked, len(tokens))
+    held = [masked, *(v for _, v in tokens if "__" in v)]
+    odd = any(joined.search(x) or any(stem in names.sub(" ", x) for stem in stems) for x in held)
+    return _put_back(masked, tokens) if odd or any(stem in out for stem in stems) else out
+
+
 def restored(masked: Column, tokens: Column) -> Column:
     """The text with each token's value put back, the last first: a later token's value may hold an earlier token."""
-    return F.aggregate(F.reverse(tokens), masked, lambda acc, t: F.replace(acc, t["id"], t["value"]))
+    return _restored(masked, F.transform(tokens, lambda t: t["id"]), F.transform(tokens, lambda t: t["value"]))
+
+
+@sliced(StringType())
+def _restored(masked: str | None, names: list[str] | None, values: list[str] | None) -> str | None:
+    return restore(masked, None if names is None else list(zip(names, values, strict=True)))
 
 
 def masked_event(events: DataFrame, person: str = "patient") -> DataFrame:

@@ -593,3 +593,35 @@ def test_batches_are_worked_off_in_slices(spark, monkeypatch):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(pages)], "id long, source string").repartition(1)
     out = provider.translated(rows, provider.copy).collect()
     assert sorted((r["id"], r["translated"], r["status"]) for r in out) == [(i, t, "translated") for i, t in enumerate(pages)]
+
+
+def test_restoring_goes_over_a_text_once(spark, monkeypatch):
+    """The same as replacing one token after the other, whatever texts hold; many tokens are put back without that."""
+    rng = random.Random(11)
+    one_by_one = masking._put_back
+    parts = ["`a`", "[x](`b`)", "$m$", "__DOCSTR_CODE_", "__DOCSTR_", "0003", "__", "_", "__DOCSTR_CODE_0002__", " ", "word", "Azure", "{{`c`}}", "3"]
+    for _ in range(3000):
+        m = masking.Masked("".join(rng.choice(parts) + rng.choice(["", "", " "]) for _ in range(40)), "DOCSTR", rng.choice([0, 7]))
+        for kind, pattern in masking.MARKDOWN_RULES:
+            m.hide(kind, pattern)
+        m.hide_terms(["Azure", "word"])
+        tokens = [(name, value) for name, value, _ in m.tokens]
+        assert masking.restore(m.text, tokens) == one_by_one(m.text, tokens)
+    monkeypatch.setattr(masking, "_put_back", None)
+    text = "the `code` and [the](page) " * 10_000
+    m = masking.Masked(text, "DOCSTR")
+    for kind, pattern in masking.MARKDOWN_RULES:
+        m.hide(kind, pattern)
+    m.hide_terms(["the"])
+    assert len(m.tokens) == 40_000 and masking.restore(m.text, [t[:2] for t in m.tokens]) == text
+    assert masking.restore(None, []) is None and masking.restore("x", None) is None
+
+
+def test_one_worker_masks(spark):
+    """Rules and terms of one round are one Python function of a plan, not three."""
+    rows = spark.createDataFrame([(1, 0, "`a` Azure")], "doc_id long, ord long, text string")
+    made = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(masking, "settled", lambda df, name: made.append(df) or df)
+        masking.mask_tokens(rows, ["Azure"])
+    assert str(made[0]._jdf.queryExecution().executedPlan()).count("ArrowEvalPython") == 1
