@@ -39,6 +39,8 @@ BOOK_RULES = [("URL", r"\bhttps?://[^\s<>\"']+"), ("EMAIL", r"\b[\w.+-]+@[\w-]+(
 TOKEN = StructType([StructField(c, StringType()) for c in ("id", "value", "kind")])
 MASKED = StructType([StructField("masked", StringType()), StructField("tokens", ArrayType(TOKEN))])
 FOUND = StructType([*MASKED.fields, StructField("terms", ArrayType(StringType()))])
+#: Tokens times characters up to which tokens are put back one after the other.
+SHORT = 1 << 18
 #: A token's name, with what comes before its number.
 NUMBERED = re.compile(r"(__.*?[^0-9])[0-9]+__", re.S)
 
@@ -135,7 +137,8 @@ def renumbered(rules: list[tuple[str, str]], prefix: str):
         if not start or not known:
             return Masked(done, prefix, 0, known)
         raised = lambda x: mark.sub(lambda k: f"{k[1]}{int(k[2]) + start:04d}", x) if f"__{prefix}_" in x else x
-        return Masked(raised(done), prefix, 0, [(raised(i), raised(v), kind) for i, v, kind in known])
+        # the tokens of a segment are numbered from 1 as they come
+        return Masked(raised(done), prefix, 0, [(f"{i[: i.rindex('_', 0, -2)]}_{n:04d}__", raised(v), kind) for n, (i, v, kind) in enumerate(known, start + 1)])
 
     def own(texts: pa.Array, masked: pa.Array, tokens: pa.Array, terms: pa.Array, starts: pa.Array) -> pa.Array:
         return _column([one(*x) for x in zip(texts.to_pylist(), masked.to_pylist(), _token_lists(tokens), terms.to_pylist(), starts.to_pylist(), strict=True)])
@@ -191,9 +194,11 @@ def restore(masked: str | None, tokens: list[tuple[str, str]] | None) -> str | N
     """
     if masked is None or tokens is None:
         return None
+    if len(tokens) * len(masked) <= SHORT:
+        return _put_back(masked, tokens)
     place = {name: k for k, (name, _) in enumerate(tokens)}
     split = [NUMBERED.fullmatch(name) for name in place]
-    if len(tokens) < 8 or len(place) < len(tokens) or not all(split):
+    if len(place) < len(tokens) or not all(split):
         return _put_back(masked, tokens)
     stems = frozenset(m[1] for m in split)
     names, joined = _names(stems)

@@ -599,6 +599,7 @@ def test_restoring_goes_over_a_text_once(spark, monkeypatch):
     """The same as replacing one token after the other, whatever texts hold; many tokens are put back without that."""
     rng = random.Random(11)
     one_by_one = masking._put_back
+    monkeypatch.setattr(masking, "SHORT", 0, raising=False)
     parts = ["`a`", "[x](`b`)", "$m$", "__DOCSTR_CODE_", "__DOCSTR_", "0003", "__", "_", "__DOCSTR_CODE_0002__", " ", "word", "Azure", "{{`c`}}", "3"]
     for _ in range(3000):
         m = masking.Masked("".join(rng.choice(parts) + rng.choice(["", "", " "]) for _ in range(40)), "DOCSTR", rng.choice([0, 7]))
