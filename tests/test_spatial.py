@@ -130,3 +130,18 @@ def test_a_page_of_many_runs(spark):
     tables = rows.where("ord % 50 = 3").select("page", F.col("ord").alias("table"), (F.col("left") - 40).alias("left"), (F.col("top") - 40).alias("top"), (F.col("right") + 40).alias("right"), (F.col("bottom") + 40).alias("bottom"))
     inside = spatial.centres_inside(rows, tables, ["page"])
     assert 20_000 < inside.count() < n
+
+
+def test_pages_in_a_stream(spark):
+    """Pages are cut by batches anywhere, one fills several, one has no number: each is worked off whole, once."""
+    import pyarrow as pa
+
+    pages = [None] * 3 + [1] * 5 + [2] + [3] * 40 + [4] * 2 + [7]
+    table = pa.table({"page": pa.array(pages, pa.int64()), "x": list(range(len(pages)))})
+    for size in (1, 2, 3, 7, 100):
+        seen = []
+        run = layout._paged("page", ["x"], lambda rows, seen=seen: seen.append([x for x, in rows]) or [float(x) for x, in rows], "y")
+        out = pa.Table.from_batches(run(iter(table.to_batches(size))))
+        assert out.column("y").to_pylist() == table.column("x").to_pylist() == out.column("x").to_pylist()
+        assert seen == [[k for k, p in enumerate(pages) if p == own] for own in dict.fromkeys(pages)]
+    assert list(layout._paged("page", ["x"], None, "y")(iter([]))) == []
