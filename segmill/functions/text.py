@@ -32,6 +32,11 @@ def count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern))
 
 
+def letters(c: Column, outside: str) -> Column:
+    """How many characters are left without those of `outside`: no string is made for each of them, as a count of matches would."""
+    return F.length(F.regexp_replace(c, outside + "+", ""))
+
+
 def once(x: Column, then: Callable[[Column], Column]) -> Column:
     """then(x), with x computed once however often it is used: the optimiser writes plain expressions out at each use."""
     return F.element_at(F.transform(F.array(x), then), 1)
@@ -48,7 +53,11 @@ def words(c: Column) -> Column:
 
 def is_translatable(c: Column) -> Column:
     """Three characters, two ASCII letters, and not a code of at most three words."""
-    return once(normalized(c), lambda n: (F.length(n) >= 3) & n.rlike("[A-Za-z][^A-Za-z]*[A-Za-z]") & ~(n.rlike(r"^[A-Z0-9_#./:,() -]+$") & (F.size(_split(n)) <= 3)))
+    return once(normalized(c), _translatable)
+
+
+def _translatable(n: Column) -> Column:
+    return (F.length(n) >= 3) & n.rlike("[A-Za-z][^A-Za-z]*[A-Za-z]") & ~(n.rlike(r"^[A-Z0-9_#./:,() -]+$") & (F.size(_split(n)) <= 3))
 
 
 def is_translatable_strict(c: Column) -> Column:
@@ -98,10 +107,13 @@ def needs_retry(source: Column, target: Column, korean: bool = True) -> Column:
         return once(F.lower(t), lambda whole: F.size(F.filter(first, lambda w: F.contains(whole, w))))
 
     def left(s: Column, t: Column) -> Column:
-        return once(count(t, "[A-Za-z]"), lambda n: ((n >= 40) & (n > F.greatest(F.lit(20.0), count(t, HANGUL) * 0.8))) | ((n >= 25) & (repeated(s, t) >= 6)))
+        hangul = F.coalesce(F.when(t.rlike(HANGUL), letters(t, HANGUL.replace("[", "[^"))), F.lit(0))
+        return once(letters(t, "[^A-Za-z]"), lambda n: ((n >= 40) & (n > F.greatest(F.lit(20.0), hangul * 0.8))) | ((n >= 25) & (repeated(s, t) >= 6)))
+
+    def failed(s: Column) -> Column:
+        return once(normalized(target), lambda t: (t == "") | (s == t) | (left(s, t) if korean else F.lit(False)))
 
-    failed = once(normalized(source), lambda s: once(normalized(target), lambda t: (t == "") | (s == t) | (left(s, t) if korean else F.lit(False))))
-    return is_translatable(source) & failed
+    return once(normalized(source), lambda s: _translatable(s) & failed(s))
 
 
 def collapse_repeated(c: Column) -> Column:
