@@ -626,3 +626,12 @@ def test_one_worker_masks(spark):
         patch.setattr(masking, "settled", lambda df, name: made.append(df) or df)
         masking.mask_tokens(rows, ["Azure"])
     assert str(made[0]._jdf.queryExecution().executedPlan()).count("ArrowEvalPython") == 1
+
+
+def test_letters_are_counted_without_taking_them_out(spark):
+    """As many as single matches would be; a text to be retried makes no string for each letter."""
+    texts = ["", "abc", "a1b 2c\n", "가나 a다", "...", None, "😀a😀", "Zz" * 500]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.letters(F.col("t"), "[^A-Za-z]").alias("a"), T.count(F.col("t"), "[A-Za-z]").alias("b"), T.letters(F.col("t"), T.HANGUL.replace("[", "[^")).alias("c"), T.count(F.col("t"), T.HANGUL).alias("d"))
+    assert all(r["a"] == r["b"] and r["c"] == r["d"] for r in rows.collect())
+    plan = spark.createDataFrame([("a", "b")], "s string, t string").select(T.needs_retry(F.col("s"), F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "[A-Za-z], 0" not in plan
