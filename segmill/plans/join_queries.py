@@ -149,17 +149,13 @@ def spatial_containment(spark, sf_dir):
     return r.select("ord").join(first, "ord", "left")
 
 
-@query(f"""WITH {RUNS_SQL}, p AS (SELECT a.ord, b.ord AS near, abs(a."left" - b."left") + abs(a.top - b.top) AS d, row_number() OVER (PARTITION BY a.ord ORDER BY abs(a."left" - b."left") + abs(a.top - b.top), b.ord) AS n FROM runs a JOIN runs b ON a.page = b.page AND a.ord % 2 = 0 AND b.ord % 2 = 1 AND (contains(a.text, left(b.text, 5)) OR contains(b.text, left(a.text, 5))))
+@query(f"""WITH {RUNS_SQL}, p AS (SELECT a.ord, b.ord AS near, abs(a."left" - b."left") + abs(a.top - b.top) AS d, row_number() OVER (PARTITION BY a.ord ORDER BY abs(a."left" - b."left") + abs(a.top - b.top), b.ord) AS n FROM runs a JOIN runs b ON a.page = b.page AND a.ord % 2 = 0 AND b.ord % 2 = 1 AND (contains(a.text, b.text) OR contains(b.text, a.text)))
 SELECT ord, near, d FROM p WHERE n = 1""")
 def nearest_match(spark, sf_dir):
-    """Of the runs whose text holds the other's first five characters, or the other way round, the nearest."""
+    """Of the runs whose text holds the other's, or the other way round, the nearest."""
     r = runs(spark, sf_dir)
     a, b = r.where("ord % 2 = 0"), r.where("ord % 2 = 1").withColumnRenamed("ord", "near")
-    holds, opening = X.openings(a, b, 5)
-    opened, held = X.openings(b, a, 5)
-    rows = holds.withColumn("_way", F.lit(0)).unionByName(held.withColumn("_way", F.lit(1)))
-    targets = opening.withColumn("_way", F.lit(0)).unionByName(opened.withColumn("_way", F.lit(1)))
-    return X.nearest(rows, targets, ["page", "_way", "_gram"], "ord", "near")
+    return X.nearest_holding(a, b, ["page"], "ord", "near")
 
 
 @query(f"WITH {RUNS_SQL}, sizes AS (SELECT DISTINCT page, 500.0 + page AS w, 700.0 + page AS h FROM runs WHERE page % 3 = 0) SELECT ord, coalesce(w, 612.0) AS w, coalesce(h, 792.0) AS h FROM runs LEFT JOIN sizes USING (page)")

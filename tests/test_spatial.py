@@ -71,6 +71,52 @@ def test_openings(spark):
     assert got == {(i, j) for i, s in enumerate(texts) for j, t in enumerate(texts) if s is not None and t is not None and t[:5] in s}
 
 
+TEXTS = ["", "a", "ab", "abcdefgh", "abcdefghi", "abcdefghij", "xabcdefghix", "abcdefghi abcdefghij", None, "bc", "hij", "가나다라마바사아자", "다라마바사아자", "가", "aaaaaaaaaaaa", "aaaaaaaaa", "purchase 1", "purchase 2", "a purchase 1"]
+
+
+def test_holding_whole_texts(spark):
+    a = spark.createDataFrame([(p, i, t) for p in (0, 1, None) for i, t in enumerate(TEXTS)], "page int, i int, text string")
+    b = a.where("page is null or page = 0 or i % 2 = 0").withColumnRenamed("i", "j")
+    holds, own = spatial.holding(a, b, ["page"])
+    got = [(r["page"], r["i"], r["j"]) for r in holds.join(own, ["page", "_gram"]).select("page", "i", "j").collect()]
+    want = {(p, i, j) for p in (0, 1) for i, s in enumerate(TEXTS) for j, t in enumerate(TEXTS) if (p == 0 or j % 2 == 0) and s is not None and t is not None and t in s}
+    assert set(got) == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("few", [0, 20, 1000])
+def test_nearest_of_texts_that_hold_each_other(spark, few):
+    """By the whole of texts, of which many begin alike: in arrays, by what they hold, and one page in each way."""
+    rng = random.Random(4)
+    make = lambda n, at: [(at + i, rng.choice([0, 0, 0, 1, 2]), float(rng.randint(-50, 400)), float(rng.randint(0, 400)), rng.choice(TEXTS)) for i in range(n)]
+    rows, targets = make(150, 0) + [(400, 0, None, 1.0, "ab"), (401, None, 1.0, 1.0, "ab"), (402, 9, 1.0, 1.0, "ab"), (403, 0, 1.0, 1.0, "abcdefgz"), (404, 5, 1.0, 1.0, "so far"), (405, 5, 1.0, 1.0, "so near")], make(90, 1000) + [(1900, 5, None, 1.0, "so far"), (1901, 5, 1.0, None, "so far and near"), (1902, 5, None, 1.0, "so near"), (1903, 5, 2.0, 1.0, "not so near")]
+    a = spark.createDataFrame(rows, "id long, page int, left double, top double, text string")
+    b = spark.createDataFrame(targets, "near long, page int, left double, top double, text string")
+    got = {r["id"]: (r["d"], r["near"]) for r in spatial.nearest_holding(a, b, ["page"], "id", "near", few=few).collect()}
+    want = {}
+    for i, page, x, y, s in rows:
+        if own := [(abs(x - u) + abs(y - v) if None not in (x, y, u, v) else None, n) for n, p, u, v, t in targets if p == page and None not in (s, t) and (s in t or t in s)]:
+            want[i] = min(own, key=lambda m: (m[0] is None, m[0] or 0, m[1]))
+    assert got == want and want[400][0] is None and want[404] == (None, 1900) and want[405] == (1.0, 1903)
+
+
+def test_nearest_match_goes_by_whole_texts(spark, tmp_path):
+    """Runs of one kind with other numbers begin alike, but none holds the other."""
+    from segmill.plans import QUERIES
+
+    events = [(0, 1, "purchase"), (7, 2, "purchase"), (2, 3, "purchase"), (4, 4, "error"), (11, 5, "error"), (25, 6, "terror"), (14, 7, "ter")]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r["ord"], r["near"]) for r in QUERIES["nearest_match"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 7), (4, 11)}
+
+
+def test_many_texts_that_begin_alike(spark):
+    """20,000 texts of a page share their opening: each meets those it holds alone."""
+    rows = spark.range(20_000).select(F.lit(1).alias("page"), "id", F.concat(F.lit("run number "), F.lpad(F.col("id").cast("string"), 6, "0")).alias("text"))
+    holds, own = spatial.holding(rows, rows.withColumnRenamed("id", "near"), ["page"])
+    assert holds.count() == 20_000
+    assert holds.join(own, ["page", "_gram"]).where("id = near").count() == 20_000
+
+
 @pytest.mark.parametrize("width", [60, 400])
 def test_page_cells_lose_nothing(spark, width):
     """Doubles and OCR lines of a page equal those of loops over all boxes."""
